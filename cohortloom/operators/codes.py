@@ -71,7 +71,10 @@ def first_order_times(
     done: Sequence[str] = DONE_STATUS,
     system_flag: str | None = None,
 ) -> DataFrame:
-    """Earliest finished order of each kind per key, as `<name>_ts`; `rules = {name: (word groups, exact texts)}`."""
+    """Per key and kind of finished order: `<name>` 0/1 and the earliest time `<name>_ts`.
+
+    `rules = {name: (word groups, exact texts)}`. Only keys with at least one such order are returned.
+    """
     tests = {name: any_phrase(F.col(text), groups, exact) for name, (groups, exact) in rules.items()}
     anything = None
     for test in tests.values():
@@ -79,7 +82,10 @@ def first_order_times(
     finished = orders.filter(F.lower(F.col(status)).isin(list(done)) & anything)
     if system_flag is not None:
         finished = finished.filter(flag_or_null(F.col(system_flag)))
-    return finished.groupBy(*keys).agg(*[F.min(F.when(t, F.col(written))).alias(f"{n}_ts") for n, t in tests.items()])
+    return finished.groupBy(*keys).agg(
+        *[F.max(F.when(t, 1).otherwise(0)).alias(n) for n, t in tests.items()],
+        *[F.min(F.when(t, F.col(written))).alias(f"{n}_ts") for n, t in tests.items()],
+    )
 
 
 def exposures(

@@ -44,23 +44,53 @@ def band_join(
     *,
     ts: str,
     anchor: str,
+    tie: str,
     hours: int = 24,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Events less than `hours` before or after an anchor of the same key, both ends excluded.
+    """Events less than `hours` before or after the anchor of their key, both ends excluded.
 
-    Time is cut into slots as wide as the band, so an entity's rows are spread
-    over its slots: an event sits in one slot, an anchor in the three it can reach.
+    `anchors` holds one row per key, so an event is returned at most once.
     """
-    width = hours * 3600 * 1_000_000
+    near = (F.col(ts) < hours_after(F.col(anchor), hours)) & (F.col(ts) > hours_after(F.col(anchor), -hours))
+    return salted_join(events, anchors, keys, spread_on=[ts, tie], condition=near, min_rows=hot_rows)
 
-    def slot(col: Column) -> Column:
-        return F.floor(F.unix_micros(col.cast("timestamp")) / F.lit(width)).cast("long")
 
-    left = events.withColumn("_slot", slot(F.col(ts)))
-    here = slot(F.col(anchor))
-    right = anchors.withColumn("_slot", F.explode(F.array(here - 1, here, here + 1)))
-    near = (F.col(ts) < hours_after(F.col(anchor), hours)) & (F.col(ts) > hours_after(F.col(anchor), -hours))
-    return left.join(right, [*keys, "_slot"]).filter(near).drop("_slot")
+def near_any_anchor(
+    events: DataFrame,
+    anchors: DataFrame,
+    keys: Sequence[str],
+    *,
+    ts: str,
+    anchor: str,
+    tie: str,
+    hours: int = 24,
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """Events less than `hours` from at least one of the many anchors of their key, each once.
+
+    No pairs are built. Time is cut into slots as wide as the band: an anchor in the
+    event's own slot is always near, and of the slots beside it only the last anchor
+    before and the first anchor after can be.
+    """
+    keys, width = list(keys), hours * 3600 * 1_000_000
+
+    def slot(name: str) -> Column:
+        return F.floor(F.unix_micros(F.col(name).cast("timestamp")) / F.lit(width)).cast("long")
+
+    ends = anchors.groupBy(*keys, slot(anchor).alias("_slot")).agg(F.min(anchor).alias("_low"), F.max(anchor).alias("_high"))
+    reach = ends.select(*keys, "_low", "_high", F.explode(F.array(*[
+        F.struct((F.col("_slot") + d).alias("_slot"), F.lit(d).alias("_step")) for d in (-1, 0, 1)
+    ])).alias("_r")).select(*keys, "_low", "_high", "_r.*")
+    around = reach.groupBy(*keys, "_slot").agg(
+        F.max(F.col("_step") == 0).alias("_here"),
+        F.max(F.when(F.col("_step") == 1, F.col("_high"))).alias("_before"),
+        F.min(F.when(F.col("_step") == -1, F.col("_low"))).alias("_after"),
+    )
+    near = F.col("_here") | (F.col(ts) < hours_after(F.col("_before"), hours)) | (F.col(ts) > hours_after(F.col("_after"), -hours))
+    placed = events.withColumn("_slot", slot(ts))
+    joined = salted_join(placed, around, [*keys, "_slot"], spread_on=[ts, tie], condition=near, min_rows=hot_rows)
+    return joined.select(*events.columns)
 
 
 def first_state(intervals: DataFrame, keys: Sequence[str], *, start: str, tie: Sequence[str | Column], keep: Mapping[str, str]) -> DataFrame:

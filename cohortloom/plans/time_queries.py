@@ -9,7 +9,7 @@ from ..operators.cohort import drop_matching
 from ..operators.history import history_features as build_history, visits_in_period
 from ..operators.lookup import add_columns
 from ..operators.panel import one_row_per_entity, snapshot_panel as build_panel, union_panels
-from ..operators.pointintime import band_join, first_state, match_audit as audit, state_at, ward_flags
+from ..operators.pointintime import band_join, first_state, match_audit as audit, near_any_anchor, state_at, ward_flags
 from .cohort_queries import CODES, cohort, diagnoses
 from .registry import query
 from .star import table, visits
@@ -88,12 +88,24 @@ def location_flags(spark: SparkSession, sf: str) -> DataFrame:
     return both.select("user_id", "first_ward", "ward_3h", *[c.alias(n) for n, c in flags.items()])
 
 
+def readings(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "events").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), "value")
+
+
 @query
 def band_join_24h(spark: SparkSession, sf: str) -> DataFrame:
-    events = table(spark, sf, "events").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), "value")
-    anchors = events.filter(F.col("value") > 200).select("user_id", F.col("event_id").alias("anchor_id"), F.col("ts").alias("anchor_ts"))
-    near = band_join(events, anchors, ["user_id"], ts="ts", anchor="anchor_ts", hours=24)
-    return near.select("user_id", "event_id").distinct()
+    """Events around the one anchor of each user."""
+    big = first_state(
+        readings(spark, sf).filter(F.col("value") > 200), ["user_id"], start="ts", tie=["event_id"], keep={"anchor_id": "event_id", "anchor_ts": "ts"}
+    )
+    return band_join(readings(spark, sf), big, ["user_id"], ts="ts", anchor="anchor_ts", tie="event_id").select("user_id", "event_id", "anchor_id")
+
+
+@query
+def near_any_anchor_24h(spark: SparkSession, sf: str) -> DataFrame:
+    """Events around any of the many anchors of each user."""
+    anchors = readings(spark, sf).filter(F.col("value") > 200).select("user_id", F.col("ts").alias("anchor_ts"))
+    return near_any_anchor(readings(spark, sf), anchors, ["user_id"], ts="ts", anchor="anchor_ts", tie="event_id").select("user_id", "event_id")
 
 
 MEASURES = {

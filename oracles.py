@@ -242,6 +242,8 @@ SQL = {
         FROM diagnoses GROUP BY code""",
     "text_order_first": """
         SELECT l_orderkey AS encounter_id,
+               max((p_name LIKE '%ring%' AND (p_name LIKE '%cold%' OR p_name LIKE '%hot%') OR p_name LIKE '%gi%' AND p_name LIKE '%old%' OR p_name = 'new plate')::INTEGER) AS ring,
+               max((p_name LIKE '%rod%')::INTEGER) AS rod,
                min(l_shipdate) FILTER (p_name LIKE '%ring%' AND (p_name LIKE '%cold%' OR p_name LIKE '%hot%') OR p_name LIKE '%gi%' AND p_name LIKE '%old%' OR p_name = 'new plate') AS ring_ts,
                min(l_shipdate) FILTER (p_name LIKE '%rod%') AS rod_ts
         FROM lineitem JOIN part ON l_partkey = p_partkey
@@ -272,6 +274,10 @@ SQL = {
                (first_ward IN ('view', 'click') OR coalesce(s.ward IN ('view', 'click'), false))::INTEGER AS looked
         FROM first_ward f LEFT JOIN state_3h s ON f.user_id = s.user_id""",
     "band_join_24h": """
+        SELECT e.user_id, e.event_id, anchor_id FROM events e JOIN (
+          SELECT user_id, min(ts) AS anchor_ts, first(event_id ORDER BY ts, event_id) AS anchor_id FROM events WHERE value > 200 GROUP BY user_id) a
+        ON e.user_id = a.user_id AND e.ts < anchor_ts + INTERVAL 24 HOURS AND e.ts > anchor_ts - INTERVAL 24 HOURS""",
+    "near_any_anchor_24h": """
         SELECT DISTINCT e.user_id, e.event_id FROM events e JOIN events a ON e.user_id = a.user_id
         WHERE a.value > 200 AND e.ts < a.ts + INTERVAL 24 HOURS AND e.ts > a.ts - INTERVAL 24 HOURS""",
     "snapshot_panel": w(PANEL) + "SELECT * FROM panel",
@@ -286,6 +292,10 @@ SQL = {
         FROM visits LEFT JOIN (SELECT l_orderkey, min(l_shipdate) AS other_ts FROM lineitem WHERE l_quantity > 25 GROUP BY l_orderkey) ON encounter_id = l_orderkey""",
     "date_window_slop": w(VISITS) + """
         SELECT encounter_id, discharge_ts FROM visits WHERE discharge_ts BETWEEN TIMESTAMP '1995-12-30' AND TIMESTAMP '1997-11-03'""",
+    "stream_hourly_panel": """
+        SELECT user_id, time_bucket(INTERVAL 1 HOUR, ts) AS window_start, count(*) AS n_events, first(value ORDER BY ts, event_id) AS value_first,
+               last(value ORDER BY ts, event_id) AS value_last, min(value) AS value_min, max(value) AS value_max, round(avg(value), 6) AS value_mean
+        FROM events GROUP BY 1, 2""",
     # summaries
     "rate_by_age_band": w(VISITS, SCORED, f"""a AS (
           SELECT label, {age("admit_ts", "born")} AS age FROM (SELECT *, {BORN.format(key="patient_id")} AS born FROM visits) v JOIN scored s ON v.encounter_id = s.encounter_id),
