@@ -19,6 +19,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import written_once
 from .running import running_segments, running_window, segment_edges, with_segment
 from .skew import HOT_ROWS, hot_keys, split_by_heat
 
@@ -39,6 +40,7 @@ def history_features(
     since: Mapping[str, str] | None = None,
     ever: Mapping[str, str] | None = None,
     latest: Mapping[str, tuple[str, str]] | None = None,
+    size_from: DataFrame | None = None,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """One row per index visit that has at least one earlier visit of the same entity.
@@ -52,7 +54,8 @@ def history_features(
     * `latest[out] = (flag, value)`: value on the most recent visit whose flag is 1. A null
       value on that visit stays null; visits that end together are ordered by `prior_id`.
 
-    An entity with more than `hot_rows` marks is read in time segments.
+    An entity with more than `hot_rows` marks is read in time segments. `size_from` is
+    a table with the keys and one row per visit that is cheaper to count than `prior`.
     """
     keys, since, ever, latest = list(keys), dict(since or {}), dict(ever or {}), dict(latest or {})
     marks = _timeline(index, prior, keys, index_id, index_ts, prior_id, prior_ts, days, since, ever, latest)
@@ -60,7 +63,8 @@ def history_features(
     maxes = [f"_{out}" for out in [*since, *ever, *latest]]
     outputs = _outputs(count_as, since, ever, latest)
 
-    hot = hot_keys(marks, keys, hot_rows)
+    # A visit leaves three marks at most.
+    hot = hot_keys(marks, keys, hot_rows) if size_from is None else hot_keys(size_from, keys, hot_rows // 3)
     plain = marks if hot is None else split_by_heat(marks, keys, hot)[0]
     features = _at_index(running_window(plain, keys, ["_ts", "_kind"], sums, maxes)).select(index_id, *outputs)
     if hot is None:
@@ -71,8 +75,9 @@ def history_features(
     instants = busy.groupBy(*keys, "_ts", "_kind").agg(
         *[F.sum(c).alias(c) for c in sums], *[F.max(c).alias(c) for c in maxes]
     )
-    instants = instants.withColumn("_position", F.unix_micros("_ts"))
-    segments = max(2, busy.count() // hot_rows + 1)
+    # Written down once: the edges, the segment totals and the rows all read it.
+    instants = written_once(instants.withColumn("_position", F.unix_micros("_ts")))
+    segments = max(2, instants.count() // hot_rows + 1)
     cut = with_segment(instants, "_position", segment_edges(instants, "_position", segments))
     at_instant = _at_index(running_segments(cut, keys, ["_ts", "_kind"], sums, maxes)).select(*keys, "_ts", *outputs)
     visits = busy.filter(F.col("_kind") == INDEX).select(*keys, "_ts", index_id)
@@ -114,23 +119,24 @@ def _timeline(index, prior, keys, index_id, index_ts, prior_id, prior_ts, days,
         f"_{out}": flagged(flag, F.struct(ts.alias("ts"), F.col(prior_id).alias("id"), F.col(value).alias("value")))
         for out, (flag, value) in latest.items()
     }
-    ends = prior.select(
-        *keys, ts.alias("_ts"), F.lit(END).alias("_kind"), F.lit(None).cast(id_type).alias(index_id),
-        F.lit(1).cast("long").alias("_in_period"), F.lit(1).cast("long").alias("_ended"),
-        *[value.alias(name) for name, value in facts.items()],
-    )
-    nothing = [F.lit(None).cast(ends.schema[name].dataType).alias(name) for name in facts]
     # `days` whole days have passed for the last time just before day `days + 1` is complete.
     leaves = ts + F.make_dt_interval(days=F.lit(days + 1))
-    expiries = prior.select(
-        *keys, leaves.alias("_ts"), F.lit(EXPIRY).alias("_kind"), F.lit(None).cast(id_type).alias(index_id),
-        F.lit(-1).cast("long").alias("_in_period"), F.lit(0).cast("long").alias("_ended"), *nothing,
-    )
+
+    def mark(at: Column, kind: int, in_period: int, ended: int, values: Mapping[str, Column]) -> Column:
+        return F.struct(
+            at.alias("_ts"), F.lit(kind).alias("_kind"), F.lit(in_period).cast("long").alias("_in_period"),
+            F.lit(ended).cast("long").alias("_ended"), *[v.alias(n) for n, v in values.items()],
+        )
+
+    # Both marks of a visit come from one pass over `prior`.
+    blank = {name: F.when(F.lit(False), value) for name, value in facts.items()}
+    both = F.array(mark(ts, END, 1, 1, facts), mark(leaves, EXPIRY, -1, 0, blank))
+    ends = prior.select(*keys, F.lit(None).cast(id_type).alias(index_id), F.inline(both))
+    nothing = {name: F.lit(None).cast(ends.schema[name].dataType) for name in facts}
     starts = index.filter(F.col(index_ts).isNotNull()).dropna(subset=keys).select(
-        *keys, F.col(index_ts).cast("timestamp").alias("_ts"), F.lit(INDEX).alias("_kind"), F.col(index_id),
-        F.lit(0).cast("long").alias("_in_period"), F.lit(0).cast("long").alias("_ended"), *nothing,
+        *keys, F.col(index_id), F.inline(F.array(mark(F.col(index_ts).cast("timestamp"), INDEX, 0, 0, nothing)))
     )
-    return ends.unionByName(expiries).unionByName(starts)
+    return ends.unionByName(starts)
 
 
 def _at_index(marks: DataFrame) -> DataFrame:

@@ -7,12 +7,13 @@ from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass
 
+from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, written_once
 from .evaluate import c_statistic, two_class_summary
 
 TREES_PER_STEP = 50
@@ -52,9 +53,19 @@ def grid_frame(spark, options: Mapping[str, Sequence]) -> DataFrame:
 
 
 def fit(train: DataFrame, params: Boosting, *, features: str = "features", label: str = "label", validation: str | None = None) -> GBTClassificationModel:
-    """Fit on a column of feature vectors. With a boolean `validation` column boosting stops early on those rows."""
+    """Fit on a column of feature vectors. With a boolean `validation` column boosting stops early on those rows.
+
+    The rows are read several times, so they are kept while the model is fitted.
+    """
     ensure_checkpoint_dir(train.sparkSession)
-    return params.estimator(features, label, validation).fit(train)
+    rows = train.select(features, label, *([validation] if validation else []))
+    if train.storageLevel.useMemory or train.storageLevel.useDisk:
+        return params.estimator(features, label, validation).fit(rows)
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return params.estimator(features, label, validation).fit(rows)
+    finally:
+        rows.unpersist()
 
 
 def score(model, df: DataFrame, out: str = "score") -> DataFrame:
@@ -75,7 +86,7 @@ def staged_scores(model: GBTClassificationModel, df: DataFrame, rounds: Sequence
     work = df.withColumns({"_margin": F.lit(0.0), "_scores": F.array().cast("array<double>")})
     for start in range(0, len(trees), TREES_PER_STEP):
         if start:
-            work = work.checkpoint()
+            work = written_once(work)
         step = list(zip(trees, weights))[start : start + TREES_PER_STEP]
         for i, (tree, _) in enumerate(step):
             work = tree.setFeaturesCol(features).setPredictionCol(f"_tree{i}").transform(work)

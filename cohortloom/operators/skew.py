@@ -19,7 +19,7 @@ def hot_keys(df: DataFrame, keys: Sequence[str], min_rows: int = HOT_ROWS, max_k
 
     Any key left out because of `max_keys` holds at most 1/max_keys of the rows.
     """
-    counts = df.dropna(subset=list(keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    counts = df.select(*keys).dropna().groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
     busy = counts.filter(F.col("_rows") > min_rows).orderBy(F.desc("_rows"), *keys).limit(max_keys)
     rows = busy.select(*keys).collect()
     if not rows:

@@ -36,11 +36,34 @@ def hash_rank(df: DataFrame, key: str, strata: Sequence[str], seed: int | str, o
     return ranked.withColumn(out, F.col("_offset") + F.col("_inside")).drop("_hash", "_bin", "_inside", "_b", "_n", "_offset", *names)
 
 
-def stratified_split(entities: DataFrame, key: str, outcome: str, seed: int | str, share: float = 0.7) -> DataFrame:
-    """Add `is_train`: in each outcome class the first ceil(share x n) entities in hash order."""
-    ranked = hash_rank(entities, key, [outcome], seed, "_rank", "_size")
-    cut = F.ceil(F.round(F.col("_size") * F.lit(share), 6))
-    return ranked.withColumn("is_train", F.col("_rank") <= cut).drop("_rank", "_size")
+def stratified_split(entities: DataFrame, key: str, outcome: str, seed: int | str, share: float = 0.7, digits: int = BIN_DIGITS) -> DataFrame:
+    """Add `is_train`: in each outcome class the first ceil(share x n) entities in hash order.
+
+    The entities are never shuffled. Bin counts tell in which bin of each class the
+    cut falls, only that bin is ranked, and the hash at the cut then decides every row.
+    """
+    hash_, bin_ = hash_text(seed, F.col(key)), F.substring("_hash", 1, digits)
+    marked = entities.withColumn("_hash", hash_)
+    small = marked.select(F.col(outcome).alias("_y"), F.col(key).alias("_k"), "_hash", bin_.alias("_b"))
+    whole = Window.partitionBy("_y")
+    earlier = whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    counts = small.groupBy("_y", "_b").agg(F.count(F.lit(1)).alias("_n"))
+    counts = counts.withColumns({
+        "_before": F.coalesce(F.sum("_n").over(earlier), F.lit(0)),
+        "_cut": F.ceil(F.round(F.sum("_n").over(whole) * F.lit(share), 6)),
+    })
+    cut_bins = counts.filter((F.col("_before") < F.col("_cut")) & (F.col("_cut") <= F.col("_before") + F.col("_n"))).select(
+        F.col("_y").alias("_cy"), F.col("_b").alias("_cb"), (F.col("_cut") - F.col("_before")).alias("_place")
+    )
+    members = small.join(cut_bins, F.col("_y").eqNullSafe(F.col("_cy")) & (F.col("_b") == F.col("_cb")))
+    place = F.row_number().over(Window.partitionBy("_y", "_b").orderBy("_hash", "_k"))
+    last = members.withColumn("_row", place).filter(F.col("_row") == F.col("_place")).select(
+        F.col("_y").alias("_ly"), F.struct(F.col("_hash").alias("h"), F.col("_k").alias("k")).alias("_last")
+    )
+    here = F.struct(F.col("_hash").alias("h"), F.col(key).alias("k"))
+    return marked.join(last, F.col(outcome).eqNullSafe(F.col("_ly")), "left").withColumn(
+        "is_train", F.coalesce(here <= F.col("_last"), F.lit(False))
+    ).drop("_hash", "_ly", "_last")
 
 
 def stratified_folds(entities: DataFrame, key: str, outcome: str, seed: int | str, folds: int = 5) -> DataFrame:

@@ -15,6 +15,7 @@ from ..operators.model import Boosting, choose_rounds, fit, importance, score
 from ..operators.panel import one_row_per_entity
 from ..operators.prep import feature_pipeline, fit_modes, impute_modes, nominal
 from ..operators.split import stratified_folds, stratified_split, test_rows, train_rows
+from ..session import written_once
 
 
 @dataclass(frozen=True)
@@ -53,7 +54,8 @@ def train_and_evaluate(rows: DataFrame, features: Sequence[str], o: RiskOptions
     """`rows`: one row per (key, hour) with features and a 0/1 outcome."""
     entities = rows.filter(F.col(o.hour) == o.split_hour).select(o.key, o.outcome)
     split = stratified_split(entities, o.key, o.outcome, o.seed, o.share)
-    train = train_rows(one_row_per_entity(rows, [o.key], o.hour, o.seed), split, o.key)
+    split = written_once(split.select(o.key, "is_train"))
+    train = written_once(train_rows(one_row_per_entity(rows, [o.key], o.hour, o.seed), split, o.key), spread_by=o.key)
     test = test_rows(rows, split, o.key)
 
     categories = nominal(rows, features)
@@ -73,6 +75,7 @@ def train_and_evaluate(rows: DataFrame, features: Sequence[str], o: RiskOptions
     chosen = Boosting(**{**o.params.__dict__, "rounds": rounds})
     model = fit(prepared.select("features", "label"), chosen)
     scored = score(model, vectors(test), "pred").select(o.key, o.hour, "pred", F.col("label").cast("int").alias("outcome"))
+    scored = written_once(scored)
     curve = threshold_curve(scored, "pred", "outcome", [o.hour])
     return RiskReport(
         stages, model, rounds, table, scored, c_statistic(scored, "pred", "outcome", [o.hour]),

@@ -8,7 +8,8 @@ from ..operators import evaluate as ev
 from ..operators.curve import threshold_curve
 from ..operators.model import Boosting, choose_rounds, fit, importance, score, search_grid
 from ..operators.prep import feature_pipeline
-from ..operators.split import stratified_folds, stratified_split, test_rows, train_rows
+from ..operators.split import stratified_folds, stratified_split
+from ..session import written_once
 from .registry import query
 from .star import scored, table, visits
 
@@ -143,9 +144,9 @@ def model_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def prepared(spark: SparkSession, sf: str):
-    rows = model_rows(spark, sf)
-    split = stratified_split(rows.select("encounter_id", "label"), "encounter_id", "label", 124800)
-    train, test = train_rows(rows, split, "encounter_id"), test_rows(rows, split, "encounter_id")
+    """Training and test rows with feature vectors. The split table is written once; every later pass reads that."""
+    rows = written_once(stratified_split(model_rows(spark, sf), "encounter_id", "label", 124800), spread_by="encounter_id")
+    train, test = rows.filter("is_train"), rows.filter("not is_train")
     stages = feature_pipeline(NUMERIC, CATEGORIES).fit(train)
     return stages.transform(train), stages.transform(test)
 

@@ -28,7 +28,7 @@ def history(spark: SparkSession, sf: str, index: DataFrame, **more) -> DataFrame
         index, prior_visits(spark, sf), keys=["patient_id"], index_id="encounter_id", index_ts="admit_ts",
         prior_id="encounter_id", prior_ts="discharge_ts",
         since={"days_since_ed": "ed", "days_since_ip": "ip", "days_since_icu": "icu"},
-        ever={"any_prev_promo": "promo"}, latest={"last_ip_stay": ("ip", "stay")}, **more,
+        ever={"any_prev_promo": "promo"}, latest={"last_ip_stay": ("ip", "stay")}, size_from=visits(spark, sf), **more,
     )
 
 
@@ -40,7 +40,7 @@ def history_features(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def history_features_segmented(spark: SparkSession, sf: str) -> DataFrame:
     """The same result with every busy patient cut into time segments."""
-    return history(spark, sf, visits(spark, sf), hot_rows=30)
+    return history(spark, sf, visits(spark, sf), hot_rows=54)
 
 
 @query

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "cohortloom") -> SparkSession:
@@ -16,6 +16,7 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "coh
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", "8g")
         .getOrCreate()
     )
@@ -34,3 +35,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         shared = tempfile.mkdtemp(prefix="cohortloom-checkpoint-")
     sc.setCheckpointDir(shared)
     return sc.getCheckpointDir()
+
+
+def written_once(df: DataFrame, spread_by: str | None = None) -> DataFrame:
+    """Compute now and keep on shared storage: for tables that several later jobs read.
+
+    `spread_by` deals the rows evenly by a unique key, for work that is bound by
+    cores rather than bytes (training), where coalesced partitions would idle cores.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    if spread_by is not None:
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+        df = df.repartition(parts, spread_by)
+    return df.checkpoint()
