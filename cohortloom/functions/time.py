@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import Column, functions as F
 
 # Fixed value: the warehouse writes this time for a stay that has not ended.
@@ -46,6 +48,11 @@ def hours_after(ts: Column, hours: int) -> Column:
 
 
 def within_dates(ts: Column, first: str, last: str, slop_days: int = 0) -> Column:
-    """Between two times, both included, each moved out by `slop_days`."""
-    slop = F.make_dt_interval(days=F.lit(slop_days))
-    return ts.between(F.lit(first).cast("timestamp") - slop, F.lit(last).cast("timestamp") + slop)
+    """Between two times, both included, each moved out by `slop_days`.
+
+    The bounds stay texts, so Spark turns them into the type of the column and
+    the filter reaches the files.
+    """
+    slop = timedelta(days=slop_days)
+    low, high = datetime.fromisoformat(first) - slop, datetime.fromisoformat(last) + slop
+    return ts.between(F.lit(str(low)), F.lit(str(high)))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.recode import present_on_admission
 from ..functions.text import any_phrase, flag_or_null
+from ..functions.time import within_dates
 
 # Word groups that mark an order as a catheter or a central line. All words of a group must occur.
 URINARY_CATHETER = [["urin", "cath", "insert"], ["uret", "cath", "insert"], ["foley", "cath", "insert"]]
@@ -106,7 +107,7 @@ def exposures(
     Ids are `source~order` and `source~catalog`. Filters run before the joins.
     """
     period = given.filter(
-        F.col("discharge_dt").between(F.lit(first_day).cast("timestamp"), F.lit(last_day).cast("timestamp"))
+        within_dates(F.col("discharge_dt"), first_day, last_day)
         & F.col("status").isin(list(statuses))
     )
     keyed = orders.select(

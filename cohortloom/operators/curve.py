@@ -11,7 +11,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .running import running_segments, running_window, segment_edges, with_segment
+from ..session import written_once
+from .running import running_window, segment_edges, with_segment
 
 MAX_WINDOW_ROWS = 1_000_000
 
@@ -36,6 +37,8 @@ def threshold_curve(df: DataFrame, score: str, label: str, by: Sequence[str] = (
     if distinct <= max_window_rows:
         run = _one_window(points, by)
     else:
+        # Written down once: the edges, the segment totals and the rows all read it.
+        points = written_once(points)
         run = _by_segment(points, by, segment_edges(points, "_position", 2 * distinct // max_window_rows + 1))
     return with_rates(run).drop("_position")
 
@@ -51,26 +54,26 @@ def _one_window(points: DataFrame, by: list[str]) -> DataFrame:
 
 
 def _by_segment(points: DataFrame, by: list[str], edges: list[float]) -> DataFrame:
+    """Running sums inside each segment, moved on by the segments before; looks ahead one score over the border."""
     cut = with_segment(points, "_position", edges)
-    run = running_segments(cut.withColumns({"tp": F.col("pos"), "fp": F.col("neg")}), by, ["_position"], ["tp", "fp"])
-    # Group totals and the first score of the following segment: at most groups x segments rows.
-    ends = cut.groupBy(*by, "_segment").agg(
-        F.sum("pos").alias("_pos"), F.sum("neg").alias("_neg"), F.min_by("pos", "_position").alias("_first")
-    )
+    groups = [*by, "_segment"]
     ahead, whole = Window.partitionBy(*by).orderBy("_segment"), Window.partitionBy(*by)
-    ends = ends.select(
-        *[F.col(c).alias(f"_e_{c}") for c in [*by, "_segment"]],
-        F.lead("_first").over(ahead).alias("_following"),
-        F.sum("_pos").over(whole).alias("n_pos"), F.sum("_neg").over(whole).alias("n_neg"),
+    before = ahead.rowsBetween(Window.unboundedPreceding, -1)
+    # At most groups x segments rows.
+    ends = cut.groupBy(*groups).agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_f"), F.min_by("pos", "_position").alias("_first")).select(
+        *[F.col(c).alias(f"_e_{c}") for c in groups],
+        F.coalesce(F.sum("_p").over(before), F.lit(0)).alias("_tp"), F.coalesce(F.sum("_f").over(before), F.lit(0)).alias("_fp"),
+        F.sum("_p").over(whole).alias("n_pos"), F.sum("_f").over(whole).alias("n_neg"), F.lead("_first").over(ahead).alias("_following"),
     )
     on = F.col("_segment") == F.col("_e__segment")
     for c in by:
         on &= F.col(c).eqNullSafe(F.col(f"_e_{c}"))
-    inside = Window.partitionBy(*by, "_segment").orderBy("_position")
-    joined = run.withColumn("next_pos", F.lead("pos").over(inside)).join(ends, on)
-    return joined.withColumn("next_pos", F.coalesce("next_pos", "_following")).drop(
-        "_following", "_segment", *[f"_e_{c}" for c in [*by, "_segment"]]
-    )
+    ordered = Window.partitionBy(*groups).orderBy("_position")
+    local = cut.withColumns({"tp": F.col("pos"), "fp": F.col("neg"), "next_pos": F.lead("pos").over(ordered)})
+    joined = running_window(local, groups, ["_position"], ["tp", "fp"], []).join(ends, on)
+    return joined.withColumns({
+        "tp": F.col("tp") + F.col("_tp"), "fp": F.col("fp") + F.col("_fp"), "next_pos": F.coalesce("next_pos", "_following"),
+    }).drop("_tp", "_fp", "_following", "_segment", *[f"_e_{c}" for c in groups])
 
 
 def with_rates(counts: DataFrame) -> DataFrame:

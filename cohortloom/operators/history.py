@@ -122,19 +122,19 @@ def _timeline(index, prior, keys, index_id, index_ts, prior_id, prior_ts, days,
     # `days` whole days have passed for the last time just before day `days + 1` is complete.
     leaves = ts + F.make_dt_interval(days=F.lit(days + 1))
 
-    def mark(at: Column, kind: int, in_period: int, ended: int, values: Mapping[str, Column]) -> Column:
-        return F.struct(
+    def mark(at: Column, kind: int, in_period: int, ended: int, values: Mapping[str, Column]) -> list[Column]:
+        return [
             at.alias("_ts"), F.lit(kind).alias("_kind"), F.lit(in_period).cast("long").alias("_in_period"),
             F.lit(ended).cast("long").alias("_ended"), *[v.alias(n) for n, v in values.items()],
-        )
+        ]
 
     # Both marks of a visit come from one pass over `prior`.
     blank = {name: F.when(F.lit(False), value) for name, value in facts.items()}
-    both = F.array(mark(ts, END, 1, 1, facts), mark(leaves, EXPIRY, -1, 0, blank))
+    both = F.array(F.struct(*mark(ts, END, 1, 1, facts)), F.struct(*mark(leaves, EXPIRY, -1, 0, blank)))
     ends = prior.select(*keys, F.lit(None).cast(id_type).alias(index_id), F.inline(both))
     nothing = {name: F.lit(None).cast(ends.schema[name].dataType) for name in facts}
     starts = index.filter(F.col(index_ts).isNotNull()).dropna(subset=keys).select(
-        *keys, F.col(index_id), F.inline(F.array(mark(F.col(index_ts).cast("timestamp"), INDEX, 0, 0, nothing)))
+        *keys, index_id, *mark(F.col(index_ts).cast("timestamp"), INDEX, 0, 0, nothing)
     )
     return ends.unionByName(starts)
 

@@ -93,6 +93,11 @@ def schema_report(train: DataFrame, new: DataFrame) -> DataFrame:
     return train.sparkSession.createDataFrame(rows, "column string, in_train boolean, in_new boolean, same_type boolean, same_place boolean")
 
 
+def ordered_like(df: DataFrame, template: DataFrame) -> DataFrame:
+    """The template's columns in its order."""
+    return df.select(*template.columns)
+
+
 def check_columns(df: DataFrame, needed: Sequence[str]) -> DataFrame:
     """Raise if a column is absent."""
     absent = [c for c in needed if c not in df.columns]

@@ -1,69 +1,89 @@
 """Reproducible splits: every draw is a function of the seed and the key.
 
-Exact shares need a rank over each whole stratum. Ranking by md5 lets the work
-be cut by the first hex digits of the hash: ranks inside a bin are small windows,
-and the bins before it add a constant. No window ever sees a whole stratum.
+Exact shares need a rank over each whole class. Ranking by md5 lets the work be
+cut by the first hex digits of the hash: a bin is a small window, and the bins
+before it add a constant. No window ever sees a whole class.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.numeric import hash_text
+from ..functions.numeric import hash_number, hash_text
 
-BIN_DIGITS = 4  # 65,536 bins per stratum
+BIN_DIGITS = 3  # 4,096 bins per class
+MAX_CLASSES = 100
 
 
-def hash_rank(df: DataFrame, key: str, strata: Sequence[str], seed: int | str, out: str = "rank", size: str = "stratum_size", digits: int = BIN_DIGITS) -> DataFrame:
-    """Add the rank 1..n of every row inside its stratum in hash order, and n.
+def _check_classes(df: DataFrame, classes: Sequence[str]) -> None:
+    """The bin table has 16**BIN_DIGITS rows per class and is broadcast, so the classes must be few."""
+    if df.select(*classes).distinct().limit(MAX_CLASSES + 1).count() > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} classes in {list(classes)}")
 
-    `key` is unique. The table of bin counts has at most 16**digits rows per stratum.
-    """
+
+def _bins(marked: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Per class and bin: rows, rows in the bins before, rows in the class."""
+    whole = Window.partitionBy(*names)
+    earlier = whole.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    counts = marked.groupBy(*names, "_bin").agg(F.count(F.lit(1)).alias("_n"))
+    return counts.withColumns({"_before": F.coalesce(F.sum("_n").over(earlier), F.lit(0)), "_size": F.sum("_n").over(whole)})
+
+
+def hash_rank(df: DataFrame, key: str, strata: Sequence[str], seed: int | str, out: str = "rank", size: str = "stratum_size", digits: int = BIN_DIGITS) -> DataFrame:
+    """Add the rank 1..n of every row inside its class in hash order, and n. `key` is unique."""
     strata = list(strata)
+    _check_classes(df, strata)
     marked = df.withColumn("_hash", hash_text(seed, F.col(key))).withColumn("_bin", F.substring("_hash", 1, digits))
-    names = [f"_s{i}" for i in range(len(strata))]
-    bins = marked.groupBy(*[F.col(s).alias(n) for s, n in zip(strata, names)], F.col("_bin").alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
-    whole = Window.partitionBy(*names)
-    earlier = whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = bins.withColumns({"_offset": F.coalesce(F.sum("_n").over(earlier), F.lit(0)), size: F.sum("_n").over(whole)})
-    on = F.col("_bin") == F.col("_b")
-    for s, n in zip(strata, names):
-        on &= F.col(s).eqNullSafe(F.col(n))
+    offsets = _bins(marked.select(*strata, "_bin"), strata).select(
+        *[F.col(c).alias(f"_o_{c}") for c in [*strata, "_bin"]], "_before", F.col("_size").alias(size)
+    )
+    on = F.col("_bin") == F.col("_o__bin")
+    for c in strata:
+        on &= F.col(c).eqNullSafe(F.col(f"_o_{c}"))
     inside = F.row_number().over(Window.partitionBy(*strata, "_bin").orderBy("_hash", key))
-    ranked = marked.withColumn("_inside", inside).join(offsets, on)
-    return ranked.withColumn(out, F.col("_offset") + F.col("_inside")).drop("_hash", "_bin", "_inside", "_b", "_n", "_offset", *names)
+    ranked = marked.withColumn("_inside", inside).join(F.broadcast(offsets), on)
+    return ranked.select(*df.columns, (F.col("_before") + F.col("_inside")).alias(out), size)
+
+
+def cut_points(entities: DataFrame, key: str, outcome: str, seed: int | str, share: float, digits: int = BIN_DIGITS) -> list[tuple]:
+    """Per class the (class, hash, key) of the last entity inside the share; at most MAX_CLASSES of them.
+
+    Bin counts tell in which bin of a class the cut falls; only that bin is ranked.
+    """
+    _check_classes(entities, [outcome])
+    marked = entities.select(F.col(outcome).alias("_class"), F.col(key).alias("_key"), hash_text(seed, F.col(key)).alias("_hash")).withColumn(
+        "_bin", F.substring("_hash", 1, digits)
+    )
+    place = F.ceil(F.round(F.col("_size") * F.lit(share), 6)) - F.col("_before")
+    cut = _bins(marked.select("_class", "_bin"), ["_class"]).withColumn("_place", place).filter(
+        (F.col("_place") > 0) & (F.col("_place") <= F.col("_n"))
+    ).select(F.col("_class").alias("_c"), F.col("_bin").alias("_b"), "_place")
+    # One bin per class.
+    members = marked.join(F.broadcast(cut), F.col("_class").eqNullSafe(F.col("_c")) & (F.col("_bin") == F.col("_b")))
+    row = F.row_number().over(Window.partitionBy("_class", "_bin").orderBy("_hash", "_key"))
+    last = members.withColumn("_row", row).filter(F.col("_row") == F.col("_place"))
+    return [tuple(r) for r in last.select("_class", "_hash", "_key").collect()]
 
 
 def stratified_split(entities: DataFrame, key: str, outcome: str, seed: int | str, share: float = 0.7, digits: int = BIN_DIGITS) -> DataFrame:
     """Add `is_train`: in each outcome class the first ceil(share x n) entities in hash order.
 
-    The entities are never shuffled. Bin counts tell in which bin of each class the
-    cut falls, only that bin is ranked, and the hash at the cut then decides every row.
+    The cut points are found first; after that the flag is a plain column and the
+    entities are not shuffled. Entities added later fall on the same side.
     """
-    hash_, bin_ = hash_text(seed, F.col(key)), F.substring("_hash", 1, digits)
-    marked = entities.withColumn("_hash", hash_)
-    small = marked.select(F.col(outcome).alias("_y"), F.col(key).alias("_k"), "_hash", bin_.alias("_b"))
-    whole = Window.partitionBy("_y")
-    earlier = whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    counts = small.groupBy("_y", "_b").agg(F.count(F.lit(1)).alias("_n"))
-    counts = counts.withColumns({
-        "_before": F.coalesce(F.sum("_n").over(earlier), F.lit(0)),
-        "_cut": F.ceil(F.round(F.sum("_n").over(whole) * F.lit(share), 6)),
-    })
-    cut_bins = counts.filter((F.col("_before") < F.col("_cut")) & (F.col("_cut") <= F.col("_before") + F.col("_n"))).select(
-        F.col("_y").alias("_cy"), F.col("_b").alias("_cb"), (F.col("_cut") - F.col("_before")).alias("_place")
-    )
-    members = small.join(cut_bins, F.col("_y").eqNullSafe(F.col("_cy")) & (F.col("_b") == F.col("_cb")))
-    place = F.row_number().over(Window.partitionBy("_y", "_b").orderBy("_hash", "_k"))
-    last = members.withColumn("_row", place).filter(F.col("_row") == F.col("_place")).select(
-        F.col("_y").alias("_ly"), F.struct(F.col("_hash").alias("h"), F.col("_k").alias("k")).alias("_last")
-    )
-    here = F.struct(F.col("_hash").alias("h"), F.col(key).alias("k"))
-    return marked.join(last, F.col(outcome).eqNullSafe(F.col("_ly")), "left").withColumn(
-        "is_train", F.coalesce(here <= F.col("_last"), F.lit(False))
-    ).drop("_hash", "_ly", "_last")
+    points = cut_points(entities, key, outcome, seed, share, digits)
+    digest = hash_text(seed, F.col(key))
+
+    def before(h: str, k: object) -> Column:
+        return (digest < h) | ((digest == h) & (F.col(key) <= k))
+
+    inside = F.lit(False)
+    for value, h, k in points:
+        same = F.col(outcome).isNull() if value is None else F.col(outcome).eqNullSafe(F.lit(value))
+        inside = inside | (same & before(h, k))
+    return entities.withColumn("is_train", inside)
 
 
 def stratified_folds(entities: DataFrame, key: str, outcome: str, seed: int | str, folds: int = 5) -> DataFrame:
@@ -74,8 +94,6 @@ def stratified_folds(entities: DataFrame, key: str, outcome: str, seed: int | st
 
 def half_split(df: DataFrame, key: str, seed: int | str, share: float = 0.5) -> tuple[DataFrame, DataFrame]:
     """A random part of the rows and the rest, without a shuffle."""
-    from ..functions.numeric import hash_number
-
     low = hash_number(seed, F.col(key)) < F.lit(int(share * 2**32))
     return df.filter(low), df.filter(~low)
 
@@ -86,6 +104,11 @@ def train_rows(df: DataFrame, split: DataFrame, key: str) -> DataFrame:
 
 
 def test_rows(df: DataFrame, split: DataFrame, key: str) -> DataFrame:
+    """All rows of the entities in the test part; entities that were never split are in neither."""
+    return df.join(split.filter("not is_train").select(key), key, "left_semi")
+
+
+def rest_rows(df: DataFrame, split: DataFrame, key: str) -> DataFrame:
     """All rows of entities that are not in the training part."""
     return df.join(split.filter("is_train").select(key), key, "left_anti")
 

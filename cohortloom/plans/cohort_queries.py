@@ -223,7 +223,7 @@ def text_order_first(spark: SparkSession, sf: str) -> DataFrame:
 def exposure_chain(spark: SparkSession, sf: str) -> DataFrame:
     given = table(spark, sf, "lineitem").select(
         joined_key(F.lit("STAR"), F.col("l_orderkey").cast("string"), sep="~").alias("unique_id"), F.col("l_linestatus").alias("status"),
-        F.col("l_shipdate").cast("timestamp").alias("discharge_dt"), "l_linenumber", "l_partkey", "l_suppkey",
+        F.col("l_shipdate").alias("discharge_dt"), "l_linenumber", "l_partkey", "l_suppkey",
     )
     orders = table(spark, sf, "orders").select(F.lit("STAR").alias("source_id"), F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("catalog_cd"))
     key = F.concat(F.lit("STAR~"), F.col("c_custkey").cast("string")).alias("medication_cd")

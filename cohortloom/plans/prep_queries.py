@@ -10,7 +10,7 @@ from ..operators.prep import (
     bucket_new_levels, check_columns, check_missing, fit_common_levels, fit_levels, fit_modes, impute_modes,
     modes, one_hot as add_indicators, pool_rare,
 )
-from ..operators.split import half_split as build_half_split, stratified_folds, stratified_split as build_split, test_rows as rest_of, train_rows as part_of
+from ..operators.split import half_split as build_half_split, stratified_folds, stratified_split as build_split, rest_rows as build_rest, test_rows as build_test, train_rows as build_train
 from .registry import query
 from .star import scored, table
 
@@ -38,17 +38,24 @@ def lines(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def train_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return part_of(lines(spark, sf), stratified_split(spark, sf), "encounter_id")
+    return build_train(lines(spark, sf), stratified_split(spark, sf), "encounter_id")
 
 
 @query
 def test_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return rest_of(lines(spark, sf), stratified_split(spark, sf), "encounter_id")
+    return build_test(lines(spark, sf), stratified_split(spark, sf), "encounter_id")
 
 
 test_rows.__test__ = False
 
 
+@query
+def rest_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of the visits that are not in the first half."""
+    first = half_split(spark, sf).withColumn("is_train", F.lit(True))
+    return build_rest(lines(spark, sf), first, "encounter_id")
+
+
 def customers(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "customer").select("c_custkey", "c_mktsegment", F.concat(F.lit("n"), (F.col("c_nationkey") % 7).cast("string")).alias("area"))
     return null_tokens(c, ["MACHINERY"], ["c_mktsegment"])

@@ -54,7 +54,7 @@ def train_and_evaluate(rows: DataFrame, features: Sequence[str], o: RiskOptions
     """`rows`: one row per (key, hour) with features and a 0/1 outcome."""
     entities = rows.filter(F.col(o.hour) == o.split_hour).select(o.key, o.outcome)
     split = stratified_split(entities, o.key, o.outcome, o.seed, o.share)
-    split = written_once(split.select(o.key, "is_train"))
+    split = split.select(o.key, "is_train")
     train = written_once(train_rows(one_row_per_entity(rows, [o.key], o.hour, o.seed), split, o.key), spread_by=o.key)
     test = test_rows(rows, split, o.key)
 

@@ -144,8 +144,9 @@ def model_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def prepared(spark: SparkSession, sf: str):
-    """Training and test rows with feature vectors. The split table is written once; every later pass reads that."""
-    rows = written_once(stratified_split(model_rows(spark, sf), "encounter_id", "label", 124800), spread_by="encounter_id")
+    """Training and test rows with feature vectors. Joins and split are written once; every later pass reads that."""
+    joined = written_once(model_rows(spark, sf))
+    rows = written_once(stratified_split(joined, "encounter_id", "label", 124800), spread_by="encounter_id")
     train, test = rows.filter("is_train"), rows.filter("not is_train")
     stages = feature_pipeline(NUMERIC, CATEGORIES).fit(train)
     return stages.transform(train), stages.transform(test)

@@ -330,7 +330,8 @@ SQL = {
         SELECT encounter_id, label, ((row_number() OVER (PARTITION BY label ORDER BY {md5_of(1234, "encounter_id")}, encounter_id) - 1) % 5)::INTEGER AS fold FROM scored""",
     "half_split": f"SELECT o_orderkey AS encounter_id FROM orders WHERE {hash_number(7, 'o_orderkey')} < 2147483648",
     "train_rows": w(SCORED, SPLIT) + "SELECT l_orderkey AS encounter_id, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey IN (SELECT encounter_id FROM split WHERE is_train)",
-    "test_rows": w(SCORED, SPLIT) + "SELECT l_orderkey AS encounter_id, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey NOT IN (SELECT encounter_id FROM split WHERE is_train)",
+    "test_rows": w(SCORED, SPLIT) + "SELECT l_orderkey AS encounter_id, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey IN (SELECT encounter_id FROM split WHERE NOT is_train)",
+    "rest_rows": f"SELECT l_orderkey AS encounter_id, l_linenumber, l_quantity FROM lineitem WHERE {hash_number(7, 'l_orderkey')} >= 2147483648",
     "column_modes": w(CUSTOMERS) + " UNION ALL ".join(
         f"SELECT '{c}' AS \"column\", (SELECT {c} FROM customers WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1) AS mode" for c in ("c_mktsegment", "area")),
     "mode_impute": w(CUSTOMERS, "train AS (SELECT * FROM customers WHERE c_custkey % 10 < 7)") + """
