@@ -18,21 +18,28 @@ MAX_WINDOW_ROWS = 1_000_000
 
 
 def score_counts(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFrame:
-    """Per group and distinct score: rows with label 1 and with label 0. Rows without score or label do not count."""
-    known = df.filter(F.col(score).isNotNull() & F.col(label).isNotNull())
-    return known.groupBy(*by, F.col(score).cast("double").alias("cutoff")).agg(
-        F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg")
+    """Per group and distinct score: rows with label 1 and with label 0.
+
+    Rows without score or label are counted as `missing` in one row per group whose cutoff is null.
+    """
+    known = F.col(score).isNotNull() & F.col(label).isNotNull()
+    cutoff = F.when(known, F.col(score).cast("double"))
+    return df.groupBy(*by, cutoff.alias("cutoff")).agg(
+        F.count_if(known & (F.col(label) == 1)).alias("pos"), F.count_if(known & (F.col(label) != 1)).alias("neg"), F.count_if(~known).alias("missing")
     )
 
 
-def threshold_curve(df: DataFrame, score: str, label: str, by: Sequence[str] = (), max_window_rows: int = MAX_WINDOW_ROWS) -> DataFrame:
+def threshold_curve(
+    df: DataFrame, score: str, label: str, by: Sequence[str] = (), max_window_rows: int = MAX_WINDOW_ROWS, keep_missing: bool = False
+) -> DataFrame:
     """One row per group and distinct score c, for the rule "positive if score >= c".
 
     Columns: cutoff, pos, neg (at this score), next_pos (at the next lower score),
-    tp, fp, fn, tn, n_pos, n_neg, rpp, sens, spec, ppv, npv.
+    tp, fp, fn, tn, n_pos, n_neg, rpp, sens, spec, ppv, npv. With `keep_missing`
+    also `missing` and the rows with a null cutoff that carry it.
     """
     by = list(by)
-    points = score_counts(df, score, label, by).withColumn("_position", -F.col("cutoff"))
+    points = score_counts(df, score, label, by).withColumn("_position", F.coalesce(-F.col("cutoff"), F.lit(float("-inf"))))
     distinct = df.agg(F.approx_count_distinct(F.col(score).cast("double"), 0.02).alias("n")).first()["n"]
     if distinct <= max_window_rows:
         run = _one_window(points, by)
@@ -40,7 +47,8 @@ def threshold_curve(df: DataFrame, score: str, label: str, by: Sequence[str] = (
         # Written down once: the edges, the segment totals and the rows all read it.
         points = written_once(points)
         run = _by_segment(points, by, segment_edges(points, "_position", 2 * distinct // max_window_rows + 1))
-    return with_rates(run).drop("_position")
+    rated = with_rates(run).drop("_position")
+    return rated if keep_missing else rated.filter(F.col("cutoff").isNotNull()).drop("missing")
 
 
 def _one_window(points: DataFrame, by: list[str]) -> DataFrame:

@@ -26,19 +26,13 @@ def c_statistic(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -
 
     C is null when a group has only one class.
     """
-    by = list(by)
-    curve = threshold_curve(df, score, label, by)
-    used = curve.groupBy(*by).agg(
+    curve = threshold_curve(df, score, label, by, keep_missing=True)
+    sums = curve.groupBy(*by).agg(
         _concordant().alias("_pairs"), F.max(F.col("n_pos").cast("double") * F.col("n_neg")).alias("_all"),
-        F.max(F.col("n_pos") + F.col("n_neg")).alias("n"), F.lit(0).cast("long").alias("missing"),
-    )
-    lost = df.groupBy(*by).agg(
-        F.lit(None).cast("double").alias("_pairs"), F.lit(None).cast("double").alias("_all"), F.lit(0).cast("long").alias("n"),
-        F.count_if(F.col(score).isNull() | F.col(label).isNull()).alias("missing"),
+        F.max(F.col("n_pos") + F.col("n_neg")).alias("n"), F.sum("missing").alias("missing"),
     )
-    both = used.unionByName(lost).groupBy(*by).agg(*[F.sum(c).alias(c) for c in ("_pairs", "_all", "n", "missing")])
     c = _ratio(F.col("_pairs"), F.col("_all"))
-    return both.select(*by, c.alias("c"), (2 * (c - 0.5)).alias("dxy"), "n", "missing")
+    return sums.select(*by, c.alias("c"), (2 * (c - 0.5)).alias("dxy"), "n", "missing")
 
 
 def confusion_counts(df: DataFrame, score: str, label: str, cutoff: float, by: Sequence[str] = (), inclusive: bool = False) -> DataFrame:

@@ -8,6 +8,7 @@ of segment totals has at most (groups x segments) rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
@@ -24,7 +25,7 @@ def segment_edges(df: DataFrame, position: str, segments: int) -> list[float]:
     shares = [i / segments for i in range(1, segments)]
     accuracy = max(10_000, 10 * segments)
     row = df.agg(F.percentile_approx(F.col(position).cast("double"), shares, accuracy).alias("e")).first()
-    return sorted(set(row["e"] or []))
+    return sorted({e for e in row["e"] or [] if math.isfinite(e)})
 
 
 def with_segment(df: DataFrame, position: str, edges: Sequence[float], out: str = "_segment") -> DataFrame:

@@ -52,21 +52,30 @@ def cut_points(entities: DataFrame, key: str, outcome: str, seed: int | str, sha
 
     Bin counts tell in which bin of a class the cut falls; only that bin is ranked.
     """
-    _check_classes(entities, [outcome])
     marked = entities.select(F.col(outcome).alias("_class"), F.col(key).alias("_key"), hash_text(seed, F.col(key)).alias("_hash")).withColumn(
         "_bin", F.substring("_hash", 1, digits)
     )
     place = F.ceil(F.round(F.col("_size") * F.lit(share), 6)) - F.col("_before")
     cut = _bins(marked.select("_class", "_bin"), ["_class"]).withColumn("_place", place).filter(
         (F.col("_place") > 0) & (F.col("_place") <= F.col("_n"))
-    ).select(F.col("_class").alias("_c"), F.col("_bin").alias("_b"), "_place")
+    )
     # One bin per class.
-    members = marked.join(F.broadcast(cut), F.col("_class").eqNullSafe(F.col("_c")) & (F.col("_bin") == F.col("_b")))
+    bins = cut.select("_class", "_bin", "_place").limit(MAX_CLASSES + 1).collect()
+    if len(bins) > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} classes in {outcome}")
+    wanted, target = F.lit(False), F.lit(None).cast("long")
+    for value, bin_, at in bins:
+        here = _is(F.col("_class"), value) & (F.col("_bin") == bin_)
+        wanted, target = wanted | here, F.when(here, F.lit(at)).otherwise(target)
     row = F.row_number().over(Window.partitionBy("_class", "_bin").orderBy("_hash", "_key"))
-    last = members.withColumn("_row", row).filter(F.col("_row") == F.col("_place"))
+    last = marked.filter(wanted).withColumns({"_row": row, "_target": target}).filter("_row = _target")
     return [tuple(r) for r in last.select("_class", "_hash", "_key").collect()]
 
 
+def _is(col: Column, value: object) -> Column:
+    return col.isNull() if value is None else col.eqNullSafe(F.lit(value))
+
+
 def stratified_split(entities: DataFrame, key: str, outcome: str, seed: int | str, share: float = 0.7, digits: int = BIN_DIGITS) -> DataFrame:
     """Add `is_train`: in each outcome class the first ceil(share x n) entities in hash order.
 
@@ -81,8 +90,7 @@ def stratified_split(entities: DataFrame, key: str, outcome: str, seed: int | st
 
     inside = F.lit(False)
     for value, h, k in points:
-        same = F.col(outcome).isNull() if value is None else F.col(outcome).eqNullSafe(F.lit(value))
-        inside = inside | (same & before(h, k))
+        inside = inside | (_is(F.col(outcome), value) & before(h, k))
     return entities.withColumn("is_train", inside)
 
 

@@ -140,3 +140,16 @@ def test_sweep_and_bundle(spark):
     assert (sweep[0.0]["sens"], sweep[0.0]["spec"], sweep[0.5]["j"]) == (1, 0, 0) and sweep[1.0]["dist"] == 1
     bundle = {r["metric"]: r["value"] for r in ev.metric_bundle(df, "s", "y", [0.5]).collect()}
     assert bundle == {"f": 0.5, "auc": 0.5, "ppv": 0.5, "npv": 0.5, "sens": 0.5, "spec": 0.5, "acc": 0.5, "err": 0.5, "rpp": 0.5}
+
+
+def test_missing_rows_are_counted_per_group_and_leave_the_curve_alone(spark):
+    df = spark.createDataFrame(
+        [("a", 0.5, 1), ("a", 0.4, 0), ("a", None, 1), ("a", 0.3, None), ("b", 0.9, 0), ("b", 0.1, 1), ("c", None, 1)], "g string, s double, y int"
+    )
+    got = {r["g"]: tuple(r)[1:] for r in ev.c_statistic(df, "s", "y", ["g"]).collect()}
+    assert got == {"a": (1.0, 1.0, 2, 2), "b": (0.0, -1.0, 2, 0), "c": (None, None, 0, 1)}
+    for limit in (10**6, 1):
+        curve = threshold_curve(df, "s", "y", ["g"], max_window_rows=limit)
+        assert rows(curve.select("g", "cutoff", "tp", "fp", "next_pos"), "g", "cutoff") == [
+            ("a", 0.4, 1, 1, None), ("a", 0.5, 1, 0, 0), ("b", 0.1, 1, 1, None), ("b", 0.9, 0, 1, 1),
+        ]
