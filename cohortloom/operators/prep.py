@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml import Pipeline
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, RFormula, StringIndexer, VectorAssembler
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .summary import value_counts
@@ -132,5 +132,10 @@ def feature_stages(numeric: Sequence[str], categories: Sequence[str], out: str =
     return stages
 
 
+def formula(outcome: str, features: Sequence[str]) -> RFormula:
+    """`outcome ~ a + b + ...` as an estimator; unseen levels get a bucket of their own."""
+    return RFormula(formula=f"{outcome} ~ {' + '.join(features)}", handleInvalid="keep")
+
+
 def feature_pipeline(numeric: Sequence[str], categories: Sequence[str], out: str = "features") -> Pipeline:
     return Pipeline(stages=feature_stages(numeric, categories, out))

@@ -68,9 +68,8 @@ def train_and_evaluate(rows: DataFrame, features: Sequence[str], o: RiskOptions
         return out.select(o.key, o.hour, F.col(o.outcome).cast("double").alias("label"), "features")
 
     prepared = vectors(train)
-    folded = prepared.join(
-        stratified_folds(prepared.select(o.key, "label"), o.key, "label", o.seed, o.folds).select(o.key, "fold"), o.key
-    )
+    fold = stratified_folds(prepared.select(o.key, "label"), o.key, "label", o.seed, o.folds).select(o.key, "fold")
+    folded = written_once(prepared.join(fold, o.key), spread_by=o.key)
     table, rounds = choose_rounds(folded, o.params, fold="fold", folds=o.folds)
     chosen = Boosting(**{**o.params.__dict__, "rounds": rounds})
     model = fit(prepared.select("features", "label"), chosen)

@@ -168,7 +168,7 @@ def gbt_importance(spark: SparkSession, sf: str) -> DataFrame:
 def folded(spark: SparkSession, sf: str, folds: int) -> DataFrame:
     train, _ = prepared(spark, sf)
     fold = stratified_folds(train.select("encounter_id", "label"), "encounter_id", "label", 1234, folds).select("encounter_id", "fold")
-    return train.join(fold, "encounter_id")
+    return written_once(train.select("encounter_id", "features", "label").join(fold, "encounter_id"), spread_by="encounter_id")
 
 
 @query

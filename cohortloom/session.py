@@ -37,15 +37,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+ROWS_PER_PART = 1_000_000
+
+
 def written_once(df: DataFrame, spread_by: str | None = None) -> DataFrame:
     """Compute now and keep on shared storage: for tables that several later jobs read.
 
-    `spread_by` deals the rows evenly by a unique key, for work that is bound by
-    cores rather than bytes (training), where coalesced partitions would idle cores.
+    `spread_by` names a unique key for work that is bound by cores rather than bytes
+    (training): if the table came out in fewer parts than there are cores, or in
+    parts of more than a million rows, it is dealt out evenly.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
+    kept = df.checkpoint()
     if spread_by is not None:
-        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-        df = df.repartition(parts, spread_by)
-    return df.checkpoint()
+        parts = max(spark.sparkContext.defaultParallelism, kept.count() // ROWS_PER_PART + 1)
+        if kept.rdd.getNumPartitions() < parts:
+            kept = kept.repartition(parts, spread_by).checkpoint()
+    return kept

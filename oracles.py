@@ -173,6 +173,11 @@ CURVE_ROWS = f"SELECT cutoff, pos, neg, next_pos, tp, fp, fn, tn, {RATES} FROM c
 HISTORY_COLUMNS = "encounter_id, n_past_year, days_since_ed, days_since_ip, days_since_icu, any_prev_promo, last_ip_stay"
 
 SQL = {
+    # sources
+    "delimited_scan": "SELECT o_totalprice AS amount, o_orderkey AS encounterid, nullif(o_orderstatus, 'P') AS status FROM orders",
+    "text_scan": "SELECT p_partkey::VARCHAR AS p_partkey, p_name, p_size::VARCHAR AS p_size FROM part",
+    "panel_hours_scan": w(PANEL) + "SELECT user_id, n_events, reading_max, hour FROM panel WHERE hour IN (1, 6)",
+    "extract_reload": w(VISITS) + "SELECT encounter_id, admit_ts FROM visits WHERE admit_ts BETWEEN TIMESTAMP '1997-01-01' AND TIMESTAMP '1997-12-31'",
     # cohort, cleaning, recodes, lookups, codes
     "cohort_filter": w(VISITS, PEOPLE, COHORT) + "SELECT encounter_id, patient_id, age, n_name, r_name FROM cohort",
     "star_lookup": w(PEOPLE) + "SELECT patient_id, lower(n_name) AS nation, lower(r_name) AS region FROM people",

@@ -191,3 +191,18 @@ def test_summaries(spark):
     assert rows(any_missing(df, ["g", "v"])) == [(False, True)]
     marked = spark.createDataFrame([("p", 1), ("p", 1), ("p", 0), ("p", None), ("q", None)], "c string, poa int")
     assert rows(percent_present(marked, ["c"], F.col("poa")), "c") == [("p", 4, 67.0), ("q", 1, None)]
+
+
+def test_formula_and_column_order(spark):
+    df = spark.createDataFrame([(1.0, "a", 0.0), (2.0, "b", 1.0)], "n double, c string, y double")
+    out = prep.formula("y", ["n", "c"]).fit(df).transform(df)
+    assert out.select("features", "label").first()["label"] == 0.0 and len(out.first()["features"]) >= 2
+    assert prep.ordered_like(df.select("y", "c", "n"), df).columns == ["n", "c", "y"]
+
+
+def test_too_many_classes_are_refused(spark):
+    df = spark.range(300).select("id", F.col("id").alias("y"))
+    with pytest.raises(ValueError):
+        split.stratified_split(df, "id", "y", 1)
+    with pytest.raises(ValueError):
+        split.stratified_folds(df, "id", "y", 1)
