@@ -25,9 +25,10 @@ def measured(col: Column) -> Column:
 
 def left_closed_bin(col: Column, low: float, high: float, width: float) -> Column:
     """Label `[a,b)` of the equal-width bin, null outside `[low, high)`."""
-    a = (F.floor((col - low) / width) * width + low).cast("long")
-    label = F.concat(F.lit("["), a.cast("string"), F.lit(","), (a + F.lit(width).cast("long")).cast("string"), F.lit(")"))
-    return F.when((col >= low) & (col < high), label)
+    start = F.floor((col - low) / width) * width + low
+    whole = float(low).is_integer() and float(width).is_integer()
+    ends = [c.cast("long").cast("string") if whole else c.cast("string") for c in (start, start + width)]
+    return F.when((col >= low) & (col < high), F.concat(F.lit("["), ends[0], F.lit(","), ends[1], F.lit(")")))
 
 
 def normal_bounds(rate: Column, n: Column) -> tuple[Column, Column]:

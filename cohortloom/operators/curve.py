@@ -46,7 +46,7 @@ def threshold_curve(
     else:
         # Written down once: the edges, the segment totals and the rows all read it.
         points = written_once(points)
-        run = _by_segment(points, by, segment_edges(points, "_position", 2 * distinct // max_window_rows + 1))
+        run = _by_segment(points, by, segment_edges(points, "_position", 2 * distinct // max_window_rows + 1, distinct))
     rated = with_rates(run).drop("_position")
     return rated if keep_missing else rated.filter(F.col("cutoff").isNotNull()).drop("missing")
 

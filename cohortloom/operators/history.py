@@ -77,8 +77,8 @@ def history_features(
     )
     # Written down once: the edges, the segment totals and the rows all read it.
     instants = written_once(instants.withColumn("_position", F.unix_micros("_ts")))
-    segments = max(2, instants.count() // hot_rows + 1)
-    cut = with_segment(instants, "_position", segment_edges(instants, "_position", segments))
+    n_rows = instants.count()
+    cut = with_segment(instants, "_position", segment_edges(instants, "_position", max(2, n_rows // hot_rows + 1), n_rows))
     at_instant = _at_index(running_segments(cut, keys, ["_ts", "_kind"], sums, maxes)).select(*keys, "_ts", *outputs)
     visits = busy.filter(F.col("_kind") == INDEX).select(*keys, "_ts", index_id)
     return features.unionByName(visits.join(at_instant, [*keys, "_ts"]).select(index_id, *[n for n in at_instant.columns if n not in {*keys, "_ts"}]))

@@ -118,16 +118,15 @@ def binary_label(col: Column) -> Column:
 
 
 def feature_stages(numeric: Sequence[str], categories: Sequence[str], out: str = "features") -> list:
-    """Index, one-hot and assemble. Unseen or missing levels go to a bucket of their own."""
-    stages = []
+    """Index, one-hot and assemble. Each category has a slot per level and one for unseen or missing levels.
+
+    Trees need no reference level, so none is dropped.
+    """
+    stages, coded = [], [f"{c}_is" for c in categories]
     if categories:
         indexed = [f"_{c}_index" for c in categories]
-        coded = [f"_{c}_code" for c in categories]
-        stages.append(StringIndexer(inputCols=list(categories), outputCols=indexed, handleInvalid="keep", stringOrderType="alphabetDesc"))
-        # The last index is the first level in alphabetical order, which is the reference level.
-        stages.append(OneHotEncoder(inputCols=indexed, outputCols=coded, handleInvalid="keep", dropLast=False))
-    else:
-        coded = []
+        stages.append(StringIndexer(inputCols=list(categories), outputCols=indexed, handleInvalid="keep", stringOrderType="alphabetAsc"))
+        stages.append(OneHotEncoder(inputCols=indexed, outputCols=coded, dropLast=False))
     stages.append(VectorAssembler(inputCols=[*numeric, *coded], outputCol=out, handleInvalid="error"))
     return stages
 

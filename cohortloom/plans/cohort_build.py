@@ -21,6 +21,7 @@ from ..operators.dedupe import earliest_event, first_row_per_key
 from ..operators.history import history_features
 from ..operators.lookup import add_columns, grouped_category, lookup_first
 from ..operators.pointintime import first_state, state_at, ward_flags
+from ..session import written_once
 
 KEYS = ["facility_cd", "patient_account_nbr"]
 
@@ -99,7 +100,8 @@ def cohort_encounters(w: Warehouse, o: BuildOptions) -> DataFrame:
     in_period = o.rule.visits(ed="emergency_room_flg", ip="ip_encounters", age="age", discharge="discharge_dt", source="source_system")
     places = w.facility.filter(o.rule.facilities(kind="facility_type_cd_desc", group="group_nm", code="facility_cd"))
     rows = base_encounters(w).filter(in_period).join(places, "facility_cd")
-    one = first_row_per_key(rows, ["encounter_id"], ["admit_ts", "discharge_ts", "dim_patient_sk"])
+    # Keyed like the fact tables, so the joins that follow share this partitioning.
+    one = first_row_per_key(rows, KEYS, ["admit_ts", "discharge_ts", "dim_patient_sk"])
     timed = one.join(first_arrivals(w), KEYS, "left")
     return timed.withColumns({
         "presentation_ts": presentation_time(F.col("admit_ts"), F.col("ed_arrival_ts")),
@@ -172,7 +174,7 @@ def prior_encounters(w: Warehouse, o: BuildOptions) -> DataFrame:
         F.col("discharge_ts").isNotNull() & F.col("medical_record_nbr").isNotNull() & ((F.col("ip_encounters") == 1) | (F.col("emergency_room_flg") == 1))
     )
     flags = flags_per_key(coded_diagnoses(w), KEYS, {n: F.col("diag_cd").rlike(p) for n, p in o.history_patterns.items()})
-    one = first_row_per_key(e, ["encounter_id"], ["discharge_ts", "dim_patient_sk"])
+    one = first_row_per_key(e, KEYS, ["discharge_ts", "dim_patient_sk"])
     return with_flags(one, flags, KEYS, list(o.history_patterns))
 
 
@@ -184,6 +186,7 @@ def encounter_history(w: Warehouse, o: BuildOptions, cohort: DataFrame) -> DataF
         prior_id="encounter_id", prior_ts="discharge_ts", count_as="num_encounters_past_year",
         since={"time_since_last_ed": "emergency_room_flg", "time_since_last_ip": "ip_encounters", "time_since_last_ic": "icu_flg"},
         ever={f"any_prev_{n}": n for n in o.history_patterns}, latest={"last_ip_los": ("ip_encounters", "length_of_stay")},
+        size_from=w.encounter.join(w.patient, "dim_patient_sk").select("facility_cd", "medical_record_nbr"),
     )
 
 
@@ -198,22 +201,25 @@ def with_history(rows: DataFrame, history: DataFrame, o: BuildOptions) -> DataFr
 def location_features(w: Warehouse, o: BuildOptions, cohort: DataFrame) -> DataFrame:
     """First ward, ward at presentation + n hours, and kind of ward by then; only encounters with a ward at that time."""
     known = w.location.filter(F.col("powerchart_flg") == 1)
-    anchors = cohort.select(*KEYS, "encounter_id", "presentation_ts")
+    anchors = cohort.select(*KEYS, "presentation_ts")
     now = state_at(anchors, known, KEYS, anchor="presentation_ts", hours=o.state_hours, start="start_ts", end="end_ts", tie=["end_ts", "medical_service"])
     first = first_state(w.location, KEYS, start="start_ts", tie=["end_ts", "medical_service"], keep={"first_location": "medical_service"})
     rows = now.join(first, KEYS, "left").select(
-        "encounter_id", F.lower("first_location").alias("first_location"), F.lower("medical_service").alias("location_now"),
+        *KEYS, F.lower("first_location").alias("first_location"), F.lower("medical_service").alias("location_now"),
         F.col("critical_care_flg").alias("in_critical_care"),
     )
     return rows.withColumns(ward_flags(F.col("first_location"), F.col("location_now")))
 
 
 def build_main_table(w: Warehouse, o: BuildOptions) -> DataFrame:
-    """One row per index encounter: description, labels, orders, history and location."""
-    cohort = cohort_encounters(w, o)
+    """One row per index encounter: description, labels, orders, history and location.
+
+    The cohort is read three times, so it is written once.
+    """
+    cohort = written_once(cohort_encounters(w, o))
     rows = describe_encounters(w, o, cohort)
     rows = add_columns(rows, order_features(w), KEYS).fillna(0, subset=["urinary_cath", "central_line"])
-    rows = with_history(rows, encounter_history(w, o, cohort), o)
     where = location_features(w, o, cohort)
-    flags = [c for c in where.columns if c not in ("encounter_id", "first_location", "location_now")]
-    return add_columns(rows, where, ["encounter_id"]).fillna(NOT_MEASURED, subset=flags)
+    flags = [c for c in where.columns if c not in (*KEYS, "first_location", "location_now")]
+    rows = add_columns(rows, where, KEYS).fillna(NOT_MEASURED, subset=flags)
+    return with_history(rows, encounter_history(w, o, cohort), o)

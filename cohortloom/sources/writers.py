@@ -30,3 +30,11 @@ def read_extract(spark: SparkSession, path: str, first_day: str | None = None, l
         if value is not None:
             df = df.filter(F.col(name) == F.lit(value).cast(df.schema[name].dataType))
     return df
+
+
+def write_keyed(df: DataFrame, name: str, keys: Sequence[str], buckets: int, path: str | None = None) -> None:
+    """A catalog table bucketed and sorted by its keys: joins of two such tables on the keys need no shuffle."""
+    writer = df.write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys)
+    if path is not None:
+        writer = writer.option("path", path)
+    writer.saveAsTable(name)

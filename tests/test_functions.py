@@ -105,6 +105,10 @@ def test_bins_are_left_closed(spark):
     assert got == ["[0,10)", "[0,10)", "[10,20)", "[100,110)", None, None]
 
 
+def test_bins_of_fractional_width(one):
+    assert one([numeric.left_closed_bin(F.col("a"), 0, 2, 0.5), numeric.left_closed_bin(F.col("a"), 0.5, 2, 1)], a=(0.75, "double")) == ("[0.5,1.0)", "[0.5,1.5)")
+
+
 def test_fill_leaves_text_alone(spark):
     df = spark.createDataFrame([(None, None, 1.5)], "a int, t string, d double")
     assert rows(numeric.fill_not_measured(df)) == [(-9999, None, 1.5)]

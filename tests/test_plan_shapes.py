@@ -63,11 +63,3 @@ def test_thresholds_and_confusion_need_no_window(spark):
     for name in ("threshold_sweep", "metric_bundle", "confusion", "at_thresholds"):
         text = plan(spark, name)
         assert "Window" not in text and "Expand" not in text
-
-
-def test_no_python_workers_outside_the_summary_tests(spark):
-    for name in entry.oracle_sql():
-        if name == "stream_hourly_panel":
-            continue
-        text = plan(spark, name)
-        assert "ArrowEvalPython" not in text and "BatchEvalPython" not in text and "MapInPandas" not in text, name

@@ -61,6 +61,21 @@ def test_typed_and_names(spark, tmp_path):
     assert readers.renamed(out, {"a": "z"}).columns == ["z", "b", "c"]
 
 
+def test_keyed_tables_join_without_a_shuffle(spark, tmp_path):
+    a = spark.range(200).selectExpr("id % 50 AS k", "id AS v")
+    b = spark.range(50).selectExpr("id AS k", "id * 2 AS w")
+    writers.write_keyed(a, "keyed_a", ["k"], 4, str(tmp_path / "a"))
+    writers.write_keyed(b, "keyed_b", ["k"], 4, str(tmp_path / "b"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = spark.table("keyed_a").join(spark.table("keyed_b"), "k")
+        assert joined.count() == 200 and "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE keyed_a")
+        spark.sql("DROP TABLE keyed_b")
+
+
 class _Conf:
     def __init__(self, values):
         self.values = values
