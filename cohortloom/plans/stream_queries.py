@@ -14,7 +14,8 @@ from .star import table
 
 @query
 def stream_hourly_panel(spark: SparkSession, sf: str) -> DataFrame:
-    events = event_stream(spark, sf, table(spark, sf, "events").schema, pattern="events.parquet")
+    # As a pattern the path may be one file or a folder of files.
+    events = event_stream(spark, f"{sf}/event[s].parquet", table(spark, sf, "events").schema)
     folder = f"{ensure_checkpoint_dir(spark)}/hourly-panel-{uuid.uuid4().hex}"
     panel = hourly_panel(events, ["user_id"], ts="ts", tie="event_id", value="value", late="40 days")
     run_panel(panel, f"{folder}/rows", f"{folder}/state").awaitTermination()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.numeric import POUNDS_PER_KG, left_closed_bin, row_sum
+from ..functions.numeric import NOT_MEASURED, POUNDS_PER_KG, left_closed_bin, measured, row_sum
 from ..operators.codes import code_pivot, with_flags
 from ..operators.summary import any_missing, frequencies as build_frequencies, group_totals, load_report as build_load_report, most_common, profile as build_profile, rate_by
 from .cohort_queries import CODES, birth_day, diagnoses
@@ -25,8 +25,8 @@ def rate_by_age_band(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def rate_by_weight_band(spark: SparkSession, sf: str) -> DataFrame:
     """Outcome rate in bands of a converted amount, rows marked as not measured left out."""
-    amount = F.when(F.col("stay") == 0, F.lit(-9999.0)).otherwise(F.col("amount") / 1000)
-    rows = visits(spark, sf).select("encounter_id", amount.alias("kg")).filter(F.col("kg") != -9999)
+    amount = F.when(F.col("stay") == 0, F.lit(float(NOT_MEASURED))).otherwise(F.col("amount") / 1000)
+    rows = visits(spark, sf).select("encounter_id", amount.alias("kg")).filter(measured(F.col("kg")))
     banded = rows.withColumn("band", left_closed_bin(F.col("kg") * POUNDS_PER_KG, 0, 1200, 100))
     rates = rate_by(banded.join(scored(spark, sf).select("encounter_id", "label"), "encounter_id"), ["band"], "label")
     return rates.select("band", "n", F.round("rate", 9).alias("rate"))

@@ -10,10 +10,9 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from ..operators.model import score
 
 
-def event_stream(spark: SparkSession, folder: str, schema, pattern: str = "*.parquet", files_per_batch: int = 100) -> DataFrame:
-    """Parquet files of a folder as a stream."""
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(folder)
+def event_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 100) -> DataFrame:
+    """Parquet files under a path as a stream."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
 def hourly_panel(events: DataFrame, keys: Sequence[str], *, ts: str, tie: str, value: str, late: str = "2 hours", width: str = "1 hour") -> DataFrame:
