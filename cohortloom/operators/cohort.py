@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
@@ -53,8 +54,6 @@ def star_join(fact: DataFrame, dims: Iterable[tuple[DataFrame, str, str]]) -> Da
 
 def drop_matching(df: DataFrame, patterns: Sequence[str], names: Iterable[str] = ()) -> DataFrame:
     """Drop the named columns and those whose name matches a pattern."""
-    import re
-
     gone = set(names) | {c for c in df.columns if any(re.search(p, c) for p in patterns)}
     return df.select(*[c for c in df.columns if c not in gone])
 

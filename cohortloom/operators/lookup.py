@@ -12,7 +12,8 @@ from .dedupe import first_row_per_key
 def lookup_first(df: DataFrame, mapping: DataFrame, *, on: str, key: str, take: Mapping[str, str], order: Sequence[str | Column]) -> DataFrame:
     """Left join to the first mapping row of each key; `take = {new name: mapping column}`.
 
-    The mapping has no size promise, so Spark picks the join from its statistics.
+    The mapping has no size promise, so Spark picks the join from its statistics: a small
+    one is broadcast, and beside a big one adaptive execution splits the rows of a hot code.
     """
     first = first_row_per_key(mapping.filter(F.col(key).isNotNull()), [key], order)
     right = first.select(F.col(key).alias(on), *[F.col(c).alias(n) for n, c in take.items()])

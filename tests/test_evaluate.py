@@ -49,6 +49,12 @@ def test_exact_interval_against_direct_sums():
         assert ev._upper_tail(k, n, 0.4) == pytest.approx(tail(0.4, range(k, n + 1)))
 
 
+def test_limits_of_large_counts_agree_in_both_forms(monkeypatch):
+    fraction = ev._exact_interval(870_000, 1_000_000)
+    monkeypatch.setattr(ev, "CUBE_ROOT_FROM", 1000)
+    assert ev._exact_interval(870_000, 1_000_000) == pytest.approx(fraction, abs=2e-8)
+
+
 @pytest.mark.parametrize("c, dxy", [(0.9234872, 0.8469744), (0.9257115, 0.8514230)])
 def test_dxy_golden(c, dxy):
     assert 2 * (c - 0.5) == pytest.approx(dxy, abs=1e-9)
