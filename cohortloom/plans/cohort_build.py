@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.numeric import NOT_MEASURED, never_happened
 from ..functions.recode import (
@@ -22,6 +22,8 @@ from ..operators.history import history_features
 from ..operators.lookup import add_columns, grouped_category, lookup_first
 from ..operators.pointintime import first_state, state_at, ward_flags
 from ..session import written_once
+from ..sources import schemas
+from ..sources.readers import read_delimited
 
 KEYS = ["facility_cd", "patient_account_nbr"]
 
@@ -59,6 +61,33 @@ class Warehouse:
     arrival_map: DataFrame
 
 
+# Folder name and schema of each table; the two mappings are delimited text.
+TABLES = {
+    "encounter": ("fact_encounter", schemas.FACT_ENCOUNTER),
+    "clinical_encounter": ("fact_clinical_encounter", schemas.FACT_CLINICAL_ENCOUNTER),
+    "diagnosis": ("fact_diagnosis", schemas.FACT_DIAGNOSIS),
+    "diagnosis_dim": ("dim_diag", schemas.DIM_DIAG),
+    "patient": ("dim_patient", schemas.DIM_PATIENT),
+    "facility": ("dim_facility", schemas.DIM_FACILITY),
+    "admit_source": ("ref_admit_source", schemas.REF_ADMIT_SOURCE),
+    "revenue_group": ("dim_std_rev_grp", schemas.DIM_STD_REV_GRP),
+    "emergency": ("emrgncy_dept", schemas.EMERGENCY_ARRIVAL),
+    "emergency_facility": ("dim_fac", schemas.DIM_FAC),
+    "order": ("fact_clinical_order", schemas.FACT_CLINICAL_ORDER),
+    "location": ("fact_clinical_location", schemas.FACT_CLINICAL_LOCATION),
+}
+
+
+def open_warehouse(spark: SparkSession, root: str, financial_map: str, arrival_map: str) -> Warehouse:
+    """Parquet tables under `root`, by the names above, and two mapping files."""
+    tables = {field_: spark.read.schema(schema).parquet(f"{root}/{name}") for field_, (name, schema) in TABLES.items()}
+    return Warehouse(
+        **tables,
+        financial_map=read_delimited(spark, financial_map, schemas.FINANCIAL_CLASS_MAP),
+        arrival_map=read_delimited(spark, arrival_map, schemas.ARRIVAL_MAP),
+    )
+
+
 @dataclass(frozen=True)
 class BuildOptions:
     rule: CohortRule

@@ -7,7 +7,7 @@ from conftest import rows
 
 from cohortloom.operators.cohort import CohortRule
 from cohortloom.operators.model import Boosting
-from cohortloom.plans.cohort_build import BuildOptions, Warehouse, build_main_table
+from cohortloom.plans.cohort_build import TABLES, BuildOptions, Warehouse, build_main_table, open_warehouse
 from cohortloom.plans.panel_build import clean_panel, extract_panel
 from cohortloom.plans.risk import RiskOptions, merge_panel, train_and_evaluate
 from cohortloom.sources import schemas as s
@@ -20,7 +20,8 @@ def encounter(account, day, out_day, patient, ed=1, ip=0, icu=0, los=1.0, place=
 
 
 @pytest.fixture(scope="module")
-def main(spark):
+def main(spark, tmp_path_factory):
+    """Built from files: the frames are written out and opened again."""
     make = spark.createDataFrame
     w = Warehouse(
         encounter=make([
@@ -69,6 +70,12 @@ def main(spark):
         financial_map=make([("self", "SELF PAY", "uninsured", 3), ("medicaid", "MEDICAID", None, 3)], s.FINANCIAL_CLASS_MAP),
         arrival_map=make([("car", "walk", 1, 0, 0, 0, 0, 0, 5), ("fire", "fire", 0, 1, 0, 0, 0, 0, 5)], s.ARRIVAL_MAP),
     )
+    root = tmp_path_factory.mktemp("warehouse")
+    for name, (folder, _) in TABLES.items():
+        getattr(w, name).write.parquet(f"{root}/{folder}")
+    w.financial_map.write.csv(f"{root}/financial.csv", header=True)
+    w.arrival_map.write.csv(f"{root}/arrival.csv", header=True)
+    w = open_warehouse(spark, str(root), f"{root}/financial.csv", f"{root}/arrival.csv")
     return {r["encounter_id"]: r for r in build_main_table(w, BuildOptions(RULE, as_of="2018-01-01")).collect()}
 
 
