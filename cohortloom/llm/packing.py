@@ -70,10 +70,9 @@ class SumOfSquares:
     def place(self, length: int) -> tuple[int, int]:
         """The sequence and the offset in it. Among equal sums the tightest gap counts."""
         n, top = self.count, self.capacity
-        before, after = n[length:top], n[: top - length].copy()
-        after[:1] = 0  # a full sequence is no longer open and counts nothing
-        change = after - before + 1  # half of what moving one sequence from gap g to g - length adds to the sum
-        change[:1] -= 1 if length < top else 0
+        before, after = n[length:top], n[: top - length]
+        change = 2 * (after - before + 1)  # what moving one sequence from gap g to g - length adds to the sum
+        change[:1] = 1 - 2 * before[:1]  # a full sequence is no longer open and counts nothing
         change[before == 0] = np.iinfo(np.int64).max
         gap = int(np.argmin(change)) + length if before.any() else top
         if gap == top:
