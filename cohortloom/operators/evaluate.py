@@ -91,27 +91,19 @@ def exact_tests(stats: DataFrame) -> DataFrame:
     )
 
 
-CUBE_ROOT_FROM = 10_000_000
+MOST_STEPS = 100_000_000  # enough for counts of 10^15
 
 
 def _beta_cdf(x: float, a: float, b: float) -> float:
-    """Regularised incomplete beta function by its continued fraction.
-
-    The fraction needs about sqrt(a + b) steps, so very large counts use the
-    cube-root normal form, which by then agrees to many digits.
-    """
+    """Regularised incomplete beta function by its continued fraction, which needs about sqrt(a + b) steps."""
     if x <= 0 or x >= 1:
         return float(x >= 1)
-    if min(a, b) > CUBE_ROOT_FROM:
-        u, v = (b * x) ** (1 / 3), (a * (1 - x)) ** (1 / 3)
-        z = 3 * (u * (1 - 1 / (9 * b)) - v * (1 - 1 / (9 * a))) / math.sqrt(u * u / b + v * v / a)
-        return math.erfc(-z / math.sqrt(2)) / 2
     if x > (a + 1) / (a + b + 2):
         return 1 - _beta_cdf(1 - x, b, a)
     front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
     tiny, c, d = 1e-300, 1.0, 1 / (1 - (a + b) * x / (a + 1))
     f = d
-    for m in range(1, 1_000_000):
+    for m in range(1, MOST_STEPS):
         for step in (
             m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
             -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)),
@@ -120,8 +112,8 @@ def _beta_cdf(x: float, a: float, b: float) -> float:
             c = (1 + step / c) or tiny
             f *= c * d
         if abs(c * d - 1) < 1e-14:
-            break
-    return front * f
+            return front * f
+    raise ArithmeticError(f"no limit within {MOST_STEPS} steps for counts {a} and {b}")
 
 
 def _exact_interval(k: int, n: int, level: float = 0.95) -> tuple[float, float]:

@@ -49,10 +49,14 @@ def test_exact_interval_against_direct_sums():
         assert ev._upper_tail(k, n, 0.4) == pytest.approx(tail(0.4, range(k, n + 1)))
 
 
-def test_limits_of_large_counts_agree_in_both_forms(monkeypatch):
-    fraction = ev._exact_interval(870_000, 1_000_000)
-    monkeypatch.setattr(ev, "CUBE_ROOT_FROM", 1000)
-    assert ev._exact_interval(870_000, 1_000_000) == pytest.approx(fraction, abs=2e-8)
+def test_limits_of_large_counts_come_from_the_fraction(monkeypatch):
+    # by the fraction, in doubles; a normal form differs in the 11th digit
+    assert ev._exact_interval(30_000_000, 60_000_000)[0] == pytest.approx(0.4998734765393, abs=5e-13)
+    low, high = ev._exact_interval(870_000, 1_000_000)
+    assert low < 0.87 < high and ev._beta_cdf(low, 870_000, 130_001) == pytest.approx(0.025, abs=1e-9)
+    monkeypatch.setattr(ev, "MOST_STEPS", 5)
+    with pytest.raises(ArithmeticError):
+        ev._exact_interval(870_000, 1_000_000)
 
 
 @pytest.mark.parametrize("c, dxy", [(0.9234872, 0.8469744), (0.9257115, 0.8514230)])
