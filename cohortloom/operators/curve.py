@@ -1,8 +1,8 @@
 """The threshold table of a score: counts at every distinct score, from high to low.
 
 Rows are first summed per distinct score, so ties and repeated scores cost
-nothing later. The running sums over the distinct scores then use one window
-per group, or segments of the score range when there are too many.
+nothing later. The sums are stored, and the running sums over the distinct scores are made in segments of the score range,
+as many as the number of distinct scores asks for.
 """
 
 from __future__ import annotations
@@ -40,27 +40,13 @@ def threshold_curve(
     """
     by = list(by)
     points = score_counts(df, score, label, by).withColumn("_position", F.coalesce(-F.col("cutoff"), F.lit(float("-inf"))))
-    distinct = df.agg(F.approx_count_distinct(F.col(score).cast("double"), 0.02).alias("n")).first()["n"]
-    if distinct <= max_window_rows:
-        run = _one_window(points, by)
-    else:
-        # Written down once: the edges, the segment totals and the rows all read it.
-        points = written_once(points)
-        run = _by_segment(points, by, segment_edges(points, "_position", 2 * distinct // max_window_rows + 1, distinct))
+    # Written down once: the number of segments, their edges and totals and the rows all read it.
+    points = written_once(points)
+    run = _by_segment(points, by, segment_edges(points, "_position", 2 * points.count() // max_window_rows + 1))
     rated = with_rates(run).drop("_position")
     return rated if keep_missing else rated.filter(F.col("cutoff").isNotNull()).drop("missing")
 
 
-def _one_window(points: DataFrame, by: list[str]) -> DataFrame:
-    ordered = Window.partitionBy(*by).orderBy("_position")
-    whole = Window.partitionBy(*by)
-    run = points.withColumns({
-        "tp": F.col("pos"), "fp": F.col("neg"), "next_pos": F.lead("pos").over(ordered),
-        "n_pos": F.sum("pos").over(whole), "n_neg": F.sum("neg").over(whole),
-    })
-    return running_window(run, by, ["_position"], ["tp", "fp"], [])
-
-
 def _by_segment(points: DataFrame, by: list[str], edges: list[float]) -> DataFrame:
     """Running sums inside each segment, moved on by the segments before; looks ahead one score over the border."""
     cut = with_segment(points, "_position", edges)

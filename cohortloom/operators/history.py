@@ -78,7 +78,7 @@ def history_features(
     # Written down once: the edges, the segment totals and the rows all read it.
     instants = written_once(instants.withColumn("_position", F.unix_micros("_ts")))
     n_rows = instants.count()
-    cut = with_segment(instants, "_position", segment_edges(instants, "_position", max(2, n_rows // hot_rows + 1), n_rows))
+    cut = with_segment(instants, "_position", segment_edges(instants, "_position", max(2, n_rows // hot_rows + 1)))
     at_instant = _at_index(running_segments(cut, keys, ["_ts", "_kind"], sums, maxes)).select(*keys, "_ts", *outputs)
     visits = busy.filter(F.col("_kind") == INDEX).select(*keys, "_ts", index_id)
     return features.unionByName(visits.join(at_instant, [*keys, "_ts"]).select(index_id, *[n for n in at_instant.columns if n not in {*keys, "_ts"}]))
@@ -95,12 +95,13 @@ def visits_in_period(
     prior_ts: str,
     days: int = 365,
     out: str = "n_past_year",
+    size_from: DataFrame | None = None,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Only the count of `history_features`, and only the index visits where it is above zero."""
     counted = history_features(
         index, prior, keys=keys, index_id=index_id, index_ts=index_ts, prior_id=prior_id, prior_ts=prior_ts,
-        count_as=out, days=days, hot_rows=hot_rows,
+        count_as=out, days=days, size_from=size_from, hot_rows=hot_rows,
     )
     return counted.filter(F.col(out) > 0)
 

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import itertools
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, replace
+from functools import reduce
 
 from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
@@ -17,6 +18,7 @@ from ..session import ensure_checkpoint_dir, written_once
 from .evaluate import c_statistic, two_class_summary
 
 TREES_PER_STEP = 50
+FIRST_STAGE = 30
 
 
 @dataclass(frozen=True)
@@ -29,13 +31,14 @@ class Boosting:
     subsample: float = 0.5
     column_share: float = 1.0
     min_child_rows: int = 1
+    min_info_gain: float = 0.0
     seed: int = 1234
 
     def estimator(self, features: str, label: str, validation: str | None = None) -> GBTClassifier:
         booster = GBTClassifier(
             featuresCol=features, labelCol=label, maxIter=self.rounds, stepSize=self.eta, maxDepth=self.depth,
             subsamplingRate=self.subsample, featureSubsetStrategy=str(self.column_share) if self.column_share < 1 else "all",
-            minInstancesPerNode=max(1, self.min_child_rows), seed=self.seed, cacheNodeIds=True, checkpointInterval=10,
+            minInstancesPerNode=max(1, self.min_child_rows), minInfoGain=self.min_info_gain, seed=self.seed, cacheNodeIds=True, checkpointInterval=10,
         )
         return booster if validation is None else booster.setValidationIndicatorCol(validation)
 
@@ -69,42 +72,51 @@ def fit(train: DataFrame, params: Boosting, *, features: str = "features", label
 
 
 def score(model, df: DataFrame, out: str = "score") -> DataFrame:
-    """Add the probability of the positive class."""
-    keep = df.columns
+    """Add the probability of the positive class; a column of that name is replaced."""
+    keep = [c for c in df.columns if c != out]
     return model.transform(df).select(*keep, vector_to_array("probability")[1].alias(out))
 
 
 def staged_scores(model: GBTClassificationModel, df: DataFrame, rounds: Sequence[int] | None = None, out: str = "scores") -> DataFrame:
-    """Add the probabilities after each of `rounds` trees as an array: one model gives every smaller one.
+    """Add the probabilities after each of `rounds` trees as an array: one model gives every smaller one."""
+    keep = df.columns
+    for work, _ in _steps(model, df.withColumn("_scores", F.array().cast("array<double>")), sorted(set(rounds or range(1, len(model.trees) + 1)))):
+        pass
+    return work.select(*keep, F.concat("_scores", "_step").alias(out))
 
-    Long models are read TREES_PER_STEP trees at a time; the running sum is
-    checkpointed in between so that the plan stays short.
-    """
-    rounds = set(rounds or range(1, len(model.trees) + 1))
+
+def _steps(model: GBTClassificationModel, df: DataFrame, rounds: Sequence[int]) -> Iterator[tuple[DataFrame, list[int]]]:
+    """TREES_PER_STEP trees at a time: the rows with `_step`, the probabilities after those of `rounds` in this step, and which
+    these are; a column `_scores` collects them. The running sum is written between steps, so that the plan stays short."""
     keep, features = df.columns, model.getFeaturesCol()
-    trees, weights = model.trees[: max(rounds)], model.treeWeights[: max(rounds)]
-    work = df.withColumns({"_margin": F.lit(0.0), "_scores": F.array().cast("array<double>")})
-    for start in range(0, len(trees), TREES_PER_STEP):
+    both = list(zip(model.trees, model.treeWeights))[: max(rounds)]
+    work = df.withColumn("_margin", F.lit(0.0))
+    for start in range(0, len(both), TREES_PER_STEP):
         if start:
-            work = written_once(work)
-        step = list(zip(trees, weights))[start : start + TREES_PER_STEP]
+            if "_scores" in keep:
+                work = work.withColumn("_scores", F.concat("_scores", "_step"))
+            work = written_once(work.drop("_step"))
+        step = both[start : start + TREES_PER_STEP]
         for i, (tree, _) in enumerate(step):
             work = tree.setFeaturesCol(features).setPredictionCol(f"_tree{i}").transform(work)
-        margin, margins = F.col("_margin"), []
+        margin, margins, here = F.col("_margin"), [], []
         for i, (_, weight) in enumerate(step):
             margin = margin + F.lit(float(weight)) * F.col(f"_tree{i}")
             if start + i + 1 in rounds:
                 margins.append(1 / (1 + F.exp(-2 * margin)))
-        work = work.select(*keep, F.concat("_scores", F.array(*margins).cast("array<double>")).alias("_scores"), margin.alias("_margin"))
-    return work.select(*keep, F.col("_scores").alias(out))
+                here.append(start + i + 1)
+        work = work.select(*keep, F.array(*margins).cast("array<double>").alias("_step"), margin.alias("_margin"))
+        yield work, here
 
 
-def round_metrics(model: GBTClassificationModel, df: DataFrame, label: str, rounds: Sequence[int] | None = None) -> DataFrame:
-    """round, c, dxy, n, missing on the given rows."""
-    rounds = list(rounds or range(1, len(model.trees) + 1))
-    long = staged_scores(model, df, rounds).select(label, F.posexplode("scores").alias("_i", "score"))
-    named = long.withColumn("round", F.element_at(F.array(*[F.lit(r) for r in rounds]), F.col("_i") + 1))
-    return c_statistic(named, "score", label, ["round"])
+def round_metrics(model: GBTClassificationModel, df: DataFrame, label: str, rounds: Sequence[int] | None = None) -> list[tuple]:
+    """(round, c) on the given rows. Rows are unfolded for the rounds of one step only, and counted per score before any shuffle."""
+    out = []
+    for step, here in _steps(model, df, sorted(set(rounds or range(1, len(model.trees) + 1)))):
+        if here:
+            long = step.select(label, F.posexplode("_step").alias("_i", "score"))
+            out += [(here[r["_i"]], r["c"]) for r in c_statistic(long, "score", label, ["_i"]).collect()]
+    return out
 
 
 def choose_rounds(
@@ -117,30 +129,39 @@ def choose_rounds(
     label: str = "label",
     patience: int = 20,
     rounds: Sequence[int] | None = None,
+    with_train: bool = True,
     parallelism: int = 2,
 ) -> tuple[DataFrame, int]:
     """Cross-validated area per round and the round to use.
 
     The table has one row per round: mean and standard deviation over the folds on
-    training and held-out rows. The best round is the first with the highest held-out
-    mean before `patience` rounds in a row bring no gain.
+    training (if asked for) and held-out rows. The best round is the first with the highest held-out
+    mean before `patience` rounds in a row bring no gain. Models grow in stages, each twice as
+    long as the one before, and no further than that: at most twice the trees that were needed.
     """
-    rounds = list(rounds or range(1, params.rounds + 1))
+    wanted = sorted(set(rounds or range(1, params.rounds + 1)))
     ensure_checkpoint_dir(df.sparkSession)
     rows = df.select(features, label, fold).persist()
 
-    def one(k: int) -> DataFrame:
+    def one(k: int, grown: int, new: list[int]) -> list[tuple]:
         train, held_out = rows.filter(F.col(fold) != k), rows.filter(F.col(fold) == k)
-        model = fit(train, params, features=features, label=label)
-        measured = [
-            round_metrics(model, part, label, rounds).select(F.lit(k).alias("fold"), F.lit(name).alias("part"), "round", "c").collect()
-            for name, part in (("train", train), ("test", held_out))
-        ]
-        return [r for part in measured for r in part]
+        model = fit(train, replace(params, rounds=grown), features=features, label=label)
+        parts = [("train", train)] * with_train + [("test", held_out)]
+        return [(k, name, r, c) for name, part in parts for r, c in round_metrics(model, part, label, new)]
 
+    log: list[tuple] = []
+    size = FIRST_STAGE + patience
     try:
         with ThreadPoolExecutor(parallelism) as pool:
-            log = [r for part in pool.map(one, range(folds)) for r in part]
+            done = 0
+            while True:
+                new = [r for r in wanted if done < r <= size]
+                if new:
+                    log += [r for part in pool.map(lambda k: one(k, max(new), new), range(folds)) for r in part]
+                done, size = size, 2 * size
+                best, waited = _best_round(log, patience)
+                if waited or done >= wanted[-1]:
+                    break
     finally:
         rows.unpersist()
     # folds x parts x rounds rows
@@ -150,15 +171,40 @@ def choose_rounds(
         .agg(*[f(F.when(F.col("part") == p, F.col("c"))).alias(f"{p}_{n}") for p in ("train", "test") for n, f in (("mean", F.avg), ("sd", F.stddev_samp))])
         .orderBy("round")
     )
-    best_round, best, waited = rounds[0], float("-inf"), 0
-    for r in table.collect():
-        if r["test_mean"] is not None and r["test_mean"] > best:
-            best_round, best, waited = r["round"], r["test_mean"], 0
+    return table, best
+
+
+def _best_round(log: Sequence[tuple], patience: int) -> tuple[int, bool]:
+    """The first round with the highest held-out mean before the patience ran out, and whether it did."""
+    by: dict[int, list[float]] = {}
+    for _, part, r, c in log:
+        if part == "test":
+            by.setdefault(r, []).append(c)
+    best_round, best, waited = min(by), float("-inf"), 0
+    for r in sorted(by):
+        known = [c for c in by[r] if c is not None]
+        mean = sum(known) / len(known) if known else None
+        if mean is not None and mean > best:
+            best_round, best, waited = r, mean, 0
         else:
             waited += 1
             if waited >= patience:
-                break
-    return table, best_round
+                return best_round, True
+    return best_round, False
+
+
+def out_of_fold(df: DataFrame, params: Boosting, *, key: str, fold: str, folds: int, features: str = "features", label: str = "label", out: str = "score") -> DataFrame:
+    """key, fold, label and the score of each row by the model of the other folds: for thresholds and calibration without test rows."""
+    ensure_checkpoint_dir(df.sparkSession)
+    rows = df.select(key, features, label, fold).persist()
+    try:
+        parts = []
+        for k in range(folds):
+            model = fit(rows.filter(F.col(fold) != k).select(features, label), params, features=features, label=label)
+            parts.append(written_once(score(model, rows.filter(F.col(fold) == k), out).select(key, fold, label, out)))
+    finally:
+        rows.unpersist()
+    return reduce(DataFrame.unionByName, parts)
 
 
 def search_grid(
@@ -197,7 +243,7 @@ def search_grid(
     finally:
         rows.unpersist()
     names = list(asdict(grid[0]))
-    types = "rounds int, eta double, depth int, subsample double, column_share double, min_child_rows int, seed int"
+    types = "rounds int, eta double, depth int, subsample double, column_share double, min_child_rows int, min_info_gain double, seed int"
     long = df.sparkSession.createDataFrame(log, f"{types}, fold int, roc double, sens double, spec double")
     return long.groupBy(*names).agg(
         *[F.avg(m).alias(m) for m in ("roc", "sens", "spec")], *[F.stddev_samp(m).alias(f"{m}_sd") for m in ("roc", "sens", "spec")]
@@ -206,7 +252,7 @@ def search_grid(
 
 def _values(p: Boosting) -> tuple:
     d = asdict(p)
-    return tuple(float(v) if k in ("eta", "subsample", "column_share") else int(v) for k, v in d.items())
+    return tuple(float(v) if k in ("eta", "subsample", "column_share", "min_info_gain") else int(v) for k, v in d.items())
 
 
 def best_setting(results: DataFrame) -> DataFrame:

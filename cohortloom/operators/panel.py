@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.numeric import hash_text
 from .dedupe import first_row_per_key
@@ -32,7 +32,8 @@ def snapshot_panel(
     One pass: an event is put in the first hour it counts for, aggregated per
     (entity, hour) with map-side combine, and the few hour rows of an entity
     are then merged cumulatively. Events are not repeated per hour. A missing
-    measurement is skipped.
+    measurement is skipped. With a whole number as `tie` time and tie are one
+    number of fixed width, which hash aggregation takes; other ties sort.
     """
     keys, hours = list(keys), sorted(hours)
     joined = salted_join(
@@ -43,15 +44,20 @@ def snapshot_panel(
     for h in hours:
         test = F.col(ts) <= F.col(anchor) + F.make_dt_interval(hours=F.lit(h))
         slot = F.when(test, h) if slot is None else slot.when(test, h)
-    rows = joined.select(*keys, slot.alias("_hour"), F.struct(F.col(ts), F.col(tie)).alias("_at"), *[v.alias(f"_v_{n}") for n, v in measures.items()])
+    if isinstance(events.schema[tie].dataType, T.IntegralType):
+        width = F.lit("10000000000000000000").cast("decimal(20,0)")  # more than any 64-bit tie
+        at = F.unix_micros(F.col(ts).cast("timestamp")).cast("decimal(18,0)") * width + F.col(tie).cast("decimal(19,0)")
+    else:
+        at = F.struct(F.col(ts), F.col(tie))
+    rows = joined.select(*keys, slot.alias("_hour"), at.alias("_at"), *[v.alias(f"_v_{n}") for n, v in measures.items()])
 
     parts = []
     for n in measures:
-        v, known = F.col(f"_v_{n}"), F.col(f"_v_{n}").isNotNull()
-        point = F.when(known, F.struct(F.col("_at").alias("at"), v.alias("v")))
+        v = F.col(f"_v_{n}")
+        when = F.when(v.isNotNull(), F.col("_at"))
         parts += [
-            F.min(point).alias(f"_first_{n}"), F.max(point).alias(f"_last_{n}"), F.min(v).alias(f"_min_{n}"),
-            F.max(v).alias(f"_max_{n}"), F.sum(v).alias(f"_sum_{n}"), F.count(v).alias(f"_n_{n}"),
+            F.min_by(v, when).alias(f"_first_{n}"), F.min(when).alias(f"_begin_{n}"), F.max_by(v, when).alias(f"_last_{n}"), F.max(when).alias(f"_end_{n}"),
+            F.min(v).alias(f"_min_{n}"), F.max(v).alias(f"_max_{n}"), F.sum(v).alias(f"_sum_{n}"), F.count(v).alias(f"_n_{n}"),
         ]
     by_slot = rows.groupBy(*keys, "_hour").agg(F.count(F.lit(1)).alias("_n"), *parts)
 
@@ -61,7 +67,8 @@ def snapshot_panel(
     def row(h: int) -> Column:
         fields = [F.lit(h).alias("hour"), F.coalesce(upto(F.sum, "_n", h), F.lit(0)).alias("n_events")]
         for n in measures:
-            first, last = upto(F.min, f"_first_{n}", h)["v"], upto(F.max, f"_last_{n}", h)["v"]
+            first = F.min_by(f"_first_{n}", F.when(F.col("_hour") <= h, F.col(f"_begin_{n}")))
+            last = F.max_by(f"_last_{n}", F.when(F.col("_hour") <= h, F.col(f"_end_{n}")))
             fields += [
                 first.alias(f"{n}_first"), last.alias(f"{n}_last"),
                 upto(F.min, f"_min_{n}", h).alias(f"{n}_min"), upto(F.max, f"_max_{n}", h).alias(f"{n}_max"),

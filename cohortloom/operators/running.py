@@ -14,24 +14,15 @@ from collections.abc import Sequence
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window, functions as F
 
-MAX_SEGMENTS = 10_000
-EDGE_ROWS = 1_000_000
+def segment_edges(df: DataFrame, position: str, segments: int) -> list[float]:
+    """Inner edges that cut `position` into about equal parts: one number per segment, on the driver.
 
-
-def segment_edges(df: DataFrame, position: str, segments: int, n_rows: int) -> list[float]:
-    """Inner edges that cut `position` into about equal parts; a bounded list on the driver.
-
-    Of a big table a sample of about EDGE_ROWS rows places the edges. They decide only how
-    even the segments are: every row of `df` is in some segment whatever the edges.
+    They decide only how even the segments are: every row of `df` is in some segment whatever the edges.
     """
-    segments = max(1, min(segments, MAX_SEGMENTS))
-    if segments == 1:
+    if segments <= 1:
         return []
-    rows = df.select(F.col(position).cast("double").alias("p"))
-    if n_rows > EDGE_ROWS:
-        rows = rows.sample(EDGE_ROWS / n_rows, seed=1)
     shares = [i / segments for i in range(1, segments)]
-    row = rows.agg(F.percentile_approx("p", shares, max(10_000, 10 * segments)).alias("e")).first()
+    row = df.agg(F.percentile_approx(F.col(position).cast("double"), shares, max(10_000, 10 * segments)).alias("e")).first()
     return sorted({e for e in row["e"] or [] if math.isfinite(e)})
 
 

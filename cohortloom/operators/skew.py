@@ -1,7 +1,7 @@
 """Keys that hold far more rows than one task should sort.
 
-`hot_keys` finds them with one map-side combined count. The list is bounded by
-`max_keys`, so it may be collected and broadcast whatever the size of the data.
+`hot_keys` finds them with one map-side combined count and stores them with their counts. There can be at most one for each
+`min_rows` rows of the table; up to MOST_BROADCAST they are sent to every task, beyond that Spark joins them as it likes.
 """
 
 from __future__ import annotations
@@ -10,27 +10,28 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-HOT_ROWS = 5_000_000
-MAX_HOT_KEYS = 10_000
+from ..session import written_once
 
+HOT_ROWS = 5_000_000
+MOST_BROADCAST = 200_000
 
-def hot_keys(df: DataFrame, keys: Sequence[str], min_rows: int = HOT_ROWS, max_keys: int = MAX_HOT_KEYS) -> DataFrame | None:
-    """The keys with more than `min_rows` rows, biggest first, or None if there are none.
 
-    Any key left out because of `max_keys` holds at most 1/max_keys of the rows.
-    """
+def hot_keys(df: DataFrame, keys: Sequence[str], min_rows: int = HOT_ROWS) -> DataFrame | None:
+    """All keys with more than `min_rows` rows, with their number as `_rows`, or None if there are none."""
     counts = df.select(*keys).dropna().groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    busy = counts.filter(F.col("_rows") > min_rows).orderBy(F.desc("_rows"), *keys).limit(max_keys)
-    rows = busy.select(*keys).collect()
-    if not rows:
-        return None
-    return df.sparkSession.createDataFrame(rows, schema=df.select(*keys).schema)
+    hot = written_once(counts.filter(F.col("_rows") > min_rows))
+    return hot if hot.take(1) else None
+
+
+def _sent(hot: DataFrame) -> DataFrame:
+    return F.broadcast(hot) if hot.count() <= MOST_BROADCAST else hot
 
 
 def split_by_heat(df: DataFrame, keys: Sequence[str], hot: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows of ordinary keys, rows of hot keys). `hot` comes from `hot_keys`, at most MAX_HOT_KEYS rows."""
-    small = F.broadcast(hot)
-    return df.join(small, list(keys), "left_anti"), df.join(small, list(keys), "left_semi")
+    """(rows of ordinary keys, rows of hot keys). `hot` comes from `hot_keys`."""
+    keys = list(keys)
+    few = _sent(hot.select(*keys))
+    return df.join(few, keys, "left_anti"), df.join(few, keys, "left_semi")
 
 
 def salted_join(
@@ -42,9 +43,8 @@ def salted_join(
     condition: Column | None = None,
     how: str = "inner",
     min_rows: int = HOT_ROWS,
-    salts: int = 64,
 ) -> DataFrame:
-    """Equi-join on `keys` where `many` may be skewed: rows of a hot key are spread over `salts` tasks.
+    """Equi-join on `keys` where `many` may be skewed: rows of a hot key are spread over one task for each `min_rows` of them.
 
     Only the hot keys' rows of `one` are repeated, so nothing grows for ordinary
     keys. `spread_on` names columns of `many` that differ between its rows.
@@ -55,10 +55,9 @@ def salted_join(
     if hot is None:
         joined = many.join(one, keys, how)
         return joined if condition is None else joined.filter(condition)
-    mark = F.broadcast(hot.withColumn("_hot", F.lit(True)))
-    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread_on), F.lit(salts)).cast("int")).otherwise(0)
-    left = many.join(mark, keys, "left").withColumn("_salt", salt).drop("_hot")
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    right = one.join(mark, keys, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    mark = _sent(hot.select(*keys, F.ceil(F.col("_rows") / min_rows).alias("_salts")))
+    salts = F.coalesce("_salts", F.lit(1))
+    left = many.join(mark, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(*spread_on), salts)).drop("_salts")
+    right = one.join(mark, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).drop("_salts")
     joined = left.join(right, keys + ["_salt"], how).drop("_salt")
     return joined if condition is None else joined.filter(condition)

@@ -12,15 +12,23 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.numeric import hash_number, hash_text
+from ..session import written_once
 
-BIN_DIGITS = 3  # 4,096 bins per class
-MAX_CLASSES = 100
+BIN_ROWS = 100_000
+MOST_BROADCAST = 500_000
 
 
-def _check_classes(df: DataFrame, classes: Sequence[str]) -> None:
-    """The bin table has 16**BIN_DIGITS rows per class and is broadcast, so the classes must be few."""
-    if df.select(*classes).distinct().limit(MAX_CLASSES + 1).count() > MAX_CLASSES:
-        raise ValueError(f"more than {MAX_CLASSES} classes in {list(classes)}")
+def bin_digits(n_rows: int) -> int:
+    """Hex digits of the hash that cut a class into bins of at most about BIN_ROWS rows."""
+    digits = 3
+    while n_rows > BIN_ROWS * 16**digits:
+        digits += 1
+    return digits
+
+
+def _sent(table: DataFrame) -> DataFrame:
+    """A stored table to every task if it is small; beyond that Spark's choice."""
+    return F.broadcast(table) if table.count() <= MOST_BROADCAST else table
 
 
 def _bins(marked: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -31,67 +39,50 @@ def _bins(marked: DataFrame, names: Sequence[str]) -> DataFrame:
     return counts.withColumns({"_before": F.coalesce(F.sum("_n").over(earlier), F.lit(0)), "_size": F.sum("_n").over(whole)})
 
 
-def hash_rank(df: DataFrame, key: str, strata: Sequence[str], seed: int | str, out: str = "rank", size: str = "stratum_size", digits: int = BIN_DIGITS) -> DataFrame:
+def hash_rank(df: DataFrame, key: str, strata: Sequence[str], seed: int | str, out: str = "rank", size: str = "stratum_size", digits: int | None = None) -> DataFrame:
     """Add the rank 1..n of every row inside its class in hash order, and n. `key` is unique."""
     strata = list(strata)
-    _check_classes(df, strata)
+    digits = digits or bin_digits(df.count())
     marked = df.withColumn("_hash", hash_text(seed, F.col(key))).withColumn("_bin", F.substring("_hash", 1, digits))
-    offsets = _bins(marked.select(*strata, "_bin"), strata).select(
+    offsets = written_once(_bins(marked.select(*strata, "_bin"), strata).select(
         *[F.col(c).alias(f"_o_{c}") for c in [*strata, "_bin"]], "_before", F.col("_size").alias(size)
-    )
+    ))
     on = F.col("_bin") == F.col("_o__bin")
     for c in strata:
         on &= F.col(c).eqNullSafe(F.col(f"_o_{c}"))
     inside = F.row_number().over(Window.partitionBy(*strata, "_bin").orderBy("_hash", key))
-    ranked = marked.withColumn("_inside", inside).join(F.broadcast(offsets), on)
+    ranked = marked.withColumn("_inside", inside).join(_sent(offsets), on)
     return ranked.select(*df.columns, (F.col("_before") + F.col("_inside")).alias(out), size)
 
 
-def cut_points(entities: DataFrame, key: str, outcome: str, seed: int | str, share: float, digits: int = BIN_DIGITS) -> list[tuple]:
-    """Per class the (class, hash, key) of the last entity inside the share; at most MAX_CLASSES of them.
+def cut_points(entities: DataFrame, key: str, outcome: str, seed: int | str, share: float, digits: int | None = None) -> DataFrame:
+    """Per class the last entity inside the share: _class, _cut_hash, _cut_key; classes without one have no row.
 
     Bin counts tell in which bin of a class the cut falls; only that bin is ranked.
     """
-    marked = entities.select(F.col(outcome).alias("_class"), F.col(key).alias("_key"), hash_text(seed, F.col(key)).alias("_hash")).withColumn(
-        "_bin", F.substring("_hash", 1, digits)
-    )
+    marked = entities.select(F.col(outcome).alias("_class"), F.col(key).alias("_key"), hash_text(seed, F.col(key)).alias("_hash"))
+    marked = written_once(marked)
+    marked = marked.withColumn("_bin", F.substring("_hash", 1, digits or bin_digits(marked.count())))
     place = F.ceil(F.round(F.col("_size") * F.lit(share), 6)) - F.col("_before")
-    cut = _bins(marked.select("_class", "_bin"), ["_class"]).withColumn("_place", place).filter(
-        (F.col("_place") > 0) & (F.col("_place") <= F.col("_n"))
-    )
-    # One bin per class.
-    bins = cut.select("_class", "_bin", "_place").limit(MAX_CLASSES + 1).collect()
-    if len(bins) > MAX_CLASSES:
-        raise ValueError(f"more than {MAX_CLASSES} classes in {outcome}")
-    wanted, target = F.lit(False), F.lit(None).cast("long")
-    for value, bin_, at in bins:
-        here = _is(F.col("_class"), value) & (F.col("_bin") == bin_)
-        wanted, target = wanted | here, F.when(here, F.lit(at)).otherwise(target)
+    cut = _bins(marked.select("_class", "_bin"), ["_class"]).withColumn("_place", place).filter((F.col("_place") > 0) & (F.col("_place") <= F.col("_n")))
+    cut = written_once(cut.select(F.col("_class").alias("_c"), F.col("_bin").alias("_b"), "_place"))  # one bin per class
+    here = marked.join(_sent(cut), F.col("_class").eqNullSafe(F.col("_c")) & (F.col("_bin") == F.col("_b")))
     row = F.row_number().over(Window.partitionBy("_class", "_bin").orderBy("_hash", "_key"))
-    last = marked.filter(wanted).withColumns({"_row": row, "_target": target}).filter("_row = _target")
-    return [tuple(r) for r in last.select("_class", "_hash", "_key").collect()]
-
+    last = here.withColumn("_row", row).filter("_row = _place")
+    return written_once(last.select("_class", F.col("_hash").alias("_cut_hash"), F.col("_key").alias("_cut_key")))
 
-def _is(col: Column, value: object) -> Column:
-    return col.isNull() if value is None else col.eqNullSafe(F.lit(value))
 
-
-def stratified_split(entities: DataFrame, key: str, outcome: str, seed: int | str, share: float = 0.7, digits: int = BIN_DIGITS) -> DataFrame:
+def stratified_split(entities: DataFrame, key: str, outcome: str, seed: int | str, share: float = 0.7, digits: int | None = None) -> DataFrame:
     """Add `is_train`: in each outcome class the first ceil(share x n) entities in hash order.
 
-    The cut points are found first; after that the flag is a plain column and the
-    entities are not shuffled. Entities added later fall on the same side.
+    The cut points are found first, from a stored table of keys and outcomes; with them the flag needs no shuffle of the
+    entities while the classes are few. Entities added later fall on the same side.
     """
-    points = cut_points(entities, key, outcome, seed, share, digits)
+    points = _sent(cut_points(entities, key, outcome, seed, share, digits))
     digest = hash_text(seed, F.col(key))
-
-    def before(h: str, k: object) -> Column:
-        return (digest < h) | ((digest == h) & (F.col(key) <= k))
-
-    inside = F.lit(False)
-    for value, h, k in points:
-        inside = inside | (_is(F.col(outcome), value) & before(h, k))
-    return entities.withColumn("is_train", inside)
+    inside = (digest < F.col("_cut_hash")) | ((digest == F.col("_cut_hash")) & (F.col(key) <= F.col("_cut_key")))
+    marked = entities.join(points, F.col(outcome).eqNullSafe(F.col("_class")), "left")
+    return marked.select(*entities.columns, F.coalesce(inside, F.lit(False)).alias("is_train"))
 
 
 def stratified_folds(entities: DataFrame, key: str, outcome: str, seed: int | str, folds: int = 5) -> DataFrame:

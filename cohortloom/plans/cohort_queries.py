@@ -163,7 +163,7 @@ def discharge_cleaning(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def keyword_flag_text(spark: SparkSession, sf: str) -> DataFrame:
-    words = keyword_flags(F.col("text"), ["license", "system", "value"])
+    words = keyword_flags(F.col("text"), ["license", "the", "avec"])
     return table(spark, sf, "documents").select("doc_id", *[c.alias(f"has_{w}") for w, c in words.items()])
 
 

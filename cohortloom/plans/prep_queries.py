@@ -7,10 +7,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.numeric import fill_not_measured
 from ..functions.text import null_tokens
 from ..operators.prep import (
-    bucket_new_levels, check_columns, check_missing, fit_common_levels, fit_levels, fit_modes, impute_modes,
-    modes, one_hot as add_indicators, pool_rare,
+    binary_label, bucket_new_levels, check_columns, check_missing, fit_common_levels, fit_levels, fit_modes, impute_modes,
+    modes, one_hot as add_indicators, ordered_like, pool_rare, schema_report,
 )
 from ..operators.split import half_split as build_half_split, stratified_folds, stratified_split as build_split, rest_rows as build_rest, test_rows as build_test, train_rows as build_train
+from ..operators.panel import aligned, union_panels
+from ..sources.readers import renamed
 from .registry import query
 from .star import scored, table
 
@@ -94,6 +96,28 @@ def schema_guard(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.max("o_orderkey").alias("last_key"), F.round(F.max("o_totalprice"), 2).alias("top_price"))
 
 
+@query
+def schema_compare(spark: SparkSession, sf: str) -> DataFrame:
+    """Columns of two tables that should be alike: where they are, and whether type and place agree."""
+    first = renamed(table(spark, sf, "customer"), {"c_custkey": "key", "c_name": "name", "c_nationkey": "nation", "c_acctbal": "balance"})
+    second = renamed(table(spark, sf, "supplier"), {"s_suppkey": "key", "s_name": "name", "s_nationkey": "nation", "s_acctbal": "balance"})
+    return schema_report(first, second)
+
+
+@query
+def renamed_columns(spark: SparkSession, sf: str) -> DataFrame:
+    """Suppliers with the names and in the order of a template, under customers."""
+    names = {"s_suppkey": "key", "s_name": "name", "s_nationkey": "nation"}
+    second = renamed(table(spark, sf, "supplier"), names).select("nation", "name", "key")
+    first = aligned(table(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey"), second.select("key", "name", "nation"))
+    return union_panels([first, ordered_like(second, first)])
+
+
+@query
+def label_words(spark: SparkSession, sf: str) -> DataFrame:
+    return scored(spark, sf).select("encounter_id", binary_label(F.col("label")).alias("outcome_yn"))
+
+
 @query
 def not_measured_fill(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events").select("event_id", "event_type", F.when(F.col("event_type") == "click", F.col("value")).alias("click_value"))

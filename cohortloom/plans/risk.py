@@ -9,6 +9,7 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassificationModel
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.numeric import fill_not_measured
 from ..operators.curve import threshold_curve
 from ..operators.evaluate import alert_cutoffs, c_statistic
 from ..operators.model import Boosting, choose_rounds, fit, importance, score
@@ -51,15 +52,16 @@ def merge_panel(main: DataFrame, panel: DataFrame, main_features: Sequence[str],
 
 
 def train_and_evaluate(rows: DataFrame, features: Sequence[str], o: RiskOptions = RiskOptions()) -> RiskReport:
-    """`rows`: one row per (key, hour) with features and a 0/1 outcome."""
+    """`rows`: one row per (key, hour) with features and a 0/1 outcome. They are computed once; a missing number is filled as not measured."""
+    categories = nominal(rows, features)
+    numeric = [o.hour, *[c for c in features if c not in categories]]
+    rows = written_once(fill_not_measured(rows.select(o.key, o.outcome, *dict.fromkeys([o.hour, *features])), numeric))
     entities = rows.filter(F.col(o.hour) == o.split_hour).select(o.key, o.outcome)
     split = stratified_split(entities, o.key, o.outcome, o.seed, o.share)
-    split = split.select(o.key, "is_train")
+    split = written_once(split.select(o.key, "is_train"))
     train = written_once(train_rows(one_row_per_entity(rows, [o.key], o.hour, o.seed), split, o.key), spread_by=o.key)
     test = test_rows(rows, split, o.key)
 
-    categories = nominal(rows, features)
-    numeric = [o.hour, *[c for c in features if c not in categories]]
     learned = fit_modes(train, categories)
     stages = feature_pipeline(numeric, categories).fit(impute_modes(train, learned))
 

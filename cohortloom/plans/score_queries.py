@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import evaluate as ev
 from ..operators.curve import threshold_curve
-from ..operators.model import Boosting, choose_rounds, fit, importance, score, search_grid
+from ..operators.model import Boosting, best_setting, choose_rounds, fit, importance, out_of_fold, score, search_grid
 from ..operators.prep import feature_pipeline
 from ..operators.split import stratified_folds, stratified_split
 from ..session import written_once
@@ -64,10 +64,14 @@ def confusion_document_labels(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(ev.confusion_stats(ev.confusion_counts(rows, "score", "label", 0.5)), *STATS)
 
 
+EXACT = ("accuracy_lower", "accuracy_upper", "p_accuracy_above_nir", "p_mcnemar")
+
+
 @query
 def confusion_exact(spark: SparkSession, sf: str) -> DataFrame:
-    """With the exact interval and p-values; these come from a few summary rows."""
-    return ev.exact_tests(ev.confusion_stats(ev.confusion_counts(scored(spark, sf), "score", "label", 0.5, ["hour"])))
+    """The exact interval and p-values; these come from a few summary rows."""
+    tests = ev.exact_tests(ev.confusion_stats(ev.confusion_counts(scored(spark, sf), "score", "label", 0.5, ["hour"])))
+    return rounded(tests.select("hour", "tp", "fp", "fn", "tn", *EXACT), *EXACT, digits=6)
 
 
 @query
@@ -126,21 +130,22 @@ def metric_bundle(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(ev.metric_bundle(scored(spark, sf), "score", "label", [0.1, 0.3, 0.5]), "value")
 
 
-# Model queries: no SQL form. They read whole tables; rounds are few to keep them quick.
+# Model queries. Their features are flags, trees are deep enough for all of them and every row counts, so that a boosted model
+# is a table with one value for each combination of flags, which SQL can compute. Deeper runs on more features are in the tests.
 
-NUMERIC = ["amount", "stay", "n_lines", "quantity", "ed", "ip"]
-CATEGORIES = ["priority", "segment"]
+NUMERIC = ["ed", "ip", "long_stay"]
+CATEGORIES = ["urgency"]
+DEEP = {"depth": 6, "subsample": 1.0}
 
 
 def model_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """One row per visit: a few numbers, two categories and a label that depends on them."""
-    lines = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("encounter_id")).agg(
-        F.count(F.lit(1)).alias("n_lines"), F.sum("l_quantity").alias("quantity"),
-        F.max(((F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "F")).cast("int")).alias("label"),
+    """One row per visit: three flags, a category of two levels and a label."""
+    label = scored(spark, sf).select("encounter_id", F.col("label").cast("double").alias("label"))
+    urgent = F.col("priority").isin("1-URGENT", "2-HIGH")
+    rows = visits(spark, sf).select(
+        "encounter_id", "ed", "ip", (F.col("stay") >= 7).cast("int").alias("long_stay"), F.when(urgent, "high").otherwise("low").alias("urgency")
     )
-    people = table(spark, sf, "customer").select(F.col("c_custkey").alias("patient_id"), F.col("c_mktsegment").alias("segment"))
-    rows = visits(spark, sf).join(people, "patient_id", "left").join(lines, "encounter_id", "left")
-    return rows.fillna(0, subset=["n_lines", "quantity", "label"]).select("encounter_id", *NUMERIC, *CATEGORIES, F.col("label").cast("double").alias("label"))
+    return rows.join(label, "encounter_id")
 
 
 def prepared(spark: SparkSession, sf: str):
@@ -155,14 +160,16 @@ def prepared(spark: SparkSession, sf: str):
 @query
 def gbt_scores(spark: SparkSession, sf: str) -> DataFrame:
     train, test = prepared(spark, sf)
-    model = fit(train.select("features", "label"), Boosting(rounds=3, depth=3, subsample=0.7))
-    return score(model, test).select("encounter_id", "label", "score")
+    model = fit(train.select("features", "label"), Boosting(rounds=3, **DEEP))
+    return rounded(score(model, test).select("encounter_id", "label", "score"), "score")
 
 
 @query
 def gbt_importance(spark: SparkSession, sf: str) -> DataFrame:
+    """Of one cut: the feature that explains most has all the importance."""
     train, _ = prepared(spark, sf)
-    return importance(fit(train.select("features", "label"), Boosting(rounds=3, depth=3, subsample=0.7)), train, top=8)
+    found = importance(fit(train.select("features", "label"), Boosting(rounds=1, depth=1, subsample=1.0)), train)
+    return found.filter("importance > 0")
 
 
 def folded(spark: SparkSession, sf: str, folds: int) -> DataFrame:
@@ -173,10 +180,28 @@ def folded(spark: SparkSession, sf: str, folds: int) -> DataFrame:
 
 @query
 def cv_rounds(spark: SparkSession, sf: str) -> DataFrame:
-    return choose_rounds(folded(spark, sf, 2), Boosting(rounds=3, depth=3, subsample=0.7), fold="fold", folds=2)[0]
+    table_, best = choose_rounds(folded(spark, sf, 2), Boosting(rounds=3, **DEEP), fold="fold", folds=2)
+    table_ = table_.withColumn("chosen", F.col("round") == best)
+    return rounded(table_, "train_mean", "train_sd", "test_mean", "test_sd")
+
+
+@query
+def cv_out_of_fold(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores of the training rows by models that have not seen them."""
+    return rounded(out_of_fold(folded(spark, sf, 2), Boosting(rounds=3, **DEEP), key="encounter_id", fold="fold", folds=2), "score")
+
+
+def grid_results(spark: SparkSession, sf: str) -> DataFrame:
+    grid = [Boosting(rounds=r, eta=e, **DEEP) for r in (1, 3) for e in (0.1, 0.3)]
+    found = search_grid(folded(spark, sf, 2), grid, fold="fold", folds=2)
+    return rounded(found.select("rounds", "eta", "roc", "sens", "spec", "roc_sd", "sens_sd", "spec_sd"), "roc", "sens", "spec", "roc_sd", "sens_sd", "spec_sd")
 
 
 @query
 def cv_grid(spark: SparkSession, sf: str) -> DataFrame:
-    grid = [Boosting(rounds=r, depth=2, eta=e, subsample=0.7) for r in (1, 3) for e in (0.1, 0.3)]
-    return search_grid(folded(spark, sf, 2), grid, fold="fold", folds=2)
+    return grid_results(spark, sf)
+
+
+@query
+def cv_best_setting(spark: SparkSession, sf: str) -> DataFrame:
+    return best_setting(grid_results(spark, sf).withColumn("depth", F.lit(DEEP["depth"]))).drop("depth")

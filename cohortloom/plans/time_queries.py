@@ -13,6 +13,7 @@ from ..operators.panel import one_row_per_entity, snapshot_panel as build_panel,
 from ..operators.pointintime import band_join, first_state, match_audit as audit, near_any_anchor, state_at, ward_flags
 from .cohort_queries import CODES, cohort, diagnoses
 from .registry import query
+from .risk import RiskOptions, merge_panel
 from .star import table, visits
 
 
@@ -54,7 +55,7 @@ def cohort_history(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def year_count_expiry(spark: SparkSession, sf: str) -> DataFrame:
     v = visits(spark, sf)
-    return visits_in_period(v, v, keys=["patient_id"], index_id="encounter_id", index_ts="admit_ts", prior_id="encounter_id", prior_ts="discharge_ts")
+    return visits_in_period(v, v, keys=["patient_id"], index_id="encounter_id", index_ts="admit_ts", prior_id="encounter_id", prior_ts="discharge_ts", size_from=v)
 
 
 def intervals(spark: SparkSession, sf: str) -> DataFrame:
@@ -71,10 +72,20 @@ def first_seen(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").groupBy("user_id").agg(F.min(F.col("ts").cast("timestamp")).alias("first_ts"))
 
 
+def state_3h(spark: SparkSession, sf: str, **more) -> DataFrame:
+    at = state_at(first_seen(spark, sf), intervals(spark, sf), ["user_id"], anchor="first_ts", hours=3, start="start_ts", end="end_ts", tie=["event_id"], **more)
+    return at.select("user_id", "ward", "start_ts", "end_ts")
+
+
 @query
 def state_at_offset(spark: SparkSession, sf: str) -> DataFrame:
-    at = state_at(first_seen(spark, sf), intervals(spark, sf), ["user_id"], anchor="first_ts", hours=3, start="start_ts", end="end_ts", tie=["event_id"])
-    return at.select("user_id", "ward", "start_ts", "end_ts")
+    return state_3h(spark, sf)
+
+
+@query
+def state_at_hot(spark: SparkSession, sf: str) -> DataFrame:
+    """The same rows with every busy user spread over tasks."""
+    return state_3h(spark, sf, hot_rows=8)
 
 
 @query
@@ -100,11 +111,21 @@ def band_join_24h(spark: SparkSession, sf: str) -> DataFrame:
     return band_join(readings(spark, sf), big, ["user_id"], ts="ts", anchor="anchor_ts", tie="event_id").select("user_id", "event_id", "anchor_id")
 
 
+def near_any(spark: SparkSession, sf: str, **more) -> DataFrame:
+    anchors = readings(spark, sf).filter(F.col("value") > 200).select("user_id", F.col("ts").alias("anchor_ts"))
+    return near_any_anchor(readings(spark, sf), anchors, ["user_id"], ts="ts", anchor="anchor_ts", tie="event_id", **more).select("user_id", "event_id")
+
+
 @query
 def near_any_anchor_24h(spark: SparkSession, sf: str) -> DataFrame:
     """Events around any of the many anchors of each user."""
-    anchors = readings(spark, sf).filter(F.col("value") > 200).select("user_id", F.col("ts").alias("anchor_ts"))
-    return near_any_anchor(readings(spark, sf), anchors, ["user_id"], ts="ts", anchor="anchor_ts", tie="event_id").select("user_id", "event_id")
+    return near_any(spark, sf)
+
+
+@query
+def near_any_hot(spark: SparkSession, sf: str) -> DataFrame:
+    """The same rows with every busy slot spread over tasks."""
+    return near_any(spark, sf, hot_rows=1)
 
 
 MEASURES = {
@@ -113,11 +134,11 @@ MEASURES = {
 }
 
 
-def panel(spark: SparkSession, sf: str, hours=(1, 3, 6, 12, 24)) -> DataFrame:
+def panel(spark: SparkSession, sf: str, hours=(1, 3, 6, 12, 24), **more) -> DataFrame:
     events = table(spark, sf, "events").select("user_id", "event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"), "value")
     rows = build_panel(
         events, first_seen(spark, sf), ["user_id"], ts="ts", anchor="first_ts", tie="event_id",
-        measures={n: make() for n, make in MEASURES.items()}, hours=hours,
+        measures={n: make() for n, make in MEASURES.items()}, hours=hours, **more,
     )
     return rows.withColumns({c: F.round(c, 6) for c in rows.columns if c.endswith(("_mean", "_change"))})
 
@@ -127,6 +148,22 @@ def snapshot_panel(spark: SparkSession, sf: str) -> DataFrame:
     return panel(spark, sf)
 
 
+@query
+def snapshot_panel_hot(spark: SparkSession, sf: str) -> DataFrame:
+    """The same rows with every busy user spread over tasks."""
+    return panel(spark, sf, hot_rows=8)
+
+
+@query
+def panel_merge(spark: SparkSession, sf: str) -> DataFrame:
+    """Panel rows of the entities that have an outcome, with columns of the main table."""
+    people = table(spark, sf, "customer").select(
+        F.col("c_custkey").alias("encounter_id"), "c_mktsegment", F.when(F.col("c_custkey") % 3 < 2, F.col("c_custkey") % 3).alias("outcome")
+    )
+    hours = panel(spark, sf, (1, 6)).select(F.col("user_id").alias("encounter_id"), "hour", "n_events")
+    return merge_panel(people, hours, ["c_mktsegment"], RiskOptions())
+
+
 @query
 def panel_union(spark: SparkSession, sf: str) -> DataFrame:
     """Two panels built apart and put under each other, columns matched by name."""

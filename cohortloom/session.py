@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,20 +39,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 ROWS_PER_PART = 1_000_000
+LEAST_PARTS = 8
 
 
 def written_once(df: DataFrame, spread_by: str | None = None) -> DataFrame:
-    """Compute now and keep on shared storage: for tables that several later jobs read.
+    """Compute now and keep as parquet on shared storage: for tables that several later jobs read, each only its columns.
 
-    `spread_by` names a unique key for work that is bound by cores rather than bytes
-    (training): if the table came out in fewer parts than there are cores, or in
-    parts of more than a million rows, it is dealt out evenly.
+    `spread_by` names a unique key for work that is bound by cores rather than bytes (training): the rows are dealt by it
+    into parts whose number follows from the number of rows alone, and sorted by it, so that what draws per part draws
+    alike on any cluster.
     """
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    kept = df.checkpoint()
-    if spread_by is not None:
-        parts = max(spark.sparkContext.defaultParallelism, kept.count() // ROWS_PER_PART + 1)
-        if kept.rdd.getNumPartitions() < parts:
-            kept = kept.repartition(parts, spread_by).checkpoint()
-    return kept
+    path = f"{ensure_checkpoint_dir(spark)}/written-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    if spread_by is None:
+        return kept
+    parts = max(LEAST_PARTS, -(-kept.count() // ROWS_PER_PART))
+    return kept.repartition(parts, spread_by).sortWithinPartitions(spread_by)

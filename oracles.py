@@ -163,6 +163,64 @@ def poa(codes: str, name: str) -> str:
     return f"max(CASE WHEN code IN ({codes}) THEN CASE present WHEN 'Y' THEN 1 WHEN 'E' THEN 1 WHEN 'N' THEN 0 END END) AS {name}_poa"
 
 
+FLAGS = f"""{VISITS},
+{SCORED},
+{SPLIT},
+flags AS (
+  SELECT encounter_id, label, is_train, ed, ip, (stay >= 7)::INTEGER AS long_stay, CASE WHEN priority IN ('1-URGENT', '2-HIGH') THEN 'high' ELSE 'low' END AS urgency
+  FROM split JOIN visits USING (encounter_id)),
+folds AS (
+  SELECT *, ((row_number() OVER (PARTITION BY label ORDER BY {md5_of(1234, "encounter_id")}, encounter_id) - 1) % 2)::INTEGER AS fold FROM flags WHERE is_train)"""
+CELL = "ed, ip, long_stay, urgency"
+
+
+def boosted(name: str, source: str, by: str, settings: str = "(SELECT 0.1::DOUBLE AS eta)", rounds: int = 3) -> str:
+    """A boosted model of flags: per cell the margin after each round. The first tree is the mean of +1 and -1, each later one
+    the mean of what the logistic loss leaves, times eta."""
+    step = "f + eta * (p * 4 / (1 + exp(2 * f)) - (1 - p) * 4 / (1 + exp(-2 * f)))"
+    return f"""{name} AS (
+  WITH RECURSIVE grown AS (
+    SELECT {by}{CELL}, eta, 1 AS round, p, 2 * p - 1 AS f FROM (SELECT {by}{CELL}, avg(label::DOUBLE) AS p FROM {source} GROUP BY ALL), {settings}
+    UNION ALL
+    SELECT {by}{CELL}, eta, round + 1, p, {step} FROM grown WHERE round < {rounds})
+  SELECT *, 1 / (1 + exp(-2 * f)) AS score FROM grown)"""
+
+
+def area(source: str, by: str) -> str:
+    """Area under the ROC curve per group, ties counting half."""
+    return f"""area AS (
+  SELECT {by}, sum(pos * (below + 0.5::DOUBLE * neg)) / (sum(pos)::DOUBLE * sum(neg)) AS c FROM (
+    SELECT *, coalesce(sum(neg) OVER (PARTITION BY {by} ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM (
+      SELECT {by}, score, count(*) FILTER (label = 1) AS pos, count(*) FILTER (label <> 1) AS neg FROM {source} GROUP BY ALL))
+  GROUP BY {by})"""
+
+
+def two_sided(chi: str) -> str:
+    """Chance of a chi-squared value (one degree of freedom) above this one: erfc of its half's root, by the series of erf."""
+    z2 = f"({chi} / 2)"
+    each = f"exp(-{z2} + 2 * i * ln(2) + (i + 0.5) * ln({z2}) - lgamma(2 * i + 2) + lgamma(i + 1))"
+    return f"CASE WHEN {chi} > 72 THEN 0 WHEN {chi} = 0 THEN 1 ELSE 1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 400), lambda i: {each})) END"
+
+
+def tail(first: str, last: str, n: str, p: str) -> str:
+    """P(first <= X <= last) for X binomial(n, p)."""
+    each = f"exp(lgamma({n} + 1) - lgamma(i + 1) - lgamma({n} - i + 1) + i * ln({p}) + ({n} - i) * ln(1 - {p}))"
+    return f"list_sum(list_transform(range(({first})::BIGINT, ({last} + 1)::BIGINT), lambda i: {each}))"
+
+
+GRID = f"""{boosted("model", "train", "k, ", "(SELECT unnest([0.1, 0.3]::DOUBLE[]) AS eta)")},
+rated AS (SELECT f.label, m.k, m.eta, m.round, m.score FROM folds f JOIN model m USING ({CELL}) WHERE m.k = f.fold AND m.round IN (1, 3)),
+{area("rated", "k, eta, round")},
+hits AS (
+  SELECT k, eta, round, count(*) FILTER (score > 0.5 AND label = 1) / count(*) FILTER (label = 1) AS sens,
+         count(*) FILTER (score <= 0.5 AND label <> 1) / count(*) FILTER (label <> 1) AS spec FROM rated GROUP BY ALL),
+settings AS (
+  SELECT round AS rounds, eta, round(avg(c), 9) AS roc, round(avg(sens), 9) AS sens, round(avg(spec), 9) AS spec, round(stddev_samp(c), 9) AS roc_sd,
+         round(stddev_samp(sens), 9) AS sens_sd, round(stddev_samp(spec), 9) AS spec_sd
+  FROM area JOIN hits USING (k, eta, round) GROUP BY ALL)"""
+LEFT_OUT = "train AS (SELECT k, f.* FROM folds f, (SELECT unnest([0, 1]) AS k) WHERE f.fold <> k)"
+
+
 def w(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
 
@@ -229,8 +287,8 @@ SQL = {
         u AS (SELECT *, CASE WHEN o_orderstatus <> 'O' THEN admit_ts + to_days((encounter_id % 14)::INTEGER) END AS discharge_ts FROM t)
         SELECT encounter_id, admit_ts, discharge_ts, datediff('day', d, coalesce(discharge_ts::DATE, DATE '2001-12-31'))::INTEGER AS stay_days FROM u""",
     "keyword_flag_text": """
-        SELECT doc_id, coalesce(lower(text) LIKE '%license%', false)::INTEGER AS has_license, coalesce(lower(text) LIKE '%system%', false)::INTEGER AS has_system,
-               coalesce(lower(text) LIKE '%value%', false)::INTEGER AS has_value FROM documents""",
+        SELECT doc_id, coalesce(lower(text) LIKE '%license%', false)::INTEGER AS has_license, coalesce(lower(text) LIKE '%the%', false)::INTEGER AS has_the,
+               coalesce(lower(text) LIKE '%avec%', false)::INTEGER AS has_avec FROM documents""",
     "shock_index_ratio": """
         SELECT p_partkey, round(p_retailprice / nullif(p_size % 5, 0), 6) AS si, round(p_retailprice / nullif(p_size % 5, 0) * p_size, 6) AS sia FROM part""",
     "code_flags_pivot": w(VISITS, DIAGNOSES, f"""f AS (
@@ -285,7 +343,15 @@ SQL = {
     "near_any_anchor_24h": """
         SELECT DISTINCT e.user_id, e.event_id FROM events e JOIN events a ON e.user_id = a.user_id
         WHERE a.value > 200 AND e.ts < a.ts + INTERVAL 24 HOURS AND e.ts > a.ts - INTERVAL 24 HOURS""",
+    "state_at_hot": w(INTERVALS) + "SELECT user_id, ward, start_ts, end_ts FROM state_3h",
+    "near_any_hot": """
+        SELECT DISTINCT e.user_id, e.event_id FROM events e JOIN events a ON e.user_id = a.user_id
+        WHERE a.value > 200 AND e.ts < a.ts + INTERVAL 24 HOURS AND e.ts > a.ts - INTERVAL 24 HOURS""",
     "snapshot_panel": w(PANEL) + "SELECT * FROM panel",
+    "snapshot_panel_hot": w(PANEL) + "SELECT * FROM panel",
+    "panel_merge": w(PANEL) + """
+        SELECT c_custkey AS encounter_id, c_custkey % 3 AS outcome, c_mktsegment, hour, n_events FROM customer JOIN panel ON user_id = c_custkey
+        WHERE c_custkey % 3 < 2 AND hour IN (1, 6)""",
     "panel_union": w(PANEL) + "SELECT user_id, hour, n_events, reading_last FROM panel WHERE hour IN (1, 6)",
     "panel_column_drop": w(PANEL) + "SELECT user_id, hour, reading_first, reading_last, reading_min, reading_max, reading_mean FROM panel",
     "random_hour_row": w(PANEL) + f"""
@@ -349,6 +415,15 @@ SQL = {
         f"(s = '{v}')::INTEGER AS \"c_mktsegment_{v}\"" for v in ("BUILDING", "FURNITURE", "HOUSEHOLD")) + ", 0 AS c_mktsegment_new, " + ", ".join(
         f"(area = 'n{i}')::INTEGER AS area_n{i}" for i in range(1, 6)) + ", (area = 'n6')::INTEGER AS area_new FROM filled",
     "schema_guard": "SELECT o_orderstatus, count(*) AS n, max(o_orderkey) AS last_key, round(max(o_totalprice), 2) AS top_price FROM orders GROUP BY 1",
+    "schema_compare": """
+        WITH a AS (SELECT row_number() OVER () AS at, replace(replace(replace(replace(column_name, 'c_custkey', 'key'), 'c_name', 'name'), 'c_nationkey', 'nation'), 'c_acctbal', 'balance') AS name,
+                          column_type FROM (DESCRIBE SELECT * FROM customer)),
+             b AS (SELECT row_number() OVER () AS at, replace(replace(replace(replace(column_name, 's_suppkey', 'key'), 's_name', 'name'), 's_nationkey', 'nation'), 's_acctbal', 'balance') AS name,
+                          column_type FROM (DESCRIBE SELECT * FROM supplier))
+        SELECT coalesce(a.name, b.name) AS "column", a.name IS NOT NULL AS in_train, b.name IS NOT NULL AS in_new,
+               coalesce(a.column_type = b.column_type, false) AS same_type, coalesce(a.at = b.at, false) AS same_place FROM a FULL JOIN b ON a.name = b.name""",
+    "renamed_columns": "SELECT c_custkey AS key, c_name AS name, c_nationkey AS nation FROM customer UNION ALL SELECT s_suppkey, s_name, s_nationkey FROM supplier",
+    "label_words": w(SCORED) + "SELECT encounter_id, CASE WHEN label = 1 THEN 'yes' ELSE 'no' END AS outcome_yn FROM scored",
     "not_measured_fill": """
         SELECT event_id, nullif(event_type, 'view') AS event_type, CASE WHEN event_type = 'click' THEN value ELSE -9999 END AS click_value FROM events""",
     # thresholds and evaluation
@@ -388,6 +463,36 @@ SQL = {
     "threshold_sweep": w(SCORED, at(str([i / 20 for i in range(21)]))) + """
         SELECT threshold AS prob_threshold, round(sens, 9) AS sens, round(spec, 9) AS spec, round(sens + spec - 1, 9) AS j,
                round(sqrt(pow(1 - sens, 2) + pow(1 - spec, 2)), 9) AS dist FROM r""",
+    "confusion_exact": w(SCORED, "counts AS (WITH " + confusion("scored", "hour") + ")", f"""limits AS (
+      WITH RECURSIVE cut AS (
+        SELECT hour, side, k, n, 0 AS step, 0::DOUBLE AS low, 1::DOUBLE AS high
+        FROM (SELECT hour, tp + tn AS k, tp + fp + fn + tn AS n FROM counts), (SELECT unnest(['lower', 'upper']) AS side)
+        UNION ALL
+        SELECT hour, side, k, n, step + 1, CASE WHEN up THEN mid ELSE low END, CASE WHEN up THEN high ELSE mid END FROM (
+          SELECT *, CASE side WHEN 'lower' THEN {tail('k', 'n', 'n', 'mid')} < 0.025 ELSE {tail('0', 'k', 'n', 'mid')} > 0.025 END AS up
+          FROM (SELECT *, (low + high) / 2 AS mid FROM cut WHERE step < 45)))
+      SELECT hour, max(CASE WHEN side = 'lower' THEN CASE WHEN k = 0 THEN 0 ELSE (low + high) / 2 END END) AS accuracy_lower,
+             max(CASE WHEN side = 'upper' THEN CASE WHEN k = n THEN 1 ELSE (low + high) / 2 END END) AS accuracy_upper
+      FROM cut WHERE step = 45 GROUP BY hour)""") + f"""
+        SELECT hour, tp, fp, fn, tn, round(accuracy_lower, 6) AS accuracy_lower, round(accuracy_upper, 6) AS accuracy_upper,
+               round({tail('k', 'n', 'n', 'nir')}, 6) AS p_accuracy_above_nir, round({two_sided('mcnemar')}, 6) AS p_mcnemar
+        FROM (SELECT *, tp + tn AS k, tp + fp + fn + tn AS n, greatest(tp + fn, fp + tn) / (tp + fp + fn + tn) AS nir FROM counts) JOIN limits USING (hour)""",
+    "gbt_scores": w(FLAGS, "train AS (SELECT * FROM flags WHERE is_train)", boosted("model", "train", "")) + f"""
+        SELECT t.encounter_id, t.label::DOUBLE AS label, round(m.score, 9) AS score FROM flags t JOIN model m USING ({CELL}) WHERE NOT t.is_train AND m.round = 3""",
+    "gbt_importance": w(FLAGS, "train AS (SELECT * FROM flags WHERE is_train)", """sides AS (
+      SELECT unnest(['ed', 'ip', 'long_stay', 'urgency_is_high', 'urgency_is_low']) AS feature, unnest([ed, ip, long_stay, (urgency = 'high')::INTEGER, (urgency = 'low')::INTEGER]) AS value, label FROM train),
+      left_over AS (SELECT feature, sum(n * p * (1 - p)) AS rest FROM (SELECT feature, value, count(*) AS n, avg(label::DOUBLE) AS p FROM sides GROUP BY ALL) GROUP BY feature)""") + """
+        SELECT feature, 1::DOUBLE AS importance, 100::DOUBLE AS scaled, 1::INTEGER AS rank FROM left_over ORDER BY round(rest, 9), feature LIMIT 1""",
+    "cv_rounds": w(FLAGS, LEFT_OUT, boosted("model", "train", "k, "), f"rated AS (SELECT f.label, m.k, m.round, m.score, CASE WHEN f.fold = m.k THEN 'test' ELSE 'train' END AS part FROM folds f JOIN model m USING ({CELL}))",
+                   area("rated", "k, round, part"), """rounds AS (
+      SELECT round, avg(c) FILTER (part = 'train') AS train_mean, stddev_samp(c) FILTER (part = 'train') AS train_sd,
+             avg(c) FILTER (part = 'test') AS test_mean, stddev_samp(c) FILTER (part = 'test') AS test_sd FROM area GROUP BY round)""") + """
+        SELECT round, round(train_mean, 9) AS train_mean, round(train_sd, 9) AS train_sd, round(test_mean, 9) AS test_mean, round(test_sd, 9) AS test_sd,
+               round = (SELECT round FROM rounds ORDER BY round(test_mean, 12) DESC, round LIMIT 1) AS chosen FROM rounds""",
+    "cv_out_of_fold": w(FLAGS, LEFT_OUT, boosted("model", "train", "k, ")) + f"""
+        SELECT f.encounter_id, f.fold, f.label::DOUBLE AS label, round(m.score, 9) AS score FROM folds f JOIN model m USING ({CELL}) WHERE m.k = f.fold AND m.round = 3""",
+    "cv_grid": w(FLAGS, LEFT_OUT, GRID) + "SELECT * FROM settings",
+    "cv_best_setting": w(FLAGS, LEFT_OUT, GRID) + "SELECT * FROM settings ORDER BY roc DESC, rounds, eta LIMIT 1",
     "metric_bundle": w(SCORED, at("[0.1, 0.3, 0.5]", ">")) + """
         SELECT threshold, metric, round(value, 9) AS value FROM (
           SELECT threshold, unnest(['f', 'auc', 'ppv', 'npv', 'sens', 'spec', 'acc', 'err', 'rpp']) AS metric,

@@ -53,6 +53,32 @@ def test_choose_rounds(prepared):
     assert all(0.5 < r["test_mean"] <= 1 and r["test_sd"] is not None for r in got)
 
 
+def test_rounds_stop_growing_when_patience_ends(prepared, monkeypatch):
+    grown = []
+    plain = m.fit
+    monkeypatch.setattr(m, "FIRST_STAGE", 1)
+    monkeypatch.setattr(m, "fit", lambda train, params, **more: grown.append(params.rounds) or plain(train, params, **more))
+    table, best = m.choose_rounds(prepared, m.Boosting(rounds=60, depth=6, subsample=1.0), fold="fold", folds=2, patience=2, with_train=False)
+    assert max(grown) < 60 and 1 <= best <= max(grown) and table.filter("train_mean is not null").count() == 0
+
+
+def test_out_of_fold_scores_come_from_the_other_folds(prepared):
+    params = m.Boosting(rounds=2, depth=2, subsample=1.0)
+    got = m.out_of_fold(prepared, params, key="k", fold="fold", folds=2)
+    other = m.fit(prepared.filter("fold <> 1").select("features", "label"), params)
+    want = m.score(other, prepared.filter("fold = 1")).select("k", "score")
+    assert got.count() == prepared.count() and rows(got.filter("fold = 1").select("k", "score"), "k") == rows(want, "k")
+
+
+def test_least_gain_keeps_trees_small(prepared):
+    assert m.fit(prepared.select("features", "label"), m.Boosting(rounds=1, depth=3, subsample=1.0, min_info_gain=10.0)).trees[0].depth == 0
+
+
+def test_score_replaces_a_column_of_its_name(prepared, fitted):
+    again = m.score(fitted, m.score(fitted, prepared, "p"), "p")
+    assert again.columns.count("p") == 1 and again.filter("p > 0.5").count() > 0
+
+
 def test_grid_shares_fits_over_rounds(prepared):
     grid = m.parameter_grid({"rounds": [1, 3], "depth": [1, 2], "subsample": [1.0]})
     out = m.search_grid(prepared, grid, fold="fold", folds=2)

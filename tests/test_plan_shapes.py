@@ -56,7 +56,23 @@ def test_split_moves_no_entity(spark):
     from cohortloom.operators.split import stratified_split
 
     df = spark.range(100).selectExpr("id AS k", "id % 2 AS y")
-    assert "Exchange" not in physical(stratified_split(df, "k", "y", 1))
+    text = physical(stratified_split(df, "k", "y", 1))
+    assert "BroadcastExchange" in text and not re.search(r"(?<!Broadcast)Exchange", text)  # only the cut points are sent
+
+
+def test_snapshot_panel_needs_no_sort_before_the_shuffle(spark):
+    text = plan(spark, "snapshot_panel")
+    assert "HashAggregate" in text and "SortAggregate" not in text
+
+
+def test_curves_read_their_input_once(spark, monkeypatch):
+    from cohortloom.operators import curve
+
+    stored = []
+    monkeypatch.setattr(curve, "written_once", lambda df: stored.append(df) or written(df))
+    written = __import__("cohortloom.session", fromlist=["written_once"]).written_once
+    text = plan(spark, "auc_by_hour")
+    assert len(stored) == 1 and physical(stored[0]).count("orders.parquet") == 1 and "orders.parquet" not in text
 
 
 def test_thresholds_and_confusion_need_no_window(spark):

@@ -57,7 +57,7 @@ def test_salted_join_equals_plain_join(spark):
     assert [r["k"] for r in hot_keys(many, ["k"], 20).collect()] == ["hot"]
     assert hot_keys(many, ["k"], 1000) is None
     for how in ("inner", "left"):
-        a = salted_join(many, one, ["k"], spread_on=["i"], how=how, min_rows=20, salts=4)
+        a = salted_join(many, one, ["k"], spread_on=["i"], how=how, min_rows=20)
         b = many.join(one, "k", how)
         assert sorted(map(str, rows(a.select("k", "i", "v")))) == sorted(map(str, rows(b.select("k", "i", "v"))))
 
