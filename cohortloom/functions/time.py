@@ -20,6 +20,11 @@ def close_stay(ts: Column, sentinel: str = OPEN_STAY) -> Column:
     return F.when(ts != F.lit(sentinel).cast("timestamp"), ts)
 
 
+def closed_time(day: Column, time_of_day: Column, sentinel: str = OPEN_STAY) -> Column:
+    """Time a stay ended; null while it is open, which its date alone tells, whatever time of day stands beside it."""
+    return F.when(F.to_date(day) != F.to_date(F.lit(sentinel)), from_date_and_time(day, time_of_day))
+
+
 def stay_so_far(admit_day: Column, discharge_ts: Column, as_of: Column) -> Column:
     """Days from admission to discharge, or to the `as_of` date while the stay is open.
 

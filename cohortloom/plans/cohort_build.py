@@ -12,7 +12,7 @@ from ..functions.recode import (
     admit_source, admit_source_group, any_of, carried_in, coded, entry_route, filled, from_nursing, marital_status, merged_race, nonwhite, yes_no,
 )
 from ..functions.text import joined_key, null_if_lower, null_tokens, tidy
-from ..functions.time import age_years, close_stay, from_date_and_time, presentation_time, stay_so_far
+from ..functions.time import age_years, closed_time, from_date_and_time, presentation_time, stay_so_far
 from ..operators.codes import (
     CENTRAL_LINE, URINARY_CATHETER, URINARY_CATHETER_EXACT, code_pivot, first_order_times, flags_per_key, with_flags,
 )
@@ -43,7 +43,7 @@ RESUSCITATE_LABELS = {"1": "Yes", "2": "No"}
 
 @dataclass(frozen=True)
 class Warehouse:
-    """The input tables; columns as in `sources.schemas`."""
+    """The input tables; columns as in `sources.schemas`. The two mappings also have `source_row`, the order of their rows: the first match wins."""
 
     encounter: DataFrame
     clinical_encounter: DataFrame
@@ -51,6 +51,7 @@ class Warehouse:
     diagnosis_dim: DataFrame
     patient: DataFrame
     facility: DataFrame
+    encounter_type: DataFrame
     admit_source: DataFrame
     revenue_group: DataFrame
     emergency: DataFrame
@@ -69,6 +70,7 @@ TABLES = {
     "diagnosis_dim": ("dim_diag", schemas.DIM_DIAG),
     "patient": ("dim_patient", schemas.DIM_PATIENT),
     "facility": ("dim_facility", schemas.DIM_FACILITY),
+    "encounter_type": ("dim_encounter_type", schemas.DIM_ENCOUNTER_TYPE),
     "admit_source": ("ref_admit_source", schemas.REF_ADMIT_SOURCE),
     "revenue_group": ("dim_std_rev_grp", schemas.DIM_STD_REV_GRP),
     "emergency": ("emrgncy_dept", schemas.EMERGENCY_ARRIVAL),
@@ -83,8 +85,8 @@ def open_warehouse(spark: SparkSession, root: str, financial_map: str, arrival_m
     tables = {field_: spark.read.schema(schema).parquet(f"{root}/{name}") for field_, (name, schema) in TABLES.items()}
     return Warehouse(
         **tables,
-        financial_map=read_delimited(spark, financial_map, schemas.FINANCIAL_CLASS_MAP),
-        arrival_map=read_delimited(spark, arrival_map, schemas.ARRIVAL_MAP),
+        financial_map=read_delimited(spark, financial_map, schemas.FINANCIAL_CLASS_MAP, row="source_row"),
+        arrival_map=read_delimited(spark, arrival_map, schemas.ARRIVAL_MAP, row="source_row"),
     )
 
 
@@ -116,7 +118,7 @@ def base_encounters(w: Warehouse) -> DataFrame:
     e = w.encounter.withColumns({
         "encounter_id": joined_key(*KEYS),
         "admit_ts": from_date_and_time(F.col("admission_dt"), F.col("admission_tm")),
-        "discharge_ts": close_stay(from_date_and_time(F.col("discharge_dt"), F.col("discharge_tm"))),
+        "discharge_ts": closed_time(F.col("discharge_dt"), F.col("discharge_tm")),
     })
     return e.join(w.patient, "dim_patient_sk", "left").withColumns({
         "patient_id": joined_key("facility_cd", "medical_record_nbr"),
@@ -147,6 +149,7 @@ def describe_encounters(w: Warehouse, o: BuildOptions, cohort: DataFrame) -> Dat
     rows = (
         cohort.join(clinical, KEYS, "left")
         .join(primary, "dim_primary_icd10_diag_sk", "left")
+        .join(w.encounter_type, "dim_encounter_type_sk", "left")
         .join(w.admit_source.withColumnRenamed("ub_admit_source_cd", "admit_source_cd"), "admit_source_cd", "left")
         .join(w.revenue_group, "dim_std_rev_grp_sk", "left")
     )
@@ -174,11 +177,11 @@ def describe_encounters(w: Warehouse, o: BuildOptions, cohort: DataFrame) -> Dat
     rows = rows.withColumn("nonwhite", nonwhite(F.col("race")))
     rows = grouped_category(
         rows, w.financial_map, on="financial_class", key="fin_class", base="srg9_desc", override="grouping", out="financial_class_cat",
-        order=["srg9_desc", "grouping"],
+        order=["source_row"],
     )
     modes = ["ambulatory", "fire", "ambulance", "assisted", "air", "stretcher"]
     rows = lookup_first(
-        rows, w.arrival_map, on="ed_arrival_method", key="method", take={f"arrival_{m}": m for m in modes}, order=["ed_arrival_cat"]
+        rows, w.arrival_map, on="ed_arrival_method", key="method", take={f"arrival_{m}": m for m in modes}, order=["source_row"]
     )
     rows = rows.withColumn(
         "carried_in", carried_in(*[F.col(f"arrival_{m}") for m in ("stretcher", "ambulatory", "fire", "ambulance")], unknown=NOT_MEASURED)
@@ -228,13 +231,16 @@ def with_history(rows: DataFrame, history: DataFrame, o: BuildOptions) -> DataFr
 
 
 def location_features(w: Warehouse, o: BuildOptions, cohort: DataFrame) -> DataFrame:
-    """First ward, ward at presentation + n hours, and kind of ward by then; only encounters with a ward at that time."""
+    """First ward with its start and critical-care flag, ward at presentation + n hours, and kind of ward by then; only
+    encounters with a ward at that time."""
     known = w.location.filter(F.col("powerchart_flg") == 1)
     anchors = cohort.select(*KEYS, "presentation_ts")
     now = state_at(anchors, known, KEYS, anchor="presentation_ts", hours=o.state_hours, start="start_ts", end="end_ts", tie=["end_ts", "medical_service"])
-    first = first_state(w.location, KEYS, start="start_ts", tie=["end_ts", "medical_service"], keep={"first_location": "medical_service"})
+    keep = {"first_location": "medical_service", "first_location_start_ts": "start_ts", "first_location_critical_care": "critical_care_flg"}
+    first = first_state(w.location, KEYS, start="start_ts", tie=["end_ts", "medical_service"], keep=keep)
     rows = now.join(first, KEYS, "left").select(
-        *KEYS, F.lower("first_location").alias("first_location"), F.lower("medical_service").alias("location_now"),
+        *KEYS, F.lower("first_location").alias("first_location"), "first_location_start_ts", "first_location_critical_care",
+        F.lower("medical_service").alias("location_now"),
         F.col("critical_care_flg").alias("in_critical_care"),
     )
     return rows.withColumns(ward_flags(F.col("first_location"), F.col("location_now")))
@@ -249,6 +255,6 @@ def build_main_table(w: Warehouse, o: BuildOptions) -> DataFrame:
     rows = describe_encounters(w, o, cohort)
     rows = add_columns(rows, order_features(w), KEYS).fillna(0, subset=["urinary_cath", "central_line"])
     where = location_features(w, o, cohort)
-    flags = [c for c in where.columns if c not in (*KEYS, "first_location", "location_now")]
+    flags = [c for c in where.columns if c not in (*KEYS, "first_location", "first_location_start_ts", "location_now")]
     rows = add_columns(rows, where, KEYS).fillna(NOT_MEASURED, subset=flags)
     return with_history(rows, encounter_history(w, o, cohort), o)

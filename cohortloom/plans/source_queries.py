@@ -54,6 +54,6 @@ def panel_hours_scan(spark: SparkSession, sf: str) -> DataFrame:
 def extract_reload(spark: SparkSession, sf: str) -> DataFrame:
     """Two date ranges of visits written side by side; one is read back."""
     path, v = folder(spark, "visits"), visits(spark, sf).select("encounter_id", "admit_ts")
-    for first, last in (("1996-01-01", "1996-12-31"), ("1997-01-01", "1997-12-31")):
-        write_extract(v.filter(F.col("admit_ts").between(F.lit(first), F.lit(last))), path, first, last)
+    for first, last, after in (("1996-01-01", "1996-12-31", "1997-01-01"), ("1997-01-01", "1997-12-31", "1998-01-01")):
+        write_extract(v.filter((F.col("admit_ts") >= F.lit(first)) & (F.col("admit_ts") < F.lit(after))), path, first, last)
     return read_extract(spark, path, first_day="1997-01-01").select("encounter_id", "admit_ts")

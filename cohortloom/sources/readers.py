@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.text import CSV_NULL_TOKENS, null_tokens
 
@@ -17,9 +17,13 @@ def renamed(df: DataFrame, names: Mapping[str, str]) -> DataFrame:
     return df.withColumnsRenamed(dict(names))
 
 
+def typed_columns(schema: T.StructType) -> list[Column]:
+    return [F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema.fields]
+
+
 def typed(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Cast text columns to a declared schema; what cannot be cast becomes null."""
-    return df.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema.fields])
+    return df.select(*typed_columns(schema))
 
 
 def read_parquet(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
@@ -55,14 +59,18 @@ def read_delimited(
     null_strings: Iterable[str] = CSV_NULL_TOKENS,
     drop: Iterable[str] = (),
     encoding: str = "UTF-8",
+    row: str | None = None,
 ) -> DataFrame:
     """Delimited text with a header, read as text, null strings removed, then cast to `schema`.
 
-    The header decides which column is which; blank lines are skipped.
+    The header decides which column is which; blank lines are skipped. `row` names a column to sort by for the order of
+    the rows in the file, and of the files by name.
     """
     as_text = spark.read.csv(path, sep=sep, header=True, encoding=encoding, inferSchema=False)
+    if row is not None:
+        as_text = as_text.withColumn(row, F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row")))
     clean = null_tokens(lower_names(as_text), list(null_strings))
-    return typed(clean, schema).drop(*drop)
+    return clean.select(*typed_columns(schema), *([row] if row else [])).drop(*drop)
 
 
 def read_text_columns(spark: SparkSession, path: str | list[str], sep: str = ",") -> DataFrame:

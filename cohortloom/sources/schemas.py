@@ -31,6 +31,7 @@ DIM_PATIENT = _schema("""
 DIM_FACILITY = _schema("""
     facility_cd string, facility_type_cd_desc string, group_nm string, regn_nm string, sub_mrkt_nm string, licensed_bed_count double,
     longitude double, latitude double""")
+DIM_ENCOUNTER_TYPE = _schema("dim_encounter_type_sk long, admit_type string")
 REF_ADMIT_SOURCE = _schema("ub_admit_source_cd string, ub_admit_source_desc string")
 DIM_STD_REV_GRP = _schema("dim_std_rev_grp_sk long, srg9_desc string")
 EMERGENCY_ARRIVAL = _schema("dim_fac_key long, patient_account_nbr string, arr_dt timestamp, arr_method string")

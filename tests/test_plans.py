@@ -15,8 +15,8 @@ from cohortloom.sources import schemas as s
 RULE = CohortRule("2016-01-01 00:00:00", "2017-12-01 00:00:00", 18, "MAIN", ["GONE"], ["KID"], "Acute")
 
 
-def encounter(account, day, out_day, patient, ed=1, ip=0, icu=0, los=1.0, place="H1", source="1", system="MAIN", dx=None):
-    return (place, account, day, "10:00:00", out_day, "00:00:00" if out_day == date(1, 1, 1) else "09:30:00", dx, 1, patient, source, 1, system, ed, ip, icu, los, "x")
+def encounter(account, day, out_day, patient, ed=1, ip=0, icu=0, los=1.0, place="H1", source="1", system="MAIN", dx=None, out_time=None):
+    return (place, account, day, "10:00:00", out_day, out_time or ("00:00:00" if out_day == date(1, 1, 1) else "09:30:00"), dx, 1, patient, source, 1, system, ed, ip, icu, los, "x")
 
 
 @pytest.fixture(scope="module")
@@ -35,6 +35,7 @@ def main(spark, tmp_path_factory):
             encounter("7", date(2017, 4, 1), date(2017, 4, 2), 11, system="OTHER"),
             encounter("8", date(2017, 5, 1), date(2017, 5, 2), 11, ed=1, ip=0, source="9"),
             encounter("9", date(2017, 5, 1), date(2017, 5, 2), 11, ed=0, ip=0),
+            encounter("10", date(2017, 2, 20), date(1, 1, 1), 10, ed=1, ip=1, los=99.0, out_time="09:30:00"),  # still in house: no history, whatever the time
         ], s.FACT_ENCOUNTER),
         clinical_encounter=make([
             ("H1", "1", "c", "t", "  Fever ", " Wound", "SELF", "yes", "1", "MED"), ("H1", "8", "c", "t", None, None, "QQQ", None, "7", "unknown"),
@@ -51,6 +52,7 @@ def main(spark, tmp_path_factory):
             (12, "m12", date(2010, 1, 1), "M", "black", None, None),
         ], s.DIM_PATIENT),
         facility=make([("H1", "Acute", "North", "r", "m", 200.0, 1.0, 2.0), ("KID", "Acute", "North", "r", "m", 50.0, 1.0, 2.0)], s.DIM_FACILITY),
+        encounter_type=make([(1, "Emergency")], s.DIM_ENCOUNTER_TYPE),
         admit_source=make([("1", "Transfer from hospital"), ("9", "Information Not Available")], s.REF_ADMIT_SOURCE),
         revenue_group=make([(1, "MEDICARE")], s.DIM_STD_REV_GRP),
         emergency=make([
@@ -67,14 +69,14 @@ def main(spark, tmp_path_factory):
             ("H1", "1", datetime(2017, 3, 1, 9), datetime(2017, 3, 3), "Surgical ICU", 1, 1),
             ("H1", "8", datetime(2017, 5, 1, 13), datetime(2017, 5, 1, 20), "Rehab", 0, 0),
         ], s.FACT_CLINICAL_LOCATION),
-        financial_map=make([("self", "SELF PAY", "uninsured", 3), ("medicaid", "MEDICAID", None, 3)], s.FINANCIAL_CLASS_MAP),
-        arrival_map=make([("car", "walk", 1, 0, 0, 0, 0, 0, 5), ("fire", "fire", 0, 1, 0, 0, 0, 0, 5)], s.ARRIVAL_MAP),
+        financial_map=make([("self", "ZED", "uninsured", 3), ("self", "ALPHA", "alpha", 3), ("medicaid", "MEDICAID", None, 3)], s.FINANCIAL_CLASS_MAP),
+        arrival_map=make([("car", "walk", 1, 0, 0, 0, 0, 0, 5), ("car", "a car", 0, 0, 1, 0, 0, 1, 5), ("fire", "fire", 0, 1, 0, 0, 0, 0, 5)], s.ARRIVAL_MAP),
     )
     root = tmp_path_factory.mktemp("warehouse")
     for name, (folder, _) in TABLES.items():
         getattr(w, name).write.parquet(f"{root}/{folder}")
-    w.financial_map.write.csv(f"{root}/financial.csv", header=True)
-    w.arrival_map.write.csv(f"{root}/arrival.csv", header=True)
+    w.financial_map.coalesce(1).write.csv(f"{root}/financial.csv", header=True)  # the first match in the file wins
+    w.arrival_map.coalesce(1).write.csv(f"{root}/arrival.csv", header=True)
     w = open_warehouse(spark, str(root), f"{root}/financial.csv", f"{root}/arrival.csv")
     return {r["encounter_id"]: r for r in build_main_table(w, BuildOptions(RULE, as_of="2018-01-01")).collect()}
 
@@ -89,6 +91,7 @@ def test_times_and_description(main):
     assert r["age"] == 57.2 and r["patient_id"] == "H1:m10" and r["entry_route"] == "ed_admitted"
     assert (r["primary_visit_reason"], r["reason_for_visit"], r["primary_dx_cd"]) == ("fever ", "wound", "L03")
     assert (r["marital_status"], r["race"], r["nonwhite"]) == ("widow", "hispanic", "Non-white")
+    assert r["admit_type"] == "Emergency"
     assert (r["admit_source"], r["admit_source_group"], r["from_nursing"]) == ("hospital transfer", "healthcare contacts", 0)
     assert (r["financial_class_cat"], r["vip"], r["do_not_resuscitate"], r["carried_in"]) == ("uninsured", 1, "Yes", 0)
     q = main["H1:8"]
@@ -113,6 +116,8 @@ def test_orders_history_and_location(main):
     assert r["time_since_last_ed"] == (datetime(2017, 3, 1, 7) - datetime(2015, 6, 2, 9, 30)).days
     assert 2000 <= r["time_since_last_ic"] < 4000
     assert (r["first_location"], r["location_now"], r["in_critical_care"], r["trauma_ward"], r["surg_location"]) == ("trauma bay", "surgical icu", 1, 1, 1)
+    assert (r["first_location_start_ts"], r["first_location_critical_care"]) == (datetime(2017, 3, 1, 7), 0)
+    assert (q["first_location_start_ts"], q["first_location_critical_care"]) == (None, -9999)
     # History of patient 11: encounters 6 and 7 are out of the cohort but only 7 is at this site.
     assert (q["num_encounters_past_year"], q["last_ip_los"]) == (1, 0.0)
     assert (q["location_now"], q["rehab_location"], q["in_critical_care"]) == (None, -9999, -9999)
