@@ -135,7 +135,7 @@ WITH templates(t, license, m, grams) AS (VALUES
 ), pieces AS (
   SELECT doc_id, 'line' AS kind, unnest(string_split(text, chr(10))) AS piece FROM flat
   UNION ALL
-  SELECT doc_id, 'paragraph', unnest(list_filter(regexp_split_to_array(text, '\n(?: *\n)+'), x -> contains(trim(x, chr(10) || ' '), chr(10)))) FROM flat
+  SELECT doc_id, 'paragraph', unnest(list_filter(regexp_split_to_array(text, '\n(?: *\n)+'), lambda x: contains(trim(x, chr(10) || ' '), chr(10)))) FROM flat
 ), words AS (
   SELECT row_number() OVER () AS p, doc_id, kind, string_split(trim(regexp_replace(piece, ' *\n *', ' ', 'g')), ' ') AS words FROM pieces
 ), grams AS (
@@ -154,3 +154,44 @@ FROM common JOIN sizes USING (p) WHERE 2.0 * c / (n + m) >= {least} GROUP BY doc
 
 
 SQL["op2_licenses"] = _license_sql()
+
+SQL["op6_near_duplicates"] = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                      ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' '))) END AS s
+  FROM words
+), grams AS (
+  SELECT doc_id, unnest(s) AS g FROM sets
+), links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id
+  JOIN sets x ON x.doc_id = a.doc_id JOIN sets y ON y.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, len(x.s), len(y.s) HAVING 100 * count(*) >= 75 * (len(x.s) + len(y.s) - count(*))
+), reach AS (
+  SELECT doc_id, doc_id AS other FROM documents
+  UNION
+  SELECT reach.doc_id, links.b FROM reach JOIN links ON links.a = reach.other
+)
+SELECT doc_id, any_value(len(s))::BIGINT AS n_shingles, min(other) AS component_id, doc_id = min(other) AS kept
+FROM reach JOIN sets USING (doc_id) GROUP BY doc_id
+"""
+
+SQL["op8_chat"] = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL
+  SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL
+  SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), formatted AS (
+  SELECT *, '### ' || upper(role[1]) || role[2:] || ': ' || regexp_replace(text, '(\\*)(### |</turn>)', '\\\1\2', 'g') || chr(10) || '</turn>' || chr(10) AS formatted
+  FROM turns
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, formatted)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, formatted) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(length(formatted))::BIGINT AS formatted_chars
+FROM formatted GROUP BY conv_id
+"""
