@@ -85,7 +85,7 @@ def op8_chat(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op9_lm_score(spark: SparkSession, folder: str) -> DataFrame:
     wanted = table(spark, folder, "labels").filter("quality = 1").select("doc_id")
-    return lm_score.score(table(spark, folder, "documents"), wanted)
+    return lm_score.score(table(spark, folder, "documents"), wanted, written)
 
 
 def held_out(doc_id: Column) -> Column:

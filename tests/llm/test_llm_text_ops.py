@@ -297,7 +297,7 @@ def test_model_scores_equal_a_plain_version(spark):
     wanted = {k for k in range(0, 30, 3)}
     frame = spark.createDataFrame(docs, "doc_id long, text string")
     marks = spark.createDataFrame([(k,) for k in wanted] + [(3,), (None,), (777,)], "doc_id long")
-    got = {r.doc_id: r for r in lm_score.score(frame, marks, strength=5.0, bits=21).collect()}
+    got = {r.doc_id: r for r in lm_score.score(frame, marks, written, strength=5.0, bits=21).collect()}
     want = plain_scores(docs, wanted, 50_000, 5.0)
     assert set(got) == set(want)
     for i, (n, target, background) in want.items():
@@ -310,19 +310,19 @@ def test_model_scores_tell_wanted_text_apart(spark):
     docs = [(k, " ".join(draw.choice(good if k % 2 else other) for _ in range(40))) for k in range(120)]
     frame = spark.createDataFrame(docs, "doc_id long, text string")
     marks = frame.filter("doc_id % 2 = 1 and doc_id < 60").select("doc_id")
-    got = {r.doc_id: r.score for r in lm_score.score(frame, marks).collect()}
+    got = {r.doc_id: r.score for r in lm_score.score(frame, marks, written).collect()}
     fresh = [k for k in got if k >= 60]
     assert max(got[k] for k in fresh if k % 2) < min(got[k] for k in fresh if not k % 2)
 
 
 def test_model_score_edges(spark, edge, none):
     marks = edge.filter("doc_id = 1").select("doc_id")
-    got = lm_score.score(edge, marks).collect()
+    got = lm_score.score(edge, marks, written).collect()
     assert len(got) == len(EDGE) and all(math.isfinite(r.score) for r in got)
     assert {r.n_tokens for r in got if r.doc_id in (2, 3, 4)} == {1}
-    assert lm_score.score(none, marks).count() == 0 and lm_score.score(edge, marks.limit(0)).count() == len(EDGE)
+    assert lm_score.score(none, marks, written).count() == 0 and lm_score.score(edge, marks.limit(0), written, most_broadcast=-1).count() == len(EDGE)
     # more words than the vocabulary holds
-    assert lm_score.score(edge, marks, size=2, bits=4).count() == len(EDGE)
+    assert lm_score.score(edge, marks, written, size=2, bits=4).count() == len(EDGE)
 
 
 def plain_chat(turns):
