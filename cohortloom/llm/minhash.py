@@ -4,11 +4,11 @@ A document's distinct word shingles are hashed once; the hash range is cut into
 empty bin takes the value of the first filled bin in its own fixed random order. Bins are grouped into bands; documents that
 agree in all bins of a band meet in a bucket. Documents of equal sets are merged first, so that only different ones meet.
 
-Within a bucket the documents are not paired: one of them, drawn by a hash that is the same over a quarter of the bands, is
-the centre, and each other one is compared with it, on the full sets. What is not linked with its centre meets again around
-a new centre, `rounds` times. With 48 bands of 5 rows a pair at the threshold of 0.75 shares 11 buckets on average and none
-with a chance of 2 in a million; it is missed otherwise only if in each of them the centre is a third document that one of
-the two is not linked with, round after round.
+Within a bucket the documents are not paired: the one that meets most others over all its buckets is the centre, and each
+other one is compared with it, on the full sets. Among copies of one text that is a copy with few edits, the one most of the
+others are linked with. What is not linked with its centre meets again around a new centre, `rounds` times. With 48 bands of 5
+rows a pair at the threshold of 0.75 shares 11 buckets on average and none with a chance of 2 in a million; it is missed
+otherwise only if in each of them the centre is a third document that one of the two is not linked with, round after round.
 """
 
 from __future__ import annotations
@@ -127,15 +127,19 @@ def near_duplicates(
     headed = real.select("id", *group, "buckets").join(heads, group, "left")
     met = headed.filter("head is null or head = id").select("id", "n_shingles", F.explode("buckets").alias("bucket"))
 
-    order = F.xxhash64("id", F.pmod("bucket", F.lit(4)))
-    drawn = (F.min_by("id", order).alias("a"), F.min_by("n_shingles", order).alias("a_size"), F.min("id").alias("low"), F.max("id").alias("high"))
-    linked = star = grams = tried = None
+    # what meets somebody at all, and how many it meets over all its buckets
+    several = met.groupBy("bucket").agg(F.count("*").alias("crowd"), F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").drop("low", "high")
+    crowd = written(met.join(several, "bucket"), "crowds")
+    star = written(crowd.join(crowd.groupBy("id").agg(F.sum("crowd").alias("meets")), "id").select("bucket", "id", "n_shingles", "meets"), "members")
+
+    linked = grams = tried = None
     for _ in range(rounds):
-        around = met if star is None else star
-        centres = written(around.groupBy("bucket").agg(*drawn).filter("low < high").drop("low", "high"), "centres")
+        most = F.struct("meets", "id")
+        drawn = (F.max_by("id", most).alias("a"), F.max_by("n_shingles", most).alias("a_size"), F.min("id").alias("low"), F.max("id").alias("high"))
+        centres = written(star.groupBy("bucket").agg(*drawn).filter("low < high").drop("low", "high"), "centres")
         if not centres.take(1):
             break
-        star = written(around.join(centres, "bucket").filter("id != a"), "stars")
+        star = written(star.join(centres, "bucket").filter("id != a"), "stars")
         small, large = F.least("n_shingles", "a_size"), F.greatest("n_shingles", "a_size")
         pairs = star.filter(small * 100 >= large * percent).select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
         if tried is not None:
@@ -155,7 +159,7 @@ def near_duplicates(
         linked = found if linked is None else linked.union(found)
         tried = pairs if tried is None else tried.union(pairs)
         near = linked.union(linked.select(F.col("b").alias("a"), F.col("a").alias("b"))).select("a", F.col("b").alias("id"))
-        star = star.join(near, ["a", "id"], "left_anti").select("id", "n_shingles", "bucket")
+        star = star.join(near, ["a", "id"], "left_anti").select("bucket", "id", "n_shingles", "meets")
 
     ids = sketch.select("id", *group).join(heads, group, "left").select("id", "n_shingles", F.coalesce("head", "id").alias("head"))
     if linked is not None:

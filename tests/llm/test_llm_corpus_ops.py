@@ -241,6 +241,20 @@ def test_families_of_edited_copies(spark):
     assert groups(minhash.near_duplicates(frame(spark, docs), written)) == plain_groups(docs)
 
 
+def test_a_crowd_of_copies_with_few_links_at_its_edge(spark):
+    draw = random.Random(11)
+    base = [f"b{k}" for k in range(150)]
+    docs = []
+    for k in range(400):
+        copy = list(base)
+        for at in draw.sample(range(150), min(12, int(draw.expovariate(0.3)))):
+            copy[at] = f"x{draw.randrange(50)}"
+        docs.append((k, " ".join(copy)))
+    want = plain_groups(docs)
+    assert len({c for _, c in want.values()}) > 3
+    assert groups(minhash.near_duplicates(frame(spark, docs), written)) == want
+
+
 def test_near_duplicate_edges(spark):
     docs = [(5, "A b c"), (3, "a  B\tC"), (9, None), (2, ""), (4, " \n"), (8, "one two three four five six seven eight nine ten"), (8, "one two three four five six seven eight nine ten"), (None, "a b c"), (7, "x " * 50_000), (6, "X " * 60_000 + "x"), (10, "a b c\x1cd")]
     out = minhash.near_duplicates(frame(spark, docs), written)
