@@ -35,6 +35,23 @@ def snapshot_panel(
     measurement is skipped. With a whole number as `tie` time and tie are one
     number of fixed width, which hash aggregation takes; other ties sort.
     """
+    parts = snapshot_parts(events, anchors, keys, ts=ts, anchor=anchor, tie=tie, measures=measures, hours=hours, hot_rows=hot_rows)
+    return panel_of_parts(parts, keys, list(measures), hours)
+
+
+def snapshot_parts(
+    events: DataFrame,
+    anchors: DataFrame,
+    keys: Sequence[str],
+    *,
+    ts: str,
+    anchor: str,
+    tie: str,
+    measures: Mapping[str, Column],
+    hours: Sequence[int] = SNAPSHOT_HOURS,
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """What some of the events add to the panel: one row per entity and first hour. Parts of other events go under it."""
     keys, hours = list(keys), sorted(hours)
     joined = salted_join(
         events, anchors, keys, spread_on=[ts, tie], min_rows=hot_rows,
@@ -59,7 +76,12 @@ def snapshot_panel(
             F.min_by(v, when).alias(f"_first_{n}"), F.min(when).alias(f"_begin_{n}"), F.max_by(v, when).alias(f"_last_{n}"), F.max(when).alias(f"_end_{n}"),
             F.min(v).alias(f"_min_{n}"), F.max(v).alias(f"_max_{n}"), F.sum(v).alias(f"_sum_{n}"), F.count(v).alias(f"_n_{n}"),
         ]
-    by_slot = rows.groupBy(*keys, "_hour").agg(F.count(F.lit(1)).alias("_n"), *parts)
+    return rows.groupBy(*keys, "_hour").agg(F.count(F.lit(1)).alias("_n"), *parts)
+
+
+def panel_of_parts(parts: DataFrame, keys: Sequence[str], measures: Sequence[str], hours: Sequence[int] = SNAPSHOT_HOURS) -> DataFrame:
+    """The panel from the parts of all events, however they were cut."""
+    keys, hours = list(keys), sorted(hours)
 
     def upto(how, name: str, h: int) -> Column:
         return how(F.when(F.col("_hour") <= h, F.col(name)))
@@ -77,7 +99,7 @@ def snapshot_panel(
             ]
         return F.struct(*fields)
 
-    return by_slot.groupBy(*keys).agg(F.array(*[row(h) for h in hours]).alias("_rows")).select(*keys, F.inline("_rows"))
+    return parts.groupBy(*keys).agg(F.array(*[row(h) for h in hours]).alias("_rows")).select(*keys, F.inline("_rows"))
 
 
 def union_panels(frames: Sequence[DataFrame]) -> DataFrame:

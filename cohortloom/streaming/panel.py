@@ -1,13 +1,19 @@
-"""The snapshot panel as a stream: features of every entity and hour, updated as events come in."""
+"""Panels as streams: calendar hours of one measure, and the snapshot panel, hours after an anchor with many measures.
+
+The snapshot stream keeps no state: every batch leaves what its events add to the panel, in a folder of its own, and the panel
+is read from all of them. Late events need no rule, a batch that runs again replaces its own folder, and `compact_parts` puts
+many small folders into one.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..operators.model import score
+from ..operators.panel import SNAPSHOT_HOURS, panel_of_parts, snapshot_parts
 
 
 def event_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 100) -> DataFrame:
@@ -53,3 +59,37 @@ def latest_rows(spark: SparkSession, out: str, keys: Sequence[str]) -> DataFrame
     newest = Window.partitionBy(*keys, "window_start").orderBy(F.desc("batch"))
     rows = spark.read.parquet(out).withColumn("_n", F.row_number().over(newest))
     return rows.filter("_n = 1").drop("_n", "batch")
+
+
+def run_snapshot(
+    events: DataFrame, anchors: DataFrame, keys: Sequence[str], *, ts: str, anchor: str, tie: str, measures: Mapping[str, Column], out: str, checkpoint: str,
+    hours: Sequence[int] = SNAPSHOT_HOURS, available_now: bool = True,
+):
+    """Write what each batch of `events` adds to the snapshot panel to `out/batch=<n>`. `anchors` is a table with one row per key."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        parts = snapshot_parts(batch, anchors, keys, ts=ts, anchor=anchor, tie=tie, measures=measures, hours=hours)
+        parts.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    writer = events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
+    return writer.start()
+
+
+def snapshot_rows(spark: SparkSession, out: str, keys: Sequence[str], measures: Sequence[str], hours: Sequence[int] = SNAPSHOT_HOURS, model: PipelineModel | None = None) -> DataFrame:
+    """The panel of all batches so far, with the columns of the batch panel; scored if a model is given."""
+    rows = panel_of_parts(spark.read.parquet(out).drop("batch"), keys, measures, hours)
+    return rows if model is None else score(model, rows)
+
+
+def compact_parts(spark: SparkSession, out: str, target: str, keys: Sequence[str], measures: Sequence[str]) -> None:
+    """All parts under `out` as one row per entity and hour under `target`, as batch -1; run while no batch is being written."""
+    p = spark.read.parquet(out).drop("batch")
+    merged = [F.sum("_n").alias("_n")]
+    for n in measures:
+        merged += [
+            F.min_by(f"_first_{n}", f"_begin_{n}").alias(f"_first_{n}"), F.min(f"_begin_{n}").alias(f"_begin_{n}"), F.max_by(f"_last_{n}", f"_end_{n}").alias(f"_last_{n}"),
+            F.max(f"_end_{n}").alias(f"_end_{n}"), F.min(f"_min_{n}").alias(f"_min_{n}"), F.max(f"_max_{n}").alias(f"_max_{n}"),
+            F.sum(f"_sum_{n}").alias(f"_sum_{n}"), F.sum(f"_n_{n}").alias(f"_n_{n}"),
+        ]
+    p.groupBy(*keys, "_hour").agg(*merged).select(*p.columns).write.mode("overwrite").parquet(f"{target}/batch=-1")

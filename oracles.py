@@ -349,6 +349,7 @@ SQL = {
         WHERE a.value > 200 AND e.ts < a.ts + INTERVAL 24 HOURS AND e.ts > a.ts - INTERVAL 24 HOURS""",
     "snapshot_panel": w(PANEL) + "SELECT * FROM panel",
     "snapshot_panel_hot": w(PANEL) + "SELECT * FROM panel",
+    "stream_snapshot_panel": w(PANEL) + "SELECT * FROM panel",
     "panel_merge": w(PANEL) + """
         SELECT c_custkey AS encounter_id, c_custkey % 3 AS outcome, c_mktsegment, hour, n_events FROM customer JOIN panel ON user_id = c_custkey
         WHERE c_custkey % 3 < 2 AND hour IN (1, 6)""",

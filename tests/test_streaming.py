@@ -7,7 +7,10 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 
-from cohortloom.streaming.panel import event_stream, hourly_panel, latest_rows, run_panel
+from pyspark.sql import functions as F
+
+from cohortloom.operators.panel import snapshot_panel
+from cohortloom.streaming.panel import compact_parts, event_stream, hourly_panel, latest_rows, run_panel, run_snapshot, snapshot_rows
 
 T0 = datetime(2024, 1, 1)
 SCHEMA = "user long, id long, ts timestamp, v double"
@@ -47,3 +50,22 @@ def test_batches_are_scored(spark, tmp_path):
     write(spark, tmp_path / "in", [(1, 1, T0, 2.0), (2, 2, T0, 19.0)])
     got = dict(rows(run(spark, tmp_path / "in", tmp_path / "out", tmp_path / "state", model).select("user", "score")))
     assert got[1] < 0.5 < got[2]
+
+
+def test_snapshot_stream_equals_the_batch_panel(spark, tmp_path):
+    data = [(u, 10 * u + k, T0 + timedelta(minutes=37 * k + u), float((7 * k + u) % 5) if k % 4 else None) for u in range(3) for k in range(12)]
+    anchors = spark.createDataFrame([(u, T0 + timedelta(minutes=20 * u)) for u in range(3)], "user long, start timestamp")
+    more = dict(ts="ts", anchor="start", tie="id", measures={"v": F.col("v"), "double": F.col("v") * 2}, hours=(1, 3, 6))
+    for part in (data[::2], data[1::2]):
+        write(spark, tmp_path / "in", part)
+    events = event_stream(spark, str(tmp_path / "in"), spark.createDataFrame([], SCHEMA).schema, files_per_batch=1)
+    run_snapshot(events, anchors, ["user"], out=str(tmp_path / "out"), checkpoint=str(tmp_path / "state"), **more).awaitTermination(120)
+    want = snapshot_panel(spark.createDataFrame(data, SCHEMA), anchors, ["user"], **more)
+    got = snapshot_rows(spark, str(tmp_path / "out"), ["user"], ["v", "double"], (1, 3, 6))
+    assert got.columns == want.columns and rows(got, "user", "hour") == rows(want, "user", "hour")
+    assert spark.read.parquet(str(tmp_path / "out")).select("batch").distinct().count() == 2
+    compact_parts(spark, str(tmp_path / "out"), str(tmp_path / "small"), ["user"], ["v", "double"])
+    model = Pipeline(stages=[VectorAssembler(inputCols=["n_events"], outputCol="features"), GBTClassifier(maxIter=1)]).fit(
+        spark.createDataFrame([(1, 0.0), (5, 1.0), (2, 0.0), (9, 1.0)], "n_events long, label double"))
+    again = snapshot_rows(spark, str(tmp_path / "small"), ["user"], ["v", "double"], (1, 3, 6), model)
+    assert rows(again.select(*want.columns), "user", "hour") == rows(want, "user", "hour") and "score" in again.columns
