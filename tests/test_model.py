@@ -1,5 +1,9 @@
 from __future__ import annotations
 
+import os
+import subprocess
+import sys
+
 import pytest
 from conftest import rows
 from pyspark.ml import Pipeline
@@ -53,6 +57,25 @@ def test_choose_rounds(prepared):
     assert all(0.5 < r["test_mean"] <= 1 and r["test_sd"] is not None for r in got)
 
 
+def test_scores_do_not_depend_on_cores():
+    code = (
+        "import sys; sys.path.insert(0, {root!r})\n"
+        "from cohortloom.session import local_session\n"
+        "from cohortloom.plans import score_queries as q\n"
+        "from cohortloom.operators.model import Boosting, fit, score\n"
+        "spark = local_session({cores!r}, 4)\n"
+        "train, test = q.prepared(spark, '/root/testdata/sf0.001')\n"
+        "found = score(fit(train.select('features', 'label'), Boosting(rounds=3, depth=3, subsample=0.7)), test)\n"
+        "print('SUM', repr(sum(r['score'] for r in found.orderBy('encounter_id').collect())))\n"
+    )
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    sums = set()
+    for cores in ("2", "5"):
+        done = subprocess.run([sys.executable, "-c", code.format(root=root, cores=cores)], capture_output=True, text=True, timeout=300, check=True)
+        sums.add(done.stdout.split("SUM")[1].strip())
+    assert len(sums) == 1
+
+
 def test_rounds_stop_growing_when_patience_ends(prepared, monkeypatch):
     grown = []
     plain = m.fit

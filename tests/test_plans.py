@@ -4,6 +4,7 @@ from datetime import date, datetime
 
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 
 from cohortloom.operators.cohort import CohortRule
 from cohortloom.operators.model import Boosting
@@ -138,15 +139,23 @@ def test_train_and_evaluate(spark):
     hours = [1, 3, 6]
     main = spark.createDataFrame([(f"e{i}", None if i == 0 else int(i % 5 == 0), "xyz"[i % 3] if i % 7 else None, float(i % 11)) for i in range(300)],
                                  "encounter_id string, outcome int, unit string, prior double")
-    panel = spark.createDataFrame([(f"e{i}", h, float((i % 5 == 0) * 3 + (i * 31 + h) % 4), -1.0) for i in range(310) for h in hours],
+    panel = spark.createDataFrame([(f"e{i}", h, None if i % 50 == 3 else float((i % 5 == 0) * 3 + (i * 31 + h) % 4), -1.0) for i in range(310) for h in hours],
                                   "encounter_id string, hour int, lab double, prior double")
     o = RiskOptions(folds=2, params=Boosting(rounds=2, depth=2, subsample=1.0), alert_rates=(0.1, 0.3))
     merged = merge_panel(main, panel, ["unit", "prior"], o)
     assert merged.count() == 299 * 3 and merged.filter("prior = -1").count() == 0
-    report = train_and_evaluate(merged, ["unit", "prior", "lab"], o)
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(key):
+        read.add(1)
+        return key
+
+    report = train_and_evaluate(merged.withColumn("encounter_id", seen.asNondeterministic()("encounter_id")), ["unit", "prior", "lab"], o)
     test_ids = {r[0] for r in report.predictions.select("encounter_id").distinct().collect()}
     assert report.predictions.count() == 3 * len(test_ids) and 80 <= len(test_ids) <= 95
     by_hour = {r["hour"]: r for r in report.by_hour.collect()}
     assert set(by_hour) == set(hours) and all(r["c"] > 0.7 and r["n"] == len(test_ids) for r in by_hour.values())
     assert report.alerts.count() == 6 and 1 <= report.rounds <= 2
     assert report.importance.orderBy("rank").first()["feature"] == "lab"
+    assert read.value == 299 * 3  # the input was computed once
