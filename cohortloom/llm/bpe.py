@@ -121,10 +121,13 @@ class Encoder:
 
     def _counts(self, piece: str) -> list[int]:
         """Tokens of each prefix of one piece, by dynamic programming: the last token of a prefix is the one that the pair before it allows."""
-        data, tokens, pairs, longest = piece.encode(), self.tokens, self.pairs, self.longest
+        data, tokens, pairs, sizes = piece.encode(), self.tokens, self.pairs, self.sizes
         count, last = [0], [-1]
         for end in range(1, len(data) + 1):
-            for start in range(max(0, end - longest), end):
+            for size in sizes[data[end - 1]]:
+                start = end - size
+                if start < 0:
+                    continue
                 token = tokens.get(data[start:end])
                 if token is not None and pairs[last[start], token]:
                     count.append(count[start] + 1)
@@ -161,8 +164,12 @@ class Encoder:
         return tiktoken.Encoding("pieces", pat_str=SPLIT, mergeable_ranks=self.tokens, special_tokens={})
 
     @functools.cached_property
-    def longest(self) -> int:
-        return max(map(len, self.tokens))
+    def sizes(self) -> list[list[int]]:
+        """Of the tokens that end in a byte their sizes, longest first."""
+        found: list[set[int]] = [set() for _ in range(256)]
+        for token in self.tokens:
+            found[token[-1]].add(len(token))
+        return [sorted(x, reverse=True) for x in found]
 
     def _pair(self, pair: tuple[int, int]) -> bool:
         """Whether the second token can follow the first inside one piece (first -1: stand at its start)."""

@@ -25,8 +25,8 @@ from cohortloom.llm.common import cut
 ROLES = {"user": "User", "assistant": "Assistant", "system": "System", "tool": "Tool"}
 NAMES = {name: role for role, name in ROLES.items()}
 OPEN, END = "### ", "</turn>"
-CONTROL = re.compile(r"(\\*)(### |</turn>)")
-ESCAPED = re.compile(r"\\(\\*)(### |</turn>)")
+CONTROL = re.compile(r"(?<!\\)(\\*)(### |</turn>)")  # tried at the first of many backslashes only
+ESCAPED = re.compile(r"(?<!\\)\\(\\*)(### |</turn>)")
 HEAD = re.compile(r"### (?:(User|Assistant|System|Tool)|@((?:[^:\\]|\\.)*)): ", re.DOTALL)
 
 

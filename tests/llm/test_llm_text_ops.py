@@ -359,6 +359,15 @@ def test_every_text_survives_the_grammar():
     assert chat.parse("### User: no end") is None and chat.parse("junk") is None
 
 
+def test_long_runs_take_linear_time(library):
+    text = "\\" * 60_000 + "</turn>" + "\\" * 60_000
+    done, start, end = chat.render("assistant", text)
+    assert chat.parse(done) == [("assistant", text)]
+    blob = "aB3+/x" * 4000
+    assert int(np.frombuffer(encoder(TOKENIZER).prefix_steps(blob), "<i2").sum()) == len(plain(library, blob))
+    assert int(np.frombuffer(encoder(TOKENIZER).prefix_steps(" " * 20_000 + "x"), "<i2").sum()) == len(plain(library, " " * 20_000 + "x"))
+
+
 def test_chat_edges(spark):
     schema = "conv_id long, turn long, role string, text string, learn string"
     rows = [(1, 1, "assistant", "b", "x"), (1, 0, "user", "a", "x"), (1, 0, "user", "a", "x"), (2, 0, None, None, "x"), (None, 0, "assistant", "z" * 70_000, "x"), (3, None, "assistant", "", "x")]
