@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortloom.llm.common import mixed
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -73,8 +75,10 @@ class Cascade:
 
 
 def _places(first: np.ndarray, second: np.ndarray, level: int, hashes: int, size: int):
+    """Places of keys on a level. All bits of both hashes count, anew on each level: keys that meet on one level part on another."""
     for k in range(hashes):
-        yield (first.view(np.uint64) + np.uint64(level * hashes + k) * (second.view(np.uint64) | np.uint64(1))) % np.uint64(size)
+        salt = np.uint64((level * hashes + k + 1) * 0x9E3779B97F4A7C15 % 2**64)
+        yield mixed(mixed(first.view(np.uint64) + salt) ^ second.view(np.uint64)) % np.uint64(size)
 
 
 def _hashes(key: Column) -> tuple[Column, Column]:

@@ -53,6 +53,13 @@ def test_a_cascade_is_exact(spark):
     assert len(url_filter.build(hashed, bits_per_key=4, hashes=2).levels) > 2
 
 
+def test_keys_alike_in_their_low_bits_part(spark):
+    rows = [((k + 1) << 6, (3 * k + 5) << 6, k < 3) for k in range(40)]
+    keys = spark.createDataFrame(rows, "a long, b long, listed boolean")
+    cascade = url_filter.build(keys)
+    assert cascade.has(np.array([a for a, _, _ in rows]), np.array([b for _, b, _ in rows])).tolist() == [x for *_, x in rows]
+
+
 def test_urls_and_rules(spark):
     cases = {
         None: ("", "", None), "no scheme/en/": ("", "", None), "http://EXAMPLE.net/en/1?x#y": ("example.net", "/en/1", "example.net/en/"),
