@@ -32,15 +32,15 @@ def _marked(text: Column) -> Column:
     """Words between single spaces; START before the first word of a sentence, UNIT before a unit."""
     starts = F.regexp_replace(F.concat(F.lit("."), text), r"[.!?:;\n][^\p{L}\p{N}]*", f" {START}")
     flat = F.regexp_replace(starts, rf"[^\p{{L}}\p{{N}}{START}]+", " ")
-    return F.regexp_replace(flat, rf"(?<=\p{{N}}) (?={ONE_UNIT}(?: |$))", f" {UNIT}")
+    return F.regexp_replace(flat, rf"(\p{{N}}) (?={ONE_UNIT}(?: |$))", f"$1 {UNIT}")
 
 
 def hashed_tokens(text: Column) -> Column:
     """One 64-bit hash per token of `tokens`, made by whole-text replacements."""
     t = F.regexp_replace(_marked(text), rf"{UNIT}[^ ]+", UNIT)
-    t = F.regexp_replace(t, rf"(?<=[ {START}])\p{{N}}+(?= |$)", NUMBER)
-    t = F.regexp_replace(t, r"(?<= )\p{Lu}\p{Ll}[^ ]*", NAME)
-    words = F.split(F.trim(F.regexp_replace(F.lower(F.translate(t, START, "")), " +", " ")), " ")
+    t = F.regexp_replace(t, rf"([ {START}])\p{{N}}+(?= |$)", f"$1{NUMBER}")
+    t = F.regexp_replace(t, r" \p{Lu}\p{Ll}[^ ]*", f" {NAME}")
+    words = F.split(F.lower(F.translate(t, START, "")), " ")
     return F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
@@ -80,12 +80,14 @@ def contaminated(
     """
     items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text).alias("text")).dropna().groupBy("text").agg(F.min("item").alias("item"))
     toks = items.select("item", fixed(tokens(F.col("text"))).alias("t")).filter(F.size("t") > 0)
-    place = F.posexplode_outer(F.sequence(F.lit(1), F.greatest(F.size("t") - size + 1, F.lit(1)))).alias("at", "k")
-    part = F.slice(F.col("t"), F.col("k"), size)
-    words = F.size(F.filter(part, lambda t: ~t["token"].isin(NUMBER, UNIT, NAME)))
-    known = toks.select("item", place, "t").select("item", "at", F.size("t").alias("n"), part.alias("slots"), words.alias("words"))
-    known = known.withColumn("h", F.xxhash64(F.transform("slots", lambda t: F.xxhash64(t["token"])))).filter((F.col("words") >= least_words) | (F.col("n") <= size))
-    known = written(known.withColumn("len", F.size("slots")).select("h", "len", "item", "at", "slots"), "benchmark-windows")
+    # per item its windows of `size`, or itself
+    runs = F.array().cast(_WINDOWS)
+    for n in range(1, size + 1):
+        runs = F.when((F.size("t") == n) | ((n == size) & (F.size("t") > n)), _slot_windows(F.col("t"), n)).otherwise(runs)
+    known = toks.select("item", F.size("t").alias("n"), F.posexplode_outer(runs).alias("at", "w")).filter("w is not null")
+    words = F.size(F.filter("w.slots", lambda t: ~t["token"].isin(NUMBER, UNIT, NAME)))
+    known = known.filter((words >= least_words) | (F.col("n") <= size))
+    known = written(known.select("w.h", F.size("w.slots").alias("len"), "item", "at", "w.slots"), "benchmark-windows")
     counted = known.groupBy("len").count().collect()  # one row per window length, `size` at most
     small = sum(r["count"] for r in counted) <= most_broadcast
     lengths = sorted(r["len"] for r in counted)
@@ -96,10 +98,11 @@ def contaminated(
     hashes = own.select("doc", fixed(hashed_tokens(F.col("text"))).alias("hashes"))
     seen = hashes.select("doc", F.explode_outer(F.concat(*(_windows(F.col("hashes"), n) for n in lengths))).alias("h"))
     keys = known.select("h").distinct()
-    hit = seen.join(F.broadcast(keys) if small else keys, "h", "left_semi").select("doc").distinct()
+    hit = written(seen.filter("h is not null").join(F.broadcast(keys) if small else keys, "h", "left_semi").select("doc").distinct(), "benchmark-documents")
 
-    # only documents that share a window are looked at closely
-    close = own.join(hit, "doc", "left_semi").dropDuplicates(["doc", "text"]).select("doc", fixed(tokens(F.col("text"))).alias("t"))
+    # only documents that share a window are looked at closely; a list of them that is small spares the others a shuffle
+    few = hit.count() <= most_broadcast
+    close = own.join(F.broadcast(hit) if few else hit, "doc", "left_semi").dropDuplicates(["doc", "text"]).select("doc", fixed(tokens(F.col("text"))).alias("t"))
     runs = [_slot_windows(F.col("t"), n) for n in lengths]
     spots = close.select("doc", F.explode_outer(F.concat(*runs)).alias("w")).select("doc", F.col("w.h").alias("h"), F.col("w.slots").alias("found"))
     met = spots.join(F.broadcast(known) if small else known, "h").filter(F.size("found") == F.col("len"))
@@ -122,14 +125,24 @@ def contaminated(
     return out.select(F.col("doc").alias(id_col), F.col("item").alias(item_col), "n_windows", "n_found")
 
 
+_WINDOWS = "array<struct<h: bigint, slots: array<struct<token: string, value: string>>>>"
+
+
+def _hash(hashes: list[Column]) -> Column:
+    return F.xxhash64(F.lit(len(hashes)), *hashes)
+
+
+def _starts(array: Column, size: int) -> Column:
+    n = F.size(array)
+    return F.when(n >= size, F.sequence(F.lit(0), n - size)).otherwise(F.array().cast("array<int>"))
+
+
 def _windows(hashes: Column, size: int) -> Column:
-    n = F.size(hashes)
-    starts = F.when(n >= size, F.sequence(F.lit(1), n - size + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda k: F.xxhash64(F.slice(hashes, k, size)))
+    """Hash of each run of `size` tokens. Elements are read one by one: `slice` would copy the whole array for each run."""
+    return F.transform(_starts(hashes, size), lambda k: _hash([F.get(hashes, k + j) for j in range(size)]))
 
 
 def _slot_windows(toks: Column, size: int) -> Column:
-    n = F.size(toks)
-    starts = F.when(n >= size, F.sequence(F.lit(1), n - size + 1)).otherwise(F.array().cast("array<int>"))
-    part = lambda k: F.slice(toks, k, size)
-    return F.transform(starts, lambda k: F.struct(F.xxhash64(F.transform(part(k), lambda t: F.xxhash64(t["token"]))).alias("h"), part(k).alias("slots")))
+    """The same with the tokens of each run."""
+    at = lambda k: [F.get(toks, k + j) for j in range(size)]
+    return F.transform(_starts(toks, size), lambda k: F.struct(_hash([F.xxhash64(t["token"]) for t in at(k)]).alias("h"), F.array(*at(k)).alias("slots")))
