@@ -20,8 +20,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Give the executors this library, once per application, where they may not have it installed."""
+    """Give the executors this library, once per application, where they may not have it installed.
+
+    Rows go to Python in batches of 1,000 unless the session names another size: ten thousand whole texts at once cost each
+    task more memory than all else here.
+    """
+    if spark.conf.get(BATCH) == "10000":
+        spark.conf.set(BATCH, "1000")
     sc = spark.sparkContext
     if getattr(sc, "_cohortloom_shipped", False):
         return
