@@ -29,7 +29,8 @@ def segment_edges(df: DataFrame, position: str, segments: int) -> list[float]:
 def with_segment(df: DataFrame, position: str, edges: Sequence[float], out: str = "_segment") -> DataFrame:
     """Number the segments 0, 1, ... in ascending order of `position`."""
     if not edges:
-        return df.withColumn(out, F.lit(0))
+        # 0, but not as a constant, which would fold a later join on it into a nested loop
+        return df.withColumn(out, F.pmod(F.xxhash64(F.col(position)), F.lit(1)).cast("int"))
     splits = [float("-inf"), *edges, float("inf")]
     cut = Bucketizer(splits=splits, inputCol="_cut_in", outputCol=out, handleInvalid="keep")
     return (
