@@ -6,9 +6,10 @@ agree in all bins of a band meet in a bucket. Documents of equal sets are merged
 
 Within a bucket the documents are not paired: the one that meets most others over all its buckets is the centre, and each
 other one is compared with it, on the full sets. Among copies of one text that is a copy with few edits, the one most of the
-others are linked with. What is not linked with its centre meets again around a new centre, `rounds` times. With 48 bands of 5
-rows a pair at the threshold of 0.75 shares 11 buckets on average and none with a chance of 2 in a million; it is missed
-otherwise only if in each of them the centre is a third document that one of the two is not linked with, round after round.
+others are linked with. What is not linked with its centre meets again around a new centre, `rounds` times. Then whatever
+documents of a bucket are not yet in one group are compared with each other, until none are left that were not. So a pair is
+missed only if it shares no bucket: with 48 bands of 5 rows a pair at the threshold of 0.75 shares 11 on average, and none
+with a chance of 2 in a million.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from cohortloom.llm.common import cut, mixed, texts
 from cohortloom.llm.components import components
 
 BANDS, ROWS, SHINGLE = 48, 5, 5
+#: Of the ids that are compared in a pass, one in STEP is in the pass before; so many passes at most.
+STEP, TIERS = 8, 12
 
 
 def shingles(text: str, size: int = SHINGLE) -> np.ndarray:
@@ -109,6 +112,67 @@ def confirmed(pairs: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
     return common.filter(F.col("n") * 100 >= (F.col("m") - F.col("n")) * percent).select("a", "b")
 
 
+class _Links:
+    """The links confirmed so far (`found`, None before the first look); no pair is compared twice."""
+
+    def __init__(self, docs: DataFrame, written, percent: int, size: int):
+        self.docs, self.written, self.percent, self.size = docs, written, percent, size
+        self.found = self.grams = self.tried = None
+
+    def confirm(self, pairs: DataFrame) -> None:
+        """Compare the pairs (a, a_size, b, b_size) whose sizes allow a link on the full sets."""
+        small, large = F.least("a_size", "b_size"), F.greatest("a_size", "b_size")
+        pairs = pairs.filter(small * 100 >= large * self.percent).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        if self.tried is not None:
+            pairs = pairs.join(self.tried, ["a", "b"], "left_anti")
+        pairs = self.written(pairs, "pairs")
+        needed = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+        if self.grams is not None:
+            needed = needed.join(self.grams.select("id"), "id", "left_anti")
+        needed = self.written(needed, "needed")
+        if needed.take(1):
+            more = self.written(shingle_sets(self.docs.join(needed, "id", "left_semi"), self.size), "grams")
+            self.grams = more if self.grams is None else self.grams.union(more)
+        if self.grams is None:
+            return
+        found = self.written(confirmed(pairs, self.grams, self.percent), "confirmed")
+        self.found = found if self.found is None else self.found.union(found)
+        self.tried = pairs if self.tried is None else self.tried.union(pairs)
+
+
+def _rest(members: DataFrame, links: _Links, written) -> None:
+    """Compare whatever members of a bucket are not yet in one group, until no bucket holds two of different groups untried.
+
+    Each id has a tier, of which one id in STEP reaches the next; a pass compares the ids of the tiers from `level` on with the
+    members of other groups in their buckets, and then the groups are made anew. The level is the lowest one that costs a few
+    comparisons per member, so crowds are merged by few ids before the others are looked at; the last pass takes all that is left.
+    """
+    tier = sum((F.pmod(F.xxhash64("id", F.lit(11)), F.lit(STEP**k)) == 0).cast("int") for k in range(1, TIERS))
+    rest, above = members.withColumn("tier", tier), TIERS
+    while above > 0:
+        named = rest.withColumn("label", F.col("id"))
+        if links.found is not None:
+            groups = components(links.found, written)
+            named = rest.join(groups, rest["id"] == groups["node"], "left").select(*rest.columns, F.coalesce("component", "id").alias("label"))
+        named = written(named, "named")
+        each = named.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+        main = F.max_by("label", F.struct("n", "label")).alias("main")
+        mixed_up = written(each.groupBy("bucket").agg(main, F.sum("n").alias("m"), F.max("n").alias("most")).filter("m > most"), "mixed")
+        work, rows = mixed_up.agg(F.sum(F.col("m").cast("double") * (F.col("m") - F.col("most"))), F.sum("m")).first()
+        if not work:
+            return
+        level = next((k for k in range(above) if work <= STEP * rows * STEP**k), above - 1)
+        now = written(named.join(mixed_up.select("bucket", "main"), "bucket"), "mixed-members").filter(F.col("tier") < above)
+        # one side leaves out the bucket's largest group, so that its members are not paired with each other
+        x = now.filter("label != main").select("bucket", F.col("id").alias("a"), F.col("n_shingles").alias("a_size"), F.col("tier").alias("a_tier"), F.col("label").alias("a_label"))
+        y = now.select("bucket", F.col("id").alias("b"), F.col("n_shingles").alias("b_size"), F.col("tier").alias("b_tier"), F.col("label").alias("b_label"))
+        pairs = x.filter(F.col("a_tier") >= level).join(y, "bucket")
+        if level:
+            pairs = pairs.union(x.filter(F.col("a_tier") < level).join(y.filter(F.col("b_tier") >= level), "bucket"))
+        links.confirm(pairs.filter("a_label != b_label").select("a", "a_size", "b", "b_size"))
+        rest, above = now.select("bucket", "id", "n_shingles", "tier"), level
+
+
 def near_duplicates(
     docs: DataFrame, written, percent: int = 75, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, rounds: int = 3, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -132,7 +196,8 @@ def near_duplicates(
     crowd = written(met.join(several, "bucket"), "crowds")
     star = written(crowd.join(crowd.groupBy("id").agg(F.sum("crowd").alias("meets")), "id").select("bucket", "id", "n_shingles", "meets"), "members")
 
-    linked = grams = tried = None
+    links = _Links(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), written, percent, size)
+    members = star.select("bucket", "id", "n_shingles")
     for _ in range(rounds):
         most = F.struct("meets", "id")
         drawn = (F.max_by("id", most).alias("a"), F.max_by("n_shingles", most).alias("a_size"), F.min("id").alias("low"), F.max("id").alias("high"))
@@ -140,26 +205,13 @@ def near_duplicates(
         if not centres.take(1):
             break
         star = written(star.join(centres, "bucket").filter("id != a"), "stars")
-        small, large = F.least("n_shingles", "a_size"), F.greatest("n_shingles", "a_size")
-        pairs = star.filter(small * 100 >= large * percent).select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        needed = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-        if grams is not None:
-            needed = needed.join(grams.select("id"), "id", "left_anti")
-        needed = written(needed, "needed")
-        if needed.take(1):
-            more = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(needed, "id", "left_semi")
-            more = written(shingle_sets(more, size), "grams")
-            grams = more if grams is None else grams.union(more)
-        if grams is None:
+        links.confirm(star.select("a", "a_size", F.col("id").alias("b"), F.col("n_shingles").alias("b_size")))
+        if links.found is None:
             break
-        found = written(confirmed(pairs, grams, percent), "confirmed")
-        linked = found if linked is None else linked.union(found)
-        tried = pairs if tried is None else tried.union(pairs)
-        near = linked.union(linked.select(F.col("b").alias("a"), F.col("a").alias("b"))).select("a", F.col("b").alias("id"))
+        near = links.found.union(links.found.select(F.col("b").alias("a"), F.col("a").alias("b"))).select("a", F.col("b").alias("id"))
         star = star.join(near, ["a", "id"], "left_anti").select("bucket", "id", "n_shingles", "meets")
+    _rest(members, links, written)
+    linked = links.found
 
     ids = sketch.select("id", *group).join(heads, group, "left").select("id", "n_shingles", F.coalesce("head", "id").alias("head"))
     if linked is not None:

@@ -262,6 +262,29 @@ def test_a_crowd_of_copies_with_few_links_at_its_edge(spark):
     assert groups(minhash.near_duplicates(frame(spark, docs), written)) == want
 
 
+def family(documents, most, seed):
+    """Copies of one text of 150 words, 3 to `most` of them replaced."""
+    draw = random.Random(seed)
+    base, docs = [f"b{k}" for k in range(150)], []
+    for k in range(documents):
+        copy = list(base)
+        for at in draw.sample(range(150), draw.randint(3, most)):
+            copy[at] = f"x{draw.randrange(100_000)}"
+        docs.append((k, " ".join(copy)))
+    return docs
+
+
+def test_members_of_a_bucket_that_the_centres_do_not_match(spark):
+    docs = family(1200, 12, 5)
+    want = plain_groups(docs)
+    assert len({c for _, c in want.values()}) > 10
+    assert groups(minhash.near_duplicates(frame(spark, docs), written)) == want
+    # with one bucket for all and no round around centres, every pair across groups is compared
+    some = family(60, 12, 6)
+    out = minhash.near_duplicates(frame(spark, some), written, bands=240, rows=1, rounds=0)
+    assert groups(out) == plain_groups(some)
+
+
 def test_near_duplicate_edges(spark):
     docs = [(5, "A b c"), (3, "a  B\tC"), (9, None), (2, ""), (4, " \n"), (8, "one two three four five six seven eight nine ten"), (8, "one two three four five six seven eight nine ten"), (None, "a b c"), (7, "x " * 50_000), (6, "X " * 60_000 + "x"), (10, "a b c\x1cd")]
     out = minhash.near_duplicates(frame(spark, docs), written)
