@@ -4,8 +4,9 @@ and units in their slots.
 Texts become words, numbers, units and names; the last three are replaced by typed placeholders. Windows of `size` tokens of
 the items are hashed and hash-joined with those of the documents. Where windows of an item are found, the slots are compared:
 an item's value must always stand for the same value of the document and the other way round, so that a text that merely has
-the item's shape with muddled slots is not taken for it. An item counts as found if its consistent windows are at least
-`share` of its windows.
+the item's shape with muddled slots is not taken for it. Windows are also compared word by word in lower case, so that
+verbatim copies are found whatever their case and however few plain words an item has. An item counts as found if its
+consistent or verbatim windows are at least `share` of its windows, or the consistent ones of those with enough plain words.
 
 All of it is built-in functions. The items' windows are broadcast only if they are at most `most_broadcast`; beyond, the join
 is Spark's choice. Documents are never joined with each other, and rows are only grouped per document and item.
@@ -44,6 +45,11 @@ def hashed_tokens(text: Column) -> Column:
     return F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
+def literal_tokens(text: Column) -> Column:
+    """The words as they are, in lower case, numbers and names too; as many as `tokens`."""
+    return F.filter(F.split(F.lower(F.regexp_replace(text, r"[^\p{L}\p{N}]+", " ")), " "), lambda w: w != "")
+
+
 def tokens(text: Column) -> Column:
     """Array of structs (token, value): value is the word in lower case, token is it or a placeholder.
 
@@ -70,11 +76,11 @@ def contaminated(
     item_col: str = "item_id",
     item_text: str = "text",
 ) -> DataFrame:
-    """One row per document and benchmark item found in it: id, item, n_windows (of the item), n_found (of those, consistent).
+    """One row per document and benchmark item found in it: id, item, n_windows (all of the item), n_found (of those, consistent or verbatim).
 
     Items of equal text are one, under their smallest id. Items shorter than `size` are matched as a whole among windows of
-    their own length. Windows with fewer than `least_words` words that are not placeholders match nothing unless they are a
-    whole item. Null and empty texts, and rows with a null id, match nothing; repeated rows count as one document; other
+    their own length. Windows with fewer than `least_words` words that are not placeholders match only verbatim unless they are
+    a whole item. Null and empty texts, and rows with a null id, match nothing; repeated rows count as one document; other
     columns are ignored; empty tables give an empty result. `written` stores the items' windows and
     where documents meet them.
     """
@@ -88,13 +94,23 @@ def contaminated(
     words = F.size(F.filter("w.slots", lambda t: ~t["token"].isin(NUMBER, UNIT, NAME)))
     known = known.filter((words >= least_words) | (F.col("n") <= size))
     known = written(known.select("w.h", F.size("w.slots").alias("len"), "item", "at", "w.slots"), "benchmark-windows")
-    counted = known.groupBy("len").count().collect()  # one row per window length, `size` at most
+    lits = items.select("item", fixed(literal_tokens(F.col("text"))).alias("t")).filter(F.size("t") > 0)
+    runs = F.array().cast("array<bigint>")
+    for n in range(1, size + 1):
+        runs = F.when((F.size("t") == n) | ((n == size) & (F.size("t") > n)), _literal_windows(F.col("t"), n)).otherwise(runs)
+    verbatim = lits.select("item", F.least(F.size("t"), F.lit(size)).alias("len"), F.posexplode_outer(runs).alias("at", "h")).filter("h is not null")
+    verbatim = written(verbatim, "benchmark-literals")
+    counted = known.groupBy("len").count().union(verbatim.groupBy("len").count()).collect()  # one row per window length, `size` at most
     small = sum(r["count"] for r in counted) <= most_broadcast
-    lengths = sorted(r["len"] for r in counted)
+    lengths = sorted({r["len"] for r in counted})
     if not lengths:
         return docs.select(F.col(id_col), F.lit(None).cast(benchmark.schema[item_col].dataType).alias(item_col), F.lit(0).cast("long").alias("n_windows"), F.lit(0).cast("long").alias("n_found")).limit(0)
 
     own = docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
+    words = own.select("doc", fixed(literal_tokens(F.col("text"))).alias("t"))
+    same = words.select("doc", F.explode_outer(F.concat(*(_literal_windows(F.col("t"), n) for n in lengths))).alias("h")).filter("h is not null")
+    values = verbatim.select("h", "item", "at")
+    same = written(same.join(F.broadcast(values) if small else values, "h").select("doc", "item", "at").distinct(), "benchmark-verbatim")
     hashes = own.select("doc", fixed(hashed_tokens(F.col("text"))).alias("hashes"))
     seen = hashes.select("doc", F.explode_outer(F.concat(*(_windows(F.col("hashes"), n) for n in lengths))).alias("h"))
     keys = known.select("h").distinct()
@@ -119,9 +135,13 @@ def contaminated(
     agreed = there.join(back, ["doc", "item", "type", "theirs", "ours"]).groupBy("doc", "item").agg(F.collect_set(F.struct("type", "theirs", "ours")).alias("agreed"))
     checked = met.join(agreed, ["doc", "item"], "left")
     consistent = F.forall("pairs", lambda p: F.array_contains(F.col("agreed"), p))
-    found = checked.filter((F.size("pairs") == 0) | F.coalesce(consistent, F.lit(False))).groupBy("doc", "item").agg(F.count_distinct("at").alias("n_found"))
-    total = known.groupBy("item").agg(F.count("*").alias("n_windows"))
-    out = found.join(total, "item").filter(F.col("n_found") >= share * F.col("n_windows"))
+    fit = checked.filter((F.size("pairs") == 0) | F.coalesce(consistent, F.lit(False))).select("doc", "item", "at", F.lit(True).alias("shape"))
+    every = fit.union(same.select("doc", "item", "at", F.lit(False)))
+    found = every.groupBy("doc", "item").agg(F.count_distinct("at").alias("n_found"), F.count_distinct(F.when(F.col("shape"), F.col("at"))).alias("n_shapes"))
+    total = verbatim.groupBy("item").agg(F.count("*").alias("n_windows"))
+    shapes = known.groupBy("item").agg(F.count("*").alias("of_shapes"))
+    whole = F.coalesce(F.col("n_shapes") >= share * F.col("of_shapes"), F.lit(False))
+    out = found.join(total, "item").join(shapes, "item", "left").filter((F.col("n_found") >= share * F.col("n_windows")) | whole)
     return out.select(F.col("doc").alias(id_col), F.col("item").alias(item_col), "n_windows", "n_found")
 
 
@@ -142,6 +162,11 @@ def _windows(hashes: Column, size: int) -> Column:
     return F.transform(_starts(hashes, size), lambda k: _hash([F.get(hashes, k + j) for j in range(size)]))
 
 
+def _literal_windows(words: Column, size: int) -> Column:
+    """Hash of each run of `size` words as they are."""
+    return F.transform(_starts(words, size), lambda k: F.xxhash64(F.lit(size), *[F.get(words, k + j) for j in range(size)]))
+
+
 def _slot_windows(toks: Column, size: int) -> Column:
     """The same with the tokens of each run."""
     at = lambda k: [F.get(toks, k + j) for j in range(size)]

@@ -179,6 +179,21 @@ def test_contradicting_slots_do_not_count(spark):
     assert [r.doc_id for r in decontaminate.contaminated(docs, items, written).collect()] == [1]
 
 
+def test_items_without_plain_words_are_found_verbatim(spark):
+    sums, prose = "Solve 12 x 7 + 5 x 9 + 3 x 8", "the old mill stands at the river and nobody has seen its owner for years "
+    docs = frame(spark, [(1, prose + sums + " " + prose), (2, prose + "Solve 13 x 6 + 4 x 2 + 9 x 1"), (3, prose), (4, sums.upper())])
+    items = spark.createDataFrame([(1, sums)], "item_id long, text string")
+    for most in (500_000, 0):
+        got = decontaminate.contaminated(docs, items, written, most_broadcast=most).collect()
+        assert sorted((r.doc_id, r.item_id, r.n_windows, r.n_found) for r in got) == [(1, 1, 3, 3), (4, 1, 3, 3)]
+
+
+def test_verbatim_copies_in_another_case_are_found(spark):
+    docs, items = frame(spark, [(1, QUESTION.lower()), (2, QUESTION.upper()), (3, QUESTION.lower()[:50])]), spark.createDataFrame([(1, QUESTION)], "item_id long, text string")
+    got = decontaminate.contaminated(docs, items, written).collect()
+    assert {r.doc_id for r in got} == {1, 2} and all(r.n_found == r.n_windows for r in got)
+
+
 def test_decontamination_of_a_table(spark):
     items = [(r.item_id, plain_tokens(r.text)) for r in table(spark, SMALL, "benchmark").collect()]
     want = set()
