@@ -219,6 +219,6 @@ def near_duplicates(
         ids = ids.join(found, ids["head"] == found["node"], "left").select("id", "n_shingles", F.coalesce("component", "head").alias("component_id"))
     else:
         ids = ids.withColumnRenamed("head", "component_id")
-    one = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id"))
+    one = F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.col("component_id")).otherwise(F.col("id"))
     out = ids.select(F.col("id").alias(id_col), "n_shingles", one.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
