@@ -9,12 +9,13 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortloom.llm import chat, decontaminate, langid, licenses, lm_score, minhash, packing, spotsigs, token_counts, url_filter
+from cohortloom.llm import align, chat, decontaminate, langid, licenses, lm_score, merkle, minhash, packing, spotsigs, token_counts, url_filter
 from cohortloom.llm.common import ship, table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def query(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -103,6 +104,17 @@ def op10_language(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+@query
+def op12_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return align.scored(table(spark, folder, "documents"), TOKENIZER, PIECES, written)
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    broken = F.when(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(2)) == 0, F.translate("text", "\n", "")).otherwise(F.col("text"))
+    return merkle.verified_manifest(table(spark, folder, "documents"), written, broken)
+
+
 SQL["op1_url_filter"] = r"""
 WITH parts AS (
   SELECT page_id,
@@ -195,3 +207,62 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
        sum(length(formatted))::BIGINT AS formatted_chars
 FROM formatted GROUP BY conv_id
 """
+
+
+def _tree_sql(name: str, leaves: str, levels: int) -> str:
+    """CTEs of a tree over `leaves` (g, p, h, n): `name`0, `name`1, ... have each level's nodes with what stands left and right in their runs."""
+    run = "PARTITION BY g, p // 3 ORDER BY p"
+    sides = f"coalesce(lag(h, 2) OVER ({run}), '') || coalesce(lag(h) OVER ({run}), '') AS l, coalesce(lead(h) OVER ({run}), '') || coalesce(lead(h, 2) OVER ({run}), '') AS r"
+    parts = [f"{name}0 AS MATERIALIZED (SELECT g, p, h, n, {sides} FROM {leaves})"]
+    for k in range(levels):
+        up = f"SELECT g, p // 3 AS p, CASE WHEN n > 1 THEN sha256(string_agg(h, '' ORDER BY p)) ELSE min(h) END AS h, (n + 2) // 3 AS n FROM {name}{k} GROUP BY g, p // 3, n"
+        parts.append(f"{name}{k + 1} AS MATERIALIZED (SELECT *, {sides} FROM ({up}))")
+    return ",\n".join(parts)
+
+
+def _walk_sql(name: str, start: str, levels: int, place: str) -> str:
+    """CTEs that carry `start` (doc_id, g, p, f, siblings, ...) up the tree `name`: f is folded, siblings are collected."""
+    parts = []
+    for k in range(levels):
+        parts.append(
+            f"{place}{k} AS MATERIALIZED (SELECT w.* REPLACE (w.p // 3 AS p, CASE WHEN t.n > 1 THEN sha256(t.l || f || t.r) ELSE f END AS f, siblings || t.l || t.r AS siblings) "
+            f"FROM {start if k == 0 else f'{place}{k - 1}'} w JOIN {name}{k} t ON w.g IS NOT DISTINCT FROM t.g AND w.p = t.p)"
+        )
+    return ",\n".join(parts)
+
+
+def _merkle_sql(levels: int = 16) -> str:
+    def leaf(text: str) -> str:
+        return "sha256(" + " || ".join(f"coalesce(strlen({c}::VARCHAR) || ':' || {c}, '-')" for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+    # CRC-32 bit by bit: each byte of the decimal number, then eight steps
+    crc = "list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda x: [ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))), lambda c, e: CASE WHEN e >= 0 THEN xor(c, e) ELSE xor(c >> 1, 3988292384 * (c & 1)) END)"
+    return f"""
+WITH crcs AS (
+  SELECT *, xor({crc}, 4294967295) AS crc FROM documents
+), texts AS (
+  SELECT *, CASE WHEN crc % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS changed FROM crcs
+), leaves AS MATERIALIZED (
+  SELECT doc_id, source, {leaf("text")} AS leaf, {leaf("changed")} AS changed_leaf FROM texts
+), leaf_nodes AS MATERIALIZED (
+  SELECT doc_id, source AS g, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS p, leaf AS h, count(*) OVER (PARTITION BY source) AS n, changed_leaf FROM leaves
+),
+{_tree_sql("d", "leaf_nodes", levels)},
+group_nodes AS MATERIALIZED (
+  SELECT 0 AS g, row_number() OVER (ORDER BY g NULLS FIRST) - 1 AS p, h, count(*) OVER () AS n, g AS source FROM d{levels}
+),
+{_tree_sql("s", "group_nodes", levels)},
+walked AS (
+  SELECT doc_id, g, p, changed_leaf AS f, '' AS siblings, h AS leaf FROM leaf_nodes
+),
+{_walk_sql("d", "walked", levels, "w")},
+above AS (
+  SELECT w.doc_id, 0 AS g, n.p, w.f, w.siblings, w.leaf, n.h AS subroot FROM w{levels - 1} w JOIN group_nodes n ON w.g IS NOT DISTINCT FROM n.source
+),
+{_walk_sql("s", "above", levels, "v")}
+SELECT doc_id, leaf, subroot, (SELECT h FROM s{levels}) AS root, sha256(siblings) AS proof_sha256, f AS folded_root, f = (SELECT h FROM s{levels}) AS verified
+FROM v{levels - 1}
+"""
+
+
+SQL["op13_merkle_manifest"] = _merkle_sql()
