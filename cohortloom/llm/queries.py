@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortloom.llm import align, chat, decontaminate, langid, licenses, lm_score, merkle, minhash, packing, spotsigs, token_counts, url_filter
+from cohortloom.llm import align, chat, decontaminate, html_blocks, langid, licenses, lm_score, merkle, minhash, packing, spotsigs, token_counts, url_filter
 from cohortloom.llm.common import ship, table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,6 +104,12 @@ def op10_language(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+@query
+def op11_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages")
+    return html_blocks.main_texts(pages, html_blocks.learn(pages))
+
+
 @query
 def op12_alignment(spark: SparkSession, folder: str) -> DataFrame:
     return align.scored(table(spark, folder, "documents"), TOKENIZER, PIECES, written)
