@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import evaluate as ev
+from ..operators import boost
+from ..operators.boost import SecondOrder
 from ..operators.curve import threshold_curve
 from ..operators.model import Boosting, best_setting, choose_rounds, fit, importance, out_of_fold, score, search_grid
 from ..operators.prep import feature_pipeline
@@ -205,3 +207,61 @@ def cv_grid(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def cv_best_setting(spark: SparkSession, sf: str) -> DataFrame:
     return best_setting(grid_results(spark, sf).withColumn("depth", F.lit(DEEP["depth"]))).drop("depth")
+
+
+# Second-order trees. Without a penalty each cell of flags takes one Newton step per round, which SQL can compute.
+
+FLAG_NAMES = ["ed", "ip", "long_stay", "urgent"]
+
+
+def flag_rows(spark: SparkSession, sf: str) -> DataFrame:
+    rows = model_rows(spark, sf).withColumn("urgent", (F.col("urgency") == "high").cast("int"))
+    return stratified_split(written_once(rows), "encounter_id", "label", 124800)
+
+
+CELLS = SecondOrder(rounds=3, eta=0.5, depth=5, min_child_weight=0.0, penalty=0.0)
+
+
+@query
+def gbt_second_order(spark: SparkSession, sf: str) -> DataFrame:
+    rows = written_once(flag_rows(spark, sf))
+    model = boost.fit_second_order(rows.filter("is_train"), FLAG_NAMES, "label", "encounter_id", CELLS)
+    return rounded(boost.score_second_order(model, rows.filter("not is_train")).select("encounter_id", "label", "score"), "score")
+
+
+@query
+def gbt_stumps(spark: SparkSession, sf: str) -> DataFrame:
+    """The nodes of three trees of one split each, with a penalty on leaf values."""
+    model = boost.fit_second_order(flag_rows(spark, sf).filter("is_train"), FLAG_NAMES, "label", "encounter_id", STUMPS)
+    return rounded(boost.node_table(spark, model), "gain", "cover", "value", digits=6)
+
+
+STUMPS = SecondOrder(rounds=3, eta=0.5, depth=1, min_child_weight=1.0, penalty=2.0)
+
+
+@query
+def importance_parts(spark: SparkSession, sf: str) -> DataFrame:
+    model = boost.fit_second_order(flag_rows(spark, sf).filter("is_train"), FLAG_NAMES, "label", "encounter_id", STUMPS)
+    found = boost.importance_parts(boost.node_table(spark, model))
+    return rounded(found, "gain", "cover", "frequency", "total_gain", "total_cover", digits=6)
+
+
+def flag_folds(spark: SparkSession, sf: str, folds: int) -> DataFrame:
+    train = written_once(flag_rows(spark, sf).filter("is_train"))
+    fold = stratified_folds(train.select("encounter_id", "label"), "encounter_id", "label", 1234, folds).select("encounter_id", "fold")
+    return train.join(fold, "encounter_id")
+
+
+@query
+def cv_second_order(spark: SparkSession, sf: str) -> DataFrame:
+    """Both folds grow two trees, then one more from where they stood."""
+    table_, best = boost.cv_second_order(flag_folds(spark, sf, 2), FLAG_NAMES, "label", "encounter_id", CELLS, fold="fold", folds=2, stage=2)
+    return rounded(table_.withColumn("chosen", F.col("round") == best), "train_mean", "train_sd", "test_mean", "test_sd")
+
+
+@query
+def grid_second_order(spark: SparkSession, sf: str) -> DataFrame:
+    grid = boost.parameter_grid({"rounds": [1, 3], "eta": [0.1, 0.5], "depth": [5], "min_child_weight": [0.0], "penalty": [0.0]})
+    found = boost.grid_second_order(flag_folds(spark, sf, 2), FLAG_NAMES, "label", "encounter_id", grid, fold="fold", folds=2)
+    names = ["roc", "sens", "spec", "roc_sd", "sens_sd", "spec_sd"]
+    return rounded(found.select("rounds", "eta", *names), *names)

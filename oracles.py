@@ -186,6 +186,32 @@ def boosted(name: str, source: str, by: str, settings: str = "(SELECT 0.1::DOUBL
   SELECT *, 1 / (1 + exp(-2 * f)) AS score FROM grown)"""
 
 
+def newton(name: str, source: str, by: str, settings: str = "(SELECT 0.5::DOUBLE AS eta)", rounds: int = 3) -> str:
+    """A boosted model of flags by second-order steps without a penalty: per cell the margin after each round."""
+    return f"""{name} AS (
+  WITH RECURSIVE grown AS (
+    SELECT {by}{CELL}, eta, 0 AS round, avg(label::DOUBLE) AS p, 0::DOUBLE AS f FROM {source}, {settings} GROUP BY ALL
+    UNION ALL
+    SELECT {by}{CELL}, eta, round + 1, p, f + eta * (p - 1 / (1 + exp(-f))) * (1 + exp(-f)) * (1 + exp(f)) FROM grown WHERE round < {rounds})
+  SELECT *, 1 / (1 + exp(-f)) AS score FROM grown WHERE round > 0)"""
+
+
+def stumps(rounds: int = 3, eta: float = 0.5, penalty: float = 2, least: float = 1) -> str:
+    """Trees of one split over the cells of flags: per round the sums of each flag's sides, the best flag, and the cells' new margins."""
+    flags = ["ed", "ip", "long_stay", "urgent"]
+    parts = [f"""cells0 AS (SELECT ed, ip, long_stay, (urgency = 'high')::INTEGER AS urgent, count(*) AS n, sum(label) AS y, 0::DOUBLE AS f FROM flags WHERE is_train GROUP BY ALL)"""]
+    for k in range(rounds):
+        parts.append(f"""sides{k} AS (
+  SELECT flag, any_value(place) AS place, sum(g) FILTER (x = 0) AS gl, sum(h) FILTER (x = 0) AS hl, sum(g) FILTER (x = 1) AS gr, sum(h) FILTER (x = 1) AS hr FROM (
+    SELECT unnest({flags!r}) AS flag, unnest([0, 1, 2, 3]) AS place, unnest([{", ".join(flags)}]) AS x, n / (1 + exp(-f)) - y AS g, n / (1 + exp(-f)) / (1 + exp(f)) AS h FROM cells{k}) GROUP BY flag),
+best{k} AS (
+  SELECT *, gl * gl / (hl + {penalty}) + gr * gr / (hr + {penalty}) - (gl + gr) * (gl + gr) / (hl + hr + {penalty}) AS gain, -{eta} * gl / (hl + {penalty}) AS left_value, -{eta} * gr / (hr + {penalty}) AS right_value
+  FROM sides{k} WHERE hl >= {least} AND hr >= {least} ORDER BY round(gain, 9) DESC, place LIMIT 1),
+cells{k + 1} AS (SELECT c.* REPLACE (f + CASE WHEN [{", ".join(flags)}][place + 1] = 0 THEN left_value ELSE right_value END AS f) FROM cells{k} c, best{k})""")
+    trees = "\n  UNION ALL ".join(f"SELECT {k} AS tree, flag, gain, hl, hr, left_value, right_value FROM best{k}" for k in range(rounds))
+    return ",\n".join(parts) + f",\ntrees AS ({trees})"
+
+
 def area(source: str, by: str) -> str:
     """Area under the ROC curve per group, ties counting half."""
     return f"""area AS (
@@ -218,6 +244,7 @@ settings AS (
   SELECT round AS rounds, eta, round(avg(c), 9) AS roc, round(avg(sens), 9) AS sens, round(avg(spec), 9) AS spec, round(stddev_samp(c), 9) AS roc_sd,
          round(stddev_samp(sens), 9) AS sens_sd, round(stddev_samp(spec), 9) AS spec_sd
   FROM area JOIN hits USING (k, eta, round) GROUP BY ALL)"""
+NEWTON_GRID = GRID.replace(boosted("model", "train", "k, ", "(SELECT unnest([0.1, 0.3]::DOUBLE[]) AS eta)"), newton("model", "train", "k, ", "(SELECT unnest([0.1, 0.5]::DOUBLE[]) AS eta)"))
 LEFT_OUT = "train AS (SELECT k, f.* FROM folds f, (SELECT unnest([0, 1]) AS k) WHERE f.fold <> k)"
 
 
@@ -484,12 +511,27 @@ SQL = {
       SELECT unnest(['ed', 'ip', 'long_stay', 'urgency_is_high', 'urgency_is_low']) AS feature, unnest([ed, ip, long_stay, (urgency = 'high')::INTEGER, (urgency = 'low')::INTEGER]) AS value, label FROM train),
       left_over AS (SELECT feature, sum(n * p * (1 - p)) AS rest FROM (SELECT feature, value, count(*) AS n, avg(label::DOUBLE) AS p FROM sides GROUP BY ALL) GROUP BY feature)""") + """
         SELECT feature, 1::DOUBLE AS importance, 100::DOUBLE AS scaled, 1::INTEGER AS rank FROM left_over ORDER BY round(rest, 9), feature LIMIT 1""",
+    "gbt_second_order": w(FLAGS, "train AS (SELECT * FROM flags WHERE is_train)", newton("model", "train", "")) + f"""
+        SELECT t.encounter_id, t.label::DOUBLE AS label, round(m.score, 9) AS score FROM flags t JOIN model m USING ({CELL}) WHERE NOT t.is_train AND m.round = 3""",
+    "gbt_stumps": w(FLAGS, stumps()) + """
+        SELECT tree::INTEGER AS tree, unnest([0, 1, 2])::BIGINT AS node, unnest([flag, NULL, NULL]) AS feature, unnest([1::DOUBLE, NULL, NULL]) AS cut, unnest([false, NULL, NULL]) AS missing_left,
+               unnest([round(gain, 6), NULL, NULL]) AS gain, unnest([round(hl + hr, 6), round(hl, 6), round(hr, 6)]) AS cover, unnest([NULL, round(left_value, 6), round(right_value, 6)]) AS value FROM trees""",
+    "importance_parts": w(FLAGS, stumps(), "parts AS (SELECT flag AS feature, sum(gain) AS total_gain, sum(hl + hr) AS total_cover, count(*) AS splits FROM trees GROUP BY flag)") + """
+        SELECT feature, round(total_gain, 6) AS total_gain, round(total_cover, 6) AS total_cover, splits, round(total_gain / sum(total_gain) OVER (), 6) AS gain,
+               round(total_cover / sum(total_cover) OVER (), 6) AS cover, round(splits / sum(splits) OVER (), 6) AS frequency FROM parts""",
     "cv_rounds": w(FLAGS, LEFT_OUT, boosted("model", "train", "k, "), f"rated AS (SELECT f.label, m.k, m.round, m.score, CASE WHEN f.fold = m.k THEN 'test' ELSE 'train' END AS part FROM folds f JOIN model m USING ({CELL}))",
                    area("rated", "k, round, part"), """rounds AS (
       SELECT round, avg(c) FILTER (part = 'train') AS train_mean, stddev_samp(c) FILTER (part = 'train') AS train_sd,
              avg(c) FILTER (part = 'test') AS test_mean, stddev_samp(c) FILTER (part = 'test') AS test_sd FROM area GROUP BY round)""") + """
         SELECT round, round(train_mean, 9) AS train_mean, round(train_sd, 9) AS train_sd, round(test_mean, 9) AS test_mean, round(test_sd, 9) AS test_sd,
                round = (SELECT round FROM rounds ORDER BY round(test_mean, 12) DESC, round LIMIT 1) AS chosen FROM rounds""",
+    "cv_second_order": w(FLAGS, LEFT_OUT, newton("model", "train", "k, "), f"rated AS (SELECT f.label, m.k, m.round, m.score, CASE WHEN f.fold = m.k THEN 'test' ELSE 'train' END AS part FROM folds f JOIN model m USING ({CELL}))",
+                   area("rated", "k, round, part"), """rounds AS (
+      SELECT round, avg(c) FILTER (part = 'train') AS train_mean, stddev_samp(c) FILTER (part = 'train') AS train_sd,
+             avg(c) FILTER (part = 'test') AS test_mean, stddev_samp(c) FILTER (part = 'test') AS test_sd FROM area GROUP BY round)""") + """
+        SELECT round, round(train_mean, 9) AS train_mean, round(train_sd, 9) AS train_sd, round(test_mean, 9) AS test_mean, round(test_sd, 9) AS test_sd,
+               round = (SELECT round FROM rounds ORDER BY round(test_mean, 12) DESC, round LIMIT 1) AS chosen FROM rounds""",
+    "grid_second_order": w(FLAGS, LEFT_OUT, NEWTON_GRID) + "SELECT * FROM settings",
     "cv_out_of_fold": w(FLAGS, LEFT_OUT, boosted("model", "train", "k, ")) + f"""
         SELECT f.encounter_id, f.fold, f.label::DOUBLE AS label, round(m.score, 9) AS score FROM folds f JOIN model m USING ({CELL}) WHERE m.k = f.fold AND m.round = 3""",
     "cv_grid": w(FLAGS, LEFT_OUT, GRID) + "SELECT * FROM settings",
