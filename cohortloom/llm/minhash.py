@@ -6,30 +6,31 @@ agree in all bins of a band meet in a bucket. Documents of equal sets are merged
 
 Within a bucket the documents are not paired: the one that meets most others over all its buckets is the centre, and each
 other one is compared with it, on the full sets. Among copies of one text that is a copy with few edits, the one most of the
-others are linked with. What is not linked with its centre meets again around a new centre, `rounds` times. Then whatever
-documents of a bucket are not yet in one group are compared with each other, until none are left that were not. So a pair is
-missed only if it shares no bucket: with 48 bands of 5 rows a pair at the threshold of 0.75 shares 11 on average, and none
-with a chance of 2 in a million.
+others are linked with. What is not linked with its centre meets again around a new centre, `rounds` times. Then the documents
+of buckets that still hold several groups are joined across groups by their rarest shingles, which finds every link between
+them. So a pair is missed only if it shares no bucket: with 48 bands of 5 rows a pair at the threshold of 0.75 shares 11 on
+average, and none with a chance of 2 in a million.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortloom.llm.common import cut, mixed, texts
 from cohortloom.llm.components import components
 
 BANDS, ROWS, SHINGLE = 48, 5, 5
-#: Of the ids that are compared in a pass, one in STEP is in the pass before; so many passes at most.
-STEP, TIERS = 8, 12
+#: Sets whose sizes differ by less than this factor are in one block.
+BLOCK = 1.05
 
 
 def shingles(text: str, size: int = SHINGLE) -> np.ndarray:
@@ -126,51 +127,78 @@ class _Links:
         if self.tried is not None:
             pairs = pairs.join(self.tried, ["a", "b"], "left_anti")
         pairs = self.written(pairs, "pairs")
-        needed = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+        self.read(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
+        if self.grams is None:
+            return
+        found = self.written(confirmed(pairs, self.grams, self.percent), "confirmed")
+        self.found = found if self.found is None else self.found.union(found)
+        self.tried = pairs if self.tried is None else self.tried.union(pairs)
+
+    def read(self, needed: DataFrame) -> None:
+        """The full sets of these ids, if they have not been read yet."""
         if self.grams is not None:
             needed = needed.join(self.grams.select("id"), "id", "left_anti")
         needed = self.written(needed, "needed")
         if needed.take(1):
             more = self.written(shingle_sets(self.docs.join(needed, "id", "left_semi"), self.size), "grams")
             self.grams = more if self.grams is None else self.grams.union(more)
-        if self.grams is None:
-            return
-        found = self.written(confirmed(pairs, self.grams, self.percent), "confirmed")
-        self.found = found if self.found is None else self.found.union(found)
-        self.tried = pairs if self.tried is None else self.tried.union(pairs)
 
 
-def _rest(members: DataFrame, links: _Links, written) -> None:
-    """Compare whatever members of a bucket are not yet in one group, until no bucket holds two of different groups untried.
+def _reach(n: Column, other: Column, percent: int) -> Column:
+    """Shingles that sets of these sizes have in common at least, if they are linked."""
+    both = F.ceil((n + other) * percent / (100 + percent) - 1e-6)
+    return F.greatest(both, F.ceil(n * percent / 100 - 1e-6), F.ceil(other * percent / 100 - 1e-6))
+
 
-    Each id has a tier, of which one id in STEP reaches the next; a pass compares the ids of the tiers from `level` on with the
-    members of other groups in their buckets, and then the groups are made anew. The level is the lowest one that costs a few
-    comparisons per member, so crowds are merged by few ids before the others are looked at; the last pass takes all that is left.
+def _rest(members: DataFrame, links: _Links, written, percent: int) -> None:
+    """All links between documents of different groups that share a bucket (and whatever others are found on the way), exactly.
+
+    Such a pair can only have shingles in common that documents of two groups hold (`bridges`). A document with too few of
+    them is linked with no other group and goes; that may take bridges from others, so it is looked at again. What is left
+    orders its shingles, those that are no bridges first, then the rarest, and stands under those of its first shingles of
+    which a linked pair must share one: the more alike the sizes of the two, the fewer, so sizes are cut into blocks and each
+    pair of blocks has its own. Members of a family of copies agree on shingles that come late in this order, so their pairs
+    are not made; those that are made could still be linked by the places of the shingles they share.
     """
-    tier = sum((F.pmod(F.xxhash64("id", F.lit(11)), F.lit(STEP**k)) == 0).cast("int") for k in range(1, TIERS))
-    rest, above = members.withColumn("tier", tier), TIERS
-    while above > 0:
-        named = rest.withColumn("label", F.col("id"))
-        if links.found is not None:
-            groups = components(links.found, written)
-            named = rest.join(groups, rest["id"] == groups["node"], "left").select(*rest.columns, F.coalesce("component", "id").alias("label"))
-        named = written(named, "named")
-        each = named.groupBy("bucket", "label").agg(F.count("*").alias("n"))
-        main = F.max_by("label", F.struct("n", "label")).alias("main")
-        mixed_up = written(each.groupBy("bucket").agg(main, F.sum("n").alias("m"), F.max("n").alias("most")).filter("m > most"), "mixed")
-        work, rows = mixed_up.agg(F.sum(F.col("m").cast("double") * (F.col("m") - F.col("most"))), F.sum("m")).first()
-        if not work:
-            return
-        level = next((k for k in range(above) if work <= STEP * rows * STEP**k), above - 1)
-        now = written(named.join(mixed_up.select("bucket", "main"), "bucket"), "mixed-members").filter(F.col("tier") < above)
-        # one side leaves out the bucket's largest group, so that its members are not paired with each other
-        x = now.filter("label != main").select("bucket", F.col("id").alias("a"), F.col("n_shingles").alias("a_size"), F.col("tier").alias("a_tier"), F.col("label").alias("a_label"))
-        y = now.select("bucket", F.col("id").alias("b"), F.col("n_shingles").alias("b_size"), F.col("tier").alias("b_tier"), F.col("label").alias("b_label"))
-        pairs = x.filter(F.col("a_tier") >= level).join(y, "bucket")
-        if level:
-            pairs = pairs.union(x.filter(F.col("a_tier") < level).join(y.filter(F.col("b_tier") >= level), "bucket"))
-        links.confirm(pairs.filter("a_label != b_label").select("a", "a_size", "b", "b_size"))
-        rest, above = now.select("bucket", "id", "n_shingles", "tier"), level
+    groups = components(links.found, written) if links.found is not None else None
+    named = members.withColumn("label", F.col("id"))
+    if groups is not None:
+        named = members.join(groups, members["id"] == groups["node"], "left").select(*members.columns, F.coalesce("component", "id").alias("label"))
+    named = written(named, "named")
+    mixed_up = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("bucket")
+    left = written(named.join(mixed_up, "bucket", "left_semi").select("id", "n_shingles", "label").distinct(), "mixed")
+    if not left.take(1):
+        return
+    links.read(left.select("id"))
+    held = left.join(links.grams, "id").select("id", "label", F.col("n_shingles").alias("n"), F.explode("grams").alias("gram"))
+    before = None
+    while True:
+        bridges = held.groupBy("gram").agg(F.count("*").alias("df"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("gram", "df")
+        held = written(held.select("id", "label", "n", "gram").join(bridges, "gram"), "bridges")
+        enough = held.groupBy("id").agg(F.count("*").alias("b"), F.first("n").alias("m")).filter(F.col("b") * 100 >= F.col("m") * percent).select("id", "b")
+        held = held.join(enough, "id")
+        now = enough.count()
+        if before is not None and now * 10 > before * 9:
+            break
+        before = now
+    if not now:
+        return
+    order = Window.partitionBy("id").orderBy("df", "gram")
+    placed = held.withColumn("place", F.col("n") - F.col("b") + F.row_number().over(order) - 1)
+    block = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(BLOCK)) + 1e-9).cast("int")
+    wide = math.ceil(math.log(100 / percent) / math.log(BLOCK)) + 1
+    placed = placed.filter(F.col("n") - F.col("place") >= F.ceil(F.col("n") * percent / 100 - 1e-6)).withColumn("own", block)
+    placed = placed.withColumn("other", F.explode(F.sequence(F.col("own") - wide, F.col("own") + wide)))
+    least = F.floor(F.pow(F.lit(BLOCK), F.col("other"))) - 1  # no set of that block is smaller
+    most = F.ceil(F.pow(F.lit(BLOCK), F.col("other") + 1)) + 1
+    fits = (least * percent <= F.col("n") * 100) & (most * 100 >= F.col("n") * percent)
+    stand = placed.filter(fits & (F.col("n") - F.col("place") >= _reach(F.col("n"), F.greatest(least, F.lit(1)), percent)))
+    stand = written(stand.select("gram", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "id", "label", "n", "place"), "prefixes")
+    a = stand.filter("own = x").select("gram", "x", "y", F.col("id").alias("a"), F.col("label").alias("a_label"), F.col("n").alias("a_size"), F.col("place").alias("a_place"))
+    b = stand.filter("own = y").select("gram", "x", "y", F.col("id").alias("b"), F.col("label").alias("b_label"), F.col("n").alias("b_size"), F.col("place").alias("b_place"))
+    need = _reach(F.col("a_size"), F.col("b_size"), percent)
+    possible = (F.col("a_label") != F.col("b_label")) & ((F.col("x") < F.col("y")) | (F.col("a") < F.col("b"))) & (F.col("a_size") - F.col("a_place") >= need) & (F.col("b_size") - F.col("b_place") >= need)
+    links.confirm(a.join(b, ["gram", "x", "y"]).filter(possible).select("a", "a_size", "b", "b_size"))
 
 
 def near_duplicates(
@@ -210,7 +238,7 @@ def near_duplicates(
             break
         near = links.found.union(links.found.select(F.col("b").alias("a"), F.col("a").alias("b"))).select("a", F.col("b").alias("id"))
         star = star.join(near, ["a", "id"], "left_anti").select("bucket", "id", "n_shingles", "meets")
-    _rest(members, links, written)
+    _rest(members, links, written, percent)
     linked = links.found
 
     ids = sketch.select("id", *group).join(heads, group, "left").select("id", "n_shingles", F.coalesce("head", "id").alias("head"))
