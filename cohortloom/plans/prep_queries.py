@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.numeric import fill_not_measured
 from ..functions.text import null_tokens
+from ..operators.guard import Limits, observed_write
+from ..operators.levels import LevelTable
 from ..operators.prep import (
     binary_label, bucket_new_levels, check_columns, check_missing, fit_common_levels, fit_levels, fit_modes, impute_modes,
     modes, one_hot as add_indicators, ordered_like, pool_rare, schema_report,
@@ -96,6 +98,24 @@ def schema_guard(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.max("o_orderkey").alias("last_key"), F.round(F.max("o_totalprice"), 2).alias("top_price"))
 
 
+@query
+def sparse_matrix(spark: SparkSession, sf: str) -> DataFrame:
+    """Entries of a design matrix with a level per order, more than would be brought to the driver, and a hot category."""
+    rows = table(spark, sf, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("row_id"), "l_quantity", F.col("l_orderkey").cast("string").alias("order_level"), "l_returnflag", "l_linenumber")
+    train = rows.filter("l_linenumber <= 3 and l_returnflag <> 'A'")
+    found = LevelTable(train, ["l_quantity"], ["order_level", "l_returnflag"], hot_rows=1_000).matrix(rows, ["row_id"])
+    return found.select("row_id", "size", F.explode(F.arrays_zip("slots", "values")).alias("e")).select("row_id", "size", "e.slots", "e.values").withColumnsRenamed({"slots": "slot", "values": "value"})
+
+
+@query
+def observed_load(spark: SparkSession, sf: str) -> DataFrame:
+    """Figures of orders joined with their customers' segments, gathered while the joined rows are written."""
+    orders = table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey"), F.nullif(F.col("o_orderstatus"), F.lit("P")).alias("status"), "o_orderdate")
+    segments = table(spark, sf, "customer").select("c_custkey", "c_mktsegment").filter("c_custkey % 3 > 0")
+    limits = Limits(least_rows=1, most_missing={"status": 0.5}, checks={"key": F.col("o_orderkey") >= 0})
+    return observed_write(orders, limits, columns=["c_mktsegment"], ranges=["o_orderkey"], join=(segments, ["c_custkey"])).table()
+
+
 @query
 def schema_compare(spark: SparkSession, sf: str) -> DataFrame:
     """Columns of two tables that should be alike: where they are, and whether type and place agree."""

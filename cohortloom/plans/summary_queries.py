@@ -8,6 +8,7 @@ from ..functions.numeric import NOT_MEASURED, POUNDS_PER_KG, left_closed_bin, me
 from ..functions.text import null_tokens
 from ..functions.time import age_years
 from ..operators.codes import code_pivot, with_flags
+from ..operators.profile import numeric_profile as build_numeric_profile
 from ..operators.summary import any_missing, frequencies as build_frequencies, group_totals, load_report as build_load_report, most_common, profile as build_profile, rate_by
 from .cohort_queries import CODES, birth_day, diagnoses
 from .registry import query
@@ -84,3 +85,22 @@ def distinct_counts(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def load_report(spark: SparkSession, sf: str) -> DataFrame:
     return build_load_report({n: table(spark, sf, n) for n in ("orders", "lineitem", "customer", "events")})
+
+
+def value_profile(spark: SparkSession, sf: str, **more) -> DataFrame:
+    lines = table(spark, sf, "lineitem").select("l_quantity", "l_extendedprice", F.nullif(F.col("l_tax"), F.lit(0.0)).alias("l_tax"))
+    found = build_numeric_profile(lines, ["l_quantity", "l_extendedprice", "l_tax"], **more)
+    ends = [F.col(name)[k].alias(f"{name}{k + 1}") for name in ("lowest", "highest") for k in range(5)]
+    rounded = [F.round(c, 6).alias(c) for c in found.columns if c in ("info", "mean", "gmd") or c.startswith("q")]
+    return found.select("column", "n", "missing", "distinct", *rounded, *ends)
+
+
+@query
+def numeric_profile(spark: SparkSession, sf: str) -> DataFrame:
+    return value_profile(spark, sf)
+
+
+@query
+def numeric_profile_segmented(spark: SparkSession, sf: str) -> DataFrame:
+    """The same rows with the running counts made in segments of the value range."""
+    return value_profile(spark, sf, segment_rows=1_000)

@@ -10,6 +10,7 @@ from ..operators.cohort import drop_matching
 from ..operators.history import history_features as build_history, visits_in_period
 from ..operators.lookup import add_columns
 from ..operators.panel import one_row_per_entity, snapshot_panel as build_panel, union_panels
+from ..operators.timeline import band_pairs as build_pairs, states_at
 from ..operators.pointintime import band_join, first_state, match_audit as audit, near_any_anchor, state_at, ward_flags
 from .cohort_queries import CODES, cohort, diagnoses
 from .registry import query
@@ -128,6 +129,33 @@ def near_any_hot(spark: SparkSession, sf: str) -> DataFrame:
     return near_any(spark, sf, hot_rows=1)
 
 
+def hourly_states(spark: SparkSession, sf: str, **more) -> DataFrame:
+    """For each visit and each of the 24 hours after it began, the visit of the same patient that was open then."""
+    v = visits(spark, sf)
+    hours = v.select("patient_id", F.col("encounter_id").alias("asked_id"), "admit_ts", F.explode(F.sequence(F.lit(0), F.lit(23))).alias("hour"))
+    probes = hours.select("patient_id", "asked_id", "hour", (F.col("admit_ts") + F.make_dt_interval(hours=F.col("hour"))).alias("probe_ts"))
+    return states_at(probes, v, ["patient_id"], at="probe_ts", start="admit_ts", end="discharge_ts", tie="encounter_id", **more).drop("probe_ts")
+
+
+@query
+def state_at_every_hour(spark: SparkSession, sf: str) -> DataFrame:
+    return hourly_states(spark, sf)
+
+
+@query
+def state_at_every_hour_segmented(spark: SparkSession, sf: str) -> DataFrame:
+    """The same rows with every patient's timeline cut into segments."""
+    return hourly_states(spark, sf, hot_rows=100)
+
+
+@query
+def band_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Events and all of the many anchors of their user within a day."""
+    anchors = readings(spark, sf).filter(F.col("value") > 200).select("user_id", F.col("event_id").alias("anchor_id"), F.col("ts").alias("anchor_ts"))
+    found = build_pairs(readings(spark, sf), anchors, ["user_id"], ts="ts", anchor="anchor_ts", tie="event_id")
+    return found.select("user_id", "event_id", "anchor_id")
+
+
 MEASURES = {
     "reading": lambda: F.col("value"),
     "click": lambda: F.when(F.col("event_type") == "click", F.col("value")),

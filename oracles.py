@@ -257,6 +257,24 @@ RATES = ", ".join(f"round({c}, 9) AS {c}" for c in ("rpp", "sens", "spec", "ppv"
 CURVE_ROWS = f"SELECT cutoff, pos, neg, next_pos, tp, fp, fn, tn, {RATES} FROM curve"
 HISTORY_COLUMNS = "encounter_id, n_past_year, days_since_ed, days_since_ip, days_since_icu, any_prev_promo, last_ip_stay"
 
+HOURLY = """hourly AS (
+  SELECT p.patient_id, p.asked_id, p.hour, any_value(s.admit_ts) AS admit_ts, any_value(s.discharge_ts) AS discharge_ts, any_value(s.encounter_id) AS encounter_id
+  FROM (SELECT patient_id, encounter_id AS asked_id, h::INTEGER AS hour, admit_ts + to_hours(h::INTEGER) AS t FROM (SELECT *, unnest(range(24)) AS h FROM visits)) p
+  LEFT JOIN (SELECT v.*, x.asked_id, x.hour FROM (SELECT patient_id, encounter_id AS asked_id, h::INTEGER AS hour, admit_ts + to_hours(h::INTEGER) AS t FROM (SELECT *, unnest(range(24)) AS h FROM visits)) x
+             JOIN visits v ON v.patient_id = x.patient_id AND v.admit_ts < x.t AND v.discharge_ts > x.t
+             QUALIFY row_number() OVER (PARTITION BY x.asked_id, x.hour ORDER BY v.admit_ts, v.discharge_ts DESC, v.encounter_id) = 1) s
+  ON s.asked_id = p.asked_id AND s.hour = p.hour GROUP BY ALL)"""
+_POINTS = ", ".join(f"round(quantile_cont(value, {q}), 6) AS q{round(100 * q):02d}" for q in (0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95))
+_ENDS = ", ".join(f"(list_sort(list_distinct(list(value))))[{k + 1}] AS lowest{k + 1}, (list_sort(list_distinct(list(value))))[-{5 - k}] AS highest{k + 1}" for k in range(5))
+PROFILE = f"""
+  WITH long AS (SELECT unnest(['l_quantity', 'l_extendedprice', 'l_tax']) AS "column", unnest([l_quantity, l_extendedprice, nullif(l_tax, 0)]) AS value FROM lineitem),
+  placed AS (SELECT "column", value, row_number() OVER (PARTITION BY "column" ORDER BY value) AS i, count(*) OVER (PARTITION BY "column") AS n FROM long WHERE value IS NOT NULL),
+  ties AS (SELECT "column", sum(power(c, 3)) AS cubes FROM (SELECT "column", value, count(*)::DOUBLE AS c FROM placed GROUP BY ALL) GROUP BY "column"),
+  gaps AS (SELECT "column", (SELECT count(*) FROM long l WHERE l."column" = p."column" AND l.value IS NULL) AS missing FROM (SELECT DISTINCT "column" FROM long) p)
+  SELECT "column", any_value(n) AS n, any_value(missing) AS missing, count(DISTINCT value) AS "distinct", round((1 - any_value(cubes) / power(any_value(n), 3)) / (1 - 1 / power(any_value(n), 2)), 6) AS info,
+         round(avg(value), 6) AS mean, round(2 * sum(value * (2 * i - n - 1)) / (any_value(n)::DOUBLE * (any_value(n) - 1)), 6) AS gmd, {_POINTS}, {_ENDS}
+  FROM placed JOIN ties USING ("column") JOIN gaps USING ("column") GROUP BY "column" """
+
 SQL = {
     # sources
     "delimited_scan": "SELECT o_totalprice AS amount, o_orderkey AS encounterid, nullif(o_orderstatus, 'P') AS status FROM orders",
@@ -367,6 +385,28 @@ SQL = {
         SELECT e.user_id, e.event_id, anchor_id FROM events e JOIN (
           SELECT user_id, min(ts) AS anchor_ts, first(event_id ORDER BY ts, event_id) AS anchor_id FROM events WHERE value > 200 GROUP BY user_id) a
         ON e.user_id = a.user_id AND e.ts < anchor_ts + INTERVAL 24 HOURS AND e.ts > anchor_ts - INTERVAL 24 HOURS""",
+    "state_at_every_hour": w(VISITS, HOURLY) + "SELECT * FROM hourly",
+    "state_at_every_hour_segmented": w(VISITS, HOURLY) + "SELECT * FROM hourly",
+    "band_pairs": """
+        SELECT e.user_id, e.event_id, a.event_id AS anchor_id FROM events e JOIN events a ON e.user_id = a.user_id
+        WHERE a.value > 200 AND e.ts < a.ts + INTERVAL 24 HOURS AND e.ts > a.ts - INTERVAL 24 HOURS""",
+    "sparse_matrix": """
+        WITH rows AS (SELECT l_orderkey * 8 + l_linenumber AS row_id, l_quantity, l_orderkey::VARCHAR AS a, l_returnflag AS b, l_linenumber FROM lineitem),
+        train AS (SELECT * FROM rows WHERE l_linenumber <= 3 AND b <> 'A'),
+        of_a AS (SELECT a, row_number() OVER (ORDER BY a) AS slot FROM (SELECT DISTINCT a FROM train)),
+        of_b AS (SELECT b, (SELECT count(*) FROM of_a) + 1 + row_number() OVER (ORDER BY b) AS slot FROM (SELECT DISTINCT b FROM train)),
+        wide AS (SELECT (SELECT count(*) FROM of_a) + 1 AS new_a, (SELECT count(*) FROM of_a) + 1 + (SELECT count(*) FROM of_b) + 1 AS new_b)
+        SELECT row_id, new_b + 1 AS size, e.slot, e.value FROM (
+          SELECT row_id, new_b, unnest([{slot: 0::BIGINT, value: l_quantity::DOUBLE}, {slot: coalesce(of_a.slot, new_a), value: 1::DOUBLE}, {slot: coalesce(of_b.slot, new_b), value: 1::DOUBLE}]) AS e
+          FROM rows CROSS JOIN wide LEFT JOIN of_a USING (a) LEFT JOIN of_b USING (b)) WHERE e.value <> 0""",
+    "observed_load": """
+        WITH joined AS (SELECT o_orderkey, nullif(o_orderstatus, 'P') AS status, c_mktsegment FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 3 > 0) ON o_custkey = c_custkey),
+        one AS (SELECT count(*) AS n, count(*) FILTER (c_mktsegment IS NULL) AS no_segment, count(*) FILTER (status IS NULL) AS no_status, min(o_orderkey) AS low, max(o_orderkey) AS high,
+                       count(*) FILTER (NOT o_orderkey >= 0) AS bad, (SELECT count(*) FROM orders) AS before FROM joined)
+        SELECT unnest(['rows', 'missing c_mktsegment', 'missing status', 'least o_orderkey', 'greatest o_orderkey', 'broken key', 'rows_before_join', 'fan_out']) AS figure,
+               unnest([n, no_segment, no_status, low, high, bad, before, n - before])::VARCHAR AS value FROM one""",
+    "numeric_profile": PROFILE,
+    "numeric_profile_segmented": PROFILE,
     "near_any_anchor_24h": """
         SELECT DISTINCT e.user_id, e.event_id FROM events e JOIN events a ON e.user_id = a.user_id
         WHERE a.value > 200 AND e.ts < a.ts + INTERVAL 24 HOURS AND e.ts > a.ts - INTERVAL 24 HOURS""",
