@@ -138,9 +138,10 @@ def best_splits(sums: DataFrame, penalty: float, min_child_weight: float) -> Dat
     def strength(g: Column, h: Column) -> Column:
         return F.when(h + penalty > 0, g * g / (h + penalty)).otherwise(0.0)
 
-    gain = F.round(strength(left["g"], left["h"]) + strength(right["g"], right["h"]) - strength(F.col("tg"), F.col("th")), 9)
+    exact = strength(left["g"], left["h"]) + strength(right["g"], right["h"]) - strength(F.col("tg"), F.col("th"))
+    gain = F.round(exact, 9)  # sums in another order must not change the choice
     allowed = known & (left["n"] > 0) & (right["n"] > 0) & (left["h"] >= min_child_weight) & (right["h"] >= min_child_weight) & (gain > LEAST_GAIN)
-    choice = F.struct((-gain).alias("loss"), "feature", "bin", "missing_left", left["g"].alias("left_g"), left["h"].alias("left_h"))
+    choice = F.struct((-gain).alias("loss"), "feature", "bin", "missing_left", left["g"].alias("left_g"), left["h"].alias("left_h"), exact.alias("gain"))
     return sides.groupBy("node").agg(F.max_by("tg", F.col("feature")).alias("g"), F.max_by("th", F.col("feature")).alias("h"), F.min(F.when(allowed, choice)).alias("best"))
 
 
@@ -187,7 +188,7 @@ class Fit:
                 node = tree[r["node"]] = Node(r["g"], r["h"])
                 best = r["best"]
                 if best is not None:
-                    node.feature, node.bin, node.missing_left, node.gain = best["feature"], best["bin"], best["missing_left"], -best["loss"]
+                    node.feature, node.bin, node.missing_left, node.gain = best["feature"], best["bin"], best["missing_left"], best["gain"]
                     tree[2 * r["node"] + 1] = Node(best["left_g"], best["left_h"])
                     tree[2 * r["node"] + 2] = Node(node.g - best["left_g"], node.h - best["left_h"])
         if not tree:
