@@ -1,9 +1,9 @@
 """Alignment of two tokenizers' tokens over one text, and how often their ids are linked in a corpus.
 
 Both tokenizers' tokens are byte strings that make up the same text. Their cumulative ends go into two dictionaries, end to
-index; the ends that both have, sorted, cut both lists into groups, the smallest pieces of text that both tokenizers end. In a
-group of one token on either side every pair overlaps; in others two pointers walk the ends. A link is a pair of tokens whose
-byte ranges overlap.
+index; the ends that both have, sorted, cut both lists into groups, the smallest pieces of text that both tokenizers end. A link
+is a pair of tokens whose byte ranges overlap: in a group of one token on either side every pair, in others those that two
+pointers meet on the ends.
 
 Corpus counts are a Spark aggregation over the distinct id pairs of each text. Scoring joins them back: pairs in more than one
 in `most` of all rows, which are fewer than `most` by count, are sent to the tasks; the others are joined by a shuffle, in
@@ -13,9 +13,9 @@ which no pair can be hot.
 from __future__ import annotations
 
 import functools
+import json
 import os
 from collections.abc import Iterator
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -24,29 +24,53 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from cohortloom.llm import bpe
 from cohortloom.llm.common import cut
 
 
-class ByteLevel:
-    """A byte-level BPE file; special strings in a text are ordinary text. The text gets a space in front."""
+#: The parts of a file whose ids byte-pair merging by rank gives too.
+PLAIN = {"normalizer": None, "post_processor": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}}
+
+
+class Spelling:
+    """A tokenizer whose tokens are byte strings: `pieces`, None where a token is no spelling of bytes."""
+
+    pieces: list[bytes | None]
+
+    def spells(self, ids: list[int], data: bytes) -> bool:
+        """Whether the tokens' bytes make up `data`."""
+        try:
+            return b"".join(map(self.pieces.__getitem__, ids)) == data
+        except (TypeError, IndexError):  # a control token, or one that the vocabulary lacks
+            return False
+
+
+class ByteLevel(Spelling):
+    """A byte-level BPE file; special strings in a text are ordinary text. The text gets a space in front.
+
+    Where the file says that its ids are those of merging by rank, and the text's characters are the same in every Unicode
+    version, merging by rank gives them, without the offsets that the file's library keeps.
+    """
 
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        visible = [*range(33, 127), *range(161, 173), *range(174, 256)]  # fixed values: bytes that are written as themselves
-        byte_of = {chr(b): b for b in visible}
-        byte_of |= {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(visible))}
-        vocabulary = self.library.get_vocab(with_added_tokens=False)
-        self.pieces: list[bytes | None] = [None] * (max(vocabulary.values(), default=-1) + 1)
-        for name, token in vocabulary.items():
-            if all(c in byte_of for c in name):
-                self.pieces[token] = bytes(byte_of[c] for c in name)
+        parts = json.loads(self.library.to_str())
+        rank = bpe.encoder(path).by_rank if all(parts[k] == v for k, v in PLAIN.items()) else None
+        self.by_rank = rank.encode_ordinary if rank else None
+        spelt = bpe.encoder(path).tokens
+        self.pieces: list[bytes | None] = [None] * (max(spelt.values(), default=-1) + 1)
+        for piece, token in spelt.items():
+            self.pieces[token] = piece
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.library.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+        spaced = [" " + t for t in texts]
+        slow = [k for k, t in enumerate(spaced) if not self.by_rank or not bpe.STABLE.match(t)]
+        ids = {k: e.ids for k, e in zip(slow, self.library.encode_batch_fast([spaced[k] for k in slow], add_special_tokens=False), strict=True)}
+        return [ids[k] if k in ids else self.by_rank(t) for k, t in enumerate(spaced)]
 
 
-class Pieces:
+class Pieces(Spelling):
     """A sentencepiece model with byte fallback, which itself puts a space in front."""
 
     def __init__(self, path: str):
@@ -72,61 +96,77 @@ def loaded(kind: type, path: str):
     return kind(path)
 
 
-def joined(pieces: list[bytes | None], ids: list[int]) -> tuple[bytes, list[int]]:
-    """The tokens' bytes and their cumulative ends; a token without bytes of its own makes the bytes differ from any text."""
-    found = [pieces[k] if k < len(pieces) else None for k in ids]
-    if None in found:
-        return b"", []
-    return b"".join(found), list(accumulate(map(len, found)))
-
-
-def groups(ends_a: list[int], ends_b: list[int]) -> list[tuple[int, int, int, int]]:
-    """(from, to) in either list, of each smallest piece that both end."""
+def groups(ends_a: list[int], ends_b: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Of each smallest piece that both end, the number of tokens of A, and of B, up to its end."""
     at_a, at_b = dict(zip(ends_a, range(1, len(ends_a) + 1))), dict(zip(ends_b, range(1, len(ends_b) + 1)))
-    found, a, b = [], 0, 0
-    for end in sorted(at_a.keys() & at_b.keys()):
-        i, j = at_a[end], at_b[end]
-        found.append((a, i, b, j))
-        a, b = i, j
-    return found
+    shared = sorted(at_a.keys() & at_b.keys())
+    return np.fromiter(map(at_a.__getitem__, shared), np.int64, len(shared)), np.fromiter(map(at_b.__getitem__, shared), np.int64, len(shared))
 
 
 def overlaps(ends_a: list[int], ends_b: list[int], a: int, i: int, b: int, j: int) -> Iterator[tuple[int, int]]:
-    """The overlapping pairs of one group."""
+    """The overlapping pairs of one group: tokens a to i and b to j."""
     while a < i and b < j:
         yield a, b
         end_a, end_b = ends_a[a], ends_b[b]
         a, b = a + (end_a <= end_b), b + (end_b <= end_a)
 
 
+def links(ends_a: list[int], ends_b: list[int], to_a: np.ndarray, to_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places in A and in B of all overlapping pairs, group by group."""
+    from_a, from_b = np.concatenate([[0], to_a[:-1]]), np.concatenate([[0], to_b[:-1]])
+    n_a, n_b = to_a - from_a, to_b - from_b
+    one = (n_a == 1) | (n_b == 1)  # a single token overlaps all those of the other side
+    size = np.maximum(n_a, n_b)[one]
+    step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    places_a = np.repeat(from_a[one], size) + step * np.repeat(n_a[one] > 1, size)
+    places_b = np.repeat(from_b[one], size) + step * np.repeat(n_b[one] > 1, size)
+    some = np.flatnonzero(~one)
+    others = [p for k in some.tolist() for p in overlaps(ends_a, ends_b, int(from_a[k]), int(to_a[k]), int(from_b[k]), int(to_b[k]))]
+    more = np.array(others, np.int64).reshape(-1, 2)
+    return np.concatenate([places_a, more[:, 0]]), np.concatenate([places_b, more[:, 1]])
+
+
 BASE = 1 << 24
 NOTHING = 0, 0, 0, "", np.empty(0, np.int64)
 
 
-def aligned(text: str, pieces_a: list[bytes | None], pieces_b: list[bytes | None], ids_a: list[int], ids_b: list[int]) -> tuple[int, int, int, str, np.ndarray]:
-    """(tokens of A, of B, groups, the groups as text, a code a * BASE + b per link)."""
-    data = (" " + text).encode()
-    got_a, ends_a = joined(pieces_a, ids_a)
-    got_b, ends_b = joined(pieces_b, ids_b)
-    if got_a != data or got_b != data:
-        return NOTHING
-    said_a, said_b = list(map(str, ids_a)), list(map(str, ids_b))
-    said, links_a, links_b, found = [], [], [], groups(ends_a, ends_b)
-    for a, i, b, j in found:
-        if i - a == 1:
-            links_a += [ids_a[a]] * (j - b)
-            links_b += ids_b[b:j]
-            said.append(said_a[a] + "|" + ",".join(said_b[b:j]))
-            continue
-        said.append(",".join(said_a[a:i]) + "|" + ",".join(said_b[b:j]))
-        if j - b == 1:
-            links_a += ids_a[a:i]
-            links_b += [ids_b[b]] * (i - a)
-        else:
-            for x, y in overlaps(ends_a, ends_b, a, i, b, j):
-                links_a.append(ids_a[x])
-                links_b.append(ids_b[y])
-    return len(ids_a), len(ids_b), len(found), ";".join(said), np.array(links_a, np.int64) * BASE + np.array(links_b, np.int64)
+class Aligner:
+    def __init__(self, left: ByteLevel, right: Pieces):
+        self.left, self.right = left, right
+        # each id's decimal with the mark that follows it inside a group and at the end of its side
+        self.names = [f"{k}{mark}" for side, end in ((left, "|"), (right, ";")) for k in range(len(side.pieces)) for mark in (",", end)]
+        self.first_b = 2 * len(left.pieces)
+        self.sizes_a, self.sizes_b = (np.array([len(p or b"") for p in side.pieces], np.int64) for side in (left, right))
+
+    def one(self, text: str, ids_a: list[int], ids_b: list[int]) -> tuple[int, int, int, str, np.ndarray]:
+        """(tokens of A, of B, groups, the groups as text, a code a * BASE + b per link)."""
+        data = (" " + text).encode()
+        if not self.left.spells(ids_a, data) or not self.right.spells(ids_b, data):
+            return NOTHING
+        a, b = np.array(ids_a, np.int64), np.array(ids_b, np.int64)
+        ends_a, ends_b = self.sizes_a[a].cumsum().tolist(), self.sizes_b[b].cumsum().tolist()
+        to_a, to_b = groups(ends_a, ends_b)
+        at_a, at_b = links(ends_a, ends_b, to_a, to_b)
+        return len(a), len(b), len(to_a), self._text(a, b, to_a, to_b), a[at_a] * BASE + b[at_b]
+
+    def _text(self, a: np.ndarray, b: np.ndarray, to_a: np.ndarray, to_b: np.ndarray) -> str:
+        """In each group A's tokens and then B's: a token stands after all those of the other side's groups before its own."""
+        sizes_a, sizes_b = np.diff(to_a, prepend=0), np.diff(to_b, prepend=0)
+        place_a = np.arange(len(a)) + np.repeat(to_b - sizes_b, sizes_a)
+        place_b = np.arange(len(b)) + np.repeat(to_a, sizes_b)
+        name_a, name_b = a * 2, b * 2
+        name_a[to_a - 1] += 1
+        name_b[to_b - 1] += 1
+        names = np.empty(len(a) + len(b), np.int64)
+        names[place_a], names[place_b] = name_a, name_b + self.first_b
+        return "".join(map(self.names.__getitem__, names.tolist()))[:-1]
+
+
+@functools.lru_cache(maxsize=2)
+def aligner(path_a: str, path_b: str) -> Aligner:
+    """One for each worker process and pair of files. A task has one core."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return Aligner(ByteLevel(path_a), Pieces(path_b))
 
 
 def alignments(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -140,16 +180,16 @@ def alignments(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id"
     names = ["id", "n_a", "n_b", "n_groups", "groups", "n_links", "codes", "times"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left, right = loaded(ByteLevel, path_a), loaded(Pieces, path_b)
+        pair = aligner(path_a, path_b)
         for batch in cut(batches, 64):
             all_texts = [t or "" for t in batch.column(1).to_pylist()]
             some = [t for t in all_texts if t]
-            ids = zip(left.encode(some), right.encode(some), strict=True)
+            ids = zip(pair.left.encode(some), pair.right.encode(some), strict=True)
             out: list[list] = [[] for _ in names[1:]]
             for text in all_texts:
-                n_a, n_b, n, said, links = aligned(text, left.pieces, right.pieces, *next(ids)) if text else NOTHING
-                codes, times = np.unique(links, return_counts=True)
-                for values, value in zip(out, (n_a, n_b, n, said, len(links), codes, times.astype(np.int32)), strict=True):
+                n_a, n_b, n, said, linked = pair.one(text, *next(ids)) if text else NOTHING
+                codes, times = np.unique(linked, return_counts=True)
+                for values, value in zip(out, (n_a, n_b, n, said, len(linked), codes, times.astype(np.int32)), strict=True):
                     values.append(value)
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, k) for v, k in zip(out, kinds, strict=True))], names)
