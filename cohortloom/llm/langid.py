@@ -115,8 +115,9 @@ def learn(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", order
 
     counted = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).dropna().mapInArrow(count, "lang string, gram long, n long")
     total = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    first = total.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram")) - 1).filter(F.col("rank") < length)
-    kept = first.select("lang", "gram", "rank").limit(length * (most_languages + 1)).collect()  # one more language than allowed shows
+    # a plain limit on the row number: each task hands on no more than `length` of a language
+    first = total.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).filter(F.col("place") <= length)
+    kept = first.select("lang", "gram", (F.col("place") - 1).alias("rank")).limit(length * (most_languages + 1)).collect()  # one more language than allowed shows
     languages = sorted({r.lang for r in kept})
     if len(languages) > most_languages:
         raise ValueError(f"more than {most_languages} languages")
