@@ -5,19 +5,21 @@ Both models are bigram models with the same smoothing, matched in everything but
 of words, and p(w | v) = (c(v, w) + strength * p(w)) / (c(v) + strength), p(w) = (c(w) + 1) / (N + V). The background's
 counts are scaled to the target's number of tokens, so that neither is smoothed more for having seen less.
 
-The vocabulary is the `size` most frequent words of the whole corpus, every other word one of 64 classes by its hash. Bigrams
-are counted in 2 ** `bits` cells chosen by a hash: the model has a fixed size that tasks can hold (asked for by parameters),
-and two bigrams in one cell share a count in both models alike. Counting covers every row: each task hands on what it has
-met, Spark adds it up.
+The vocabulary is every word of the corpus, and every pair of neighbours has a count of its own: both grow with the input,
+so no task and no driver holds them. Texts are cut into words once and stored in blocks of about `block_tokens` tokens, as
+numbers into the block's own word list. A block asks once for each word and pair it has, with its own counts; Spark brings
+what was asked for to shards by hash, where the counts of all blocks are added up, and brings the answers back to the blocks.
+So a pair that every document has is one number per block, not per document, and a shard's size does not depend on how
+frequent its pairs are. Words and pairs are known by 64-bit hashes.
 """
 
 from __future__ import annotations
 
-import functools
+import itertools
 import re
-from collections import Counter
+import uuid
+from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -25,159 +27,202 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortloom.llm.bpe import Memory
 from cohortloom.llm.common import cut, mixed, texts
 
 WORD = re.compile(r"\w+|[^\w\s]")
-OTHER = 64
+#: The mark before and after each document; no word is a line break.
+END = "\n"
+NUMBERS = {"tokens": np.int32, "words": np.uint64, "lengths": np.int64, "wanted": np.bool_, "keys": np.uint64, "n": np.int32, "n_wanted": np.int32, "all": np.int64, "all_wanted": np.int64}
 
 
-class Vocabulary:
-    def __init__(self, words: list[str]):
-        self.words = words
-        self.size = len(words) + OTHER
+def _hash(word: str) -> int:
+    return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
 
-    @functools.cached_property
-    def ids(self) -> Memory:
-        """Of the vocabulary's words their place; of others, remembered for a while, their class."""
-        known = {w: k + OTHER for k, w in enumerate(self.words)}
-        return Memory(lambda w: known[w] if w in known else xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) % OTHER, most=200_000)
 
-    def __getstate__(self) -> dict:
-        return {"words": self.words, "size": self.size}
+def _array(row: dict, name: str) -> np.ndarray:
+    return np.frombuffer(row[name], NUMBERS[name])
 
-    def of(self, text: str) -> np.ndarray:
-        """Ids of the text's tokens, and before and after them the end mark's, which is `size`."""
-        words = WORD.findall(text.lower())
-        ids = np.full(len(words) + 2, self.size, np.int64)
-        ids[1:-1] = np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words))
-        return ids
 
-
-def cells(ids: np.ndarray, bits: int) -> np.ndarray:
-    """The cell of each pair of neighbours."""
-    pair = (ids[:-1].astype(np.uint64) << np.uint64(32)) | ids[1:].astype(np.uint64)
-    return (mixed(pair) >> np.uint64(64 - bits)).astype(np.int64)
-
-
-@dataclass(frozen=True)
-class Model:
-    """Counts of cells and words of one text, scaled to the other model's tokens."""
-
-    pairs: np.ndarray
-    words: np.ndarray
-    scale: float
-    tokens: int
-
-    def loss(self, ids: np.ndarray, at: np.ndarray, strength: float) -> float:
-        """Nats of all tokens but the first mark."""
-        one = (self.words[ids[1:]] * self.scale + 1) / (self.tokens * self.scale + len(self.words))
-        p = (self.pairs[at] * self.scale + strength * one) / (self.words[ids[:-1]] * self.scale + strength)
-        return float(-np.log(p).sum())
-
-
-def vocabulary(docs: DataFrame, size: int, text_col: str = "text") -> Vocabulary:
-    """The most frequent words of all rows; equal counts by the word."""
+def blocks(rows: DataFrame, block_tokens: int) -> DataFrame:
+    """Rows (id, text, wanted) as blocks: block, ids, n_tokens (end marks too), and as bytes the documents' lengths and wanted
+    flags, the hashes of the block's words (the last is the end mark's) and the documents' tokens as places among them."""
+    id_type = rows.schema["id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter[str] = Counter()
-
-        def out() -> pa.RecordBatch:
-            words, counts = list(found.keys()), list(found.values())
-            found.clear()
-            return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(counts, pa.int64())], ["word", "n"])
-
+        places: defaultdict[str, int] = defaultdict(itertools.count().__next__)
+        found: list[np.ndarray] = []
+        ids: list = []
+        wanted: list[bool] = []
+
+        def out(kind: pa.DataType) -> pa.RecordBatch:
+            lengths = np.array([len(t) for t in found], np.int64)
+            tokens = np.concatenate(found) if found else np.empty(0, np.int32)
+            words = np.fromiter(map(_hash, [*places, END]), np.uint64, len(places) + 1)
+            columns = [[uuid.uuid4().int >> 65], [ids], [int(lengths.sum()) + len(ids)], [lengths.tobytes()], [np.array(wanted, np.bool_).tobytes()], [words.tobytes()], [tokens.tobytes()]]
+            kinds = [pa.int64(), pa.list_(kind), pa.int64(), *[pa.binary()] * 4]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["block", "ids", "n_tokens", "lengths", "wanted", "words", "tokens"])
+
+        size, kind = 0, None
         for batch in cut(batches):
-            for text in texts(batch.column(0)):
-                found.update(WORD.findall(text.lower()))
-            if len(found) > 500_000:
-                yield out()
-        yield out()
-
-    counted = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return Vocabulary([r.word for r in counted.orderBy(F.desc("n"), "word").limit(size).collect()])
-
-
-def counts(rows: DataFrame, words: Vocabulary, bits: int) -> dict[bool, tuple[np.ndarray, np.ndarray]]:
-    """Of all rows (False) and of the wanted ones (True): counts by cell and by word. `rows` has text and wanted."""
-    cell_count = 1 << bits
+            kind = batch.column(0).type
+            for one, text, mark in zip(batch.column(0).to_pylist(), texts(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+                some = WORD.findall(text.lower())
+                found.append(np.fromiter(map(places.__getitem__, some), np.int32, len(some)))
+                ids.append(one)
+                wanted.append(mark)
+                size += len(some) + 1
+                if size >= block_tokens:
+                    yield out(kind)
+                    places = defaultdict(itertools.count().__next__)
+                    found, ids, wanted, size = [], [], [], 0
+        if ids:
+            yield out(kind)
+
+    schema = f"block long, ids array<{id_type.simpleString()}>, n_tokens long, lengths binary, wanted binary, words binary, tokens binary"
+    return rows.select("id", "text", "wanted").mapInArrow(run, schema)
+
+
+class Block:
+    """A block's neighbours: of each token the word before it, its document and its pair, and the keys of all pairs and words."""
+
+    def __init__(self, row: dict):
+        lengths, words = _array(row, "lengths") + 1, _array(row, "words")
+        self.wanted = _array(row, "wanted")
+        self.end = len(words) - 1
+        self.docs = np.repeat(np.arange(len(lengths)), lengths)
+        self.word = np.full(len(self.docs), self.end, np.int64)
+        inside = np.ones(len(self.docs), bool)
+        inside[np.cumsum(lengths) - 1] = False
+        self.word[inside] = _array(row, "tokens")
+        self.before = np.concatenate([[self.end], self.word[:-1]])
+        codes, self.pair = np.unique(self.before * len(words) + self.word, return_inverse=True)
+        self.pairs = len(codes)
+        # pairs have even keys, words odd ones
+        two = mixed(words[codes // len(words)] ^ mixed(words[codes % len(words)] + np.uint64(0x9E3779B97F4A7C15))) & ~np.uint64(1)
+        keys = np.concatenate([two, mixed(words) | np.uint64(1)])
+        self.order = np.argsort(keys, kind="stable")
+        self.keys = keys[self.order]
+
+    def own(self) -> tuple[np.ndarray, np.ndarray]:
+        """By key: how often here, and how often in wanted documents."""
+        marked = self.wanted[self.docs]
+        both = []
+        for some in (slice(None), marked):
+            pairs, words = np.bincount(self.pair[some], minlength=self.pairs), np.bincount(self.word[some], minlength=self.end + 1)
+            both.append(np.concatenate([pairs, words])[self.order].astype(np.int32))
+        return both[0], both[1]
+
+    def within(self, cells: np.ndarray, asked: np.ndarray, width: int) -> np.ndarray:
+        """Of each token: how often its own document has `asked`, where its tokens have `cells`."""
+        have, counts = np.unique(self.docs * width + cells, return_counts=True)
+        want = self.docs * width + asked
+        at = np.minimum(np.searchsorted(have, want), len(have) - 1)
+        return np.where(have[at] == want, counts[at], 0)
+
+
+def _spans(keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shards that sorted keys fall in, and where each begins, and the end of the last. A shard is a range of keys."""
+    found, first = np.unique((keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32), return_index=True)
+    return found.astype(np.int64), np.append(first, len(keys))
+
+
+def asked(stored: DataFrame, shards: int) -> DataFrame:
+    """Per block and shard: the keys the block has there, in order, with its own counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, cell_count + words.size + 1), np.int64)
-        for batch in cut(batches):
-            places: dict[bool, list[np.ndarray]] = {True: [], False: []}
-            for text, wanted in zip(texts(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-                ids = words.of(text)
-                places[wanted] += [cells(ids, bits), cell_count + ids[1:]]
-            for wanted, some in places.items():
-                if some:
-                    np.add.at(total[0], both := np.concatenate(some), 1)
-                    if wanted:
-                        np.add.at(total[1], both, 1)
-        at = np.flatnonzero(total[0])
-        for k in range(0, len(at), 200_000):
-            some = at[k : k + 200_000]
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[0][some]), pa.array(total[1][some])], ["at", "n", "wanted"])
-
-    summed = rows.select("text", "wanted").mapInArrow(run, "at int, n long, wanted long").groupBy("at").agg(F.sum("n").alias("n"), F.sum("wanted").alias("wanted"))
-    table = np.zeros((2, cell_count + words.size + 1), np.int64)
-    for batch in summed.toArrow().to_batches():
-        at, n, wanted = (batch.column(k).to_numpy() for k in range(3))
-        table[0, at], table[1, at] = n, wanted
-    return {bool(k): (table[k, :cell_count], table[k, cell_count:]) for k in (0, 1)}
+        for batch in cut(batches, 1):
+            row = batch.to_pylist()[0]
+            block = Block(row)
+            own = block.own()
+            found, at = _spans(block.keys, shards)
+            for some in np.array_split(np.arange(len(found)), 1 + len(found) // 1000):
+                spans = [slice(at[k], at[k + 1]) for k in some]
+                columns = [pa.array(found[some]), pa.array([row["block"]] * len(some), pa.int64())]
+                columns += [pa.array([x[s].tobytes() for s in spans], pa.binary()) for x in (block.keys, *own)]
+                yield pa.RecordBatch.from_arrays(columns, ["shard", "block", "keys", "n", "n_wanted"])
+
+    narrow = stored.select("block", "lengths", "wanted", "words", "tokens")
+    return narrow.mapInArrow(run, "shard long, block long, keys binary, n binary, n_wanted binary")
+
+
+def _added(group: pa.Table) -> pa.Table:
+    """Of one shard: what each block asked for, summed over all blocks; the first row also has the number of distinct words."""
+    rows = group.to_pylist()
+    parts = [_array(r, "keys") for r in rows]
+    found, place = np.unique(np.concatenate(parts), return_inverse=True)
+    sums = [np.bincount(place, np.concatenate([_array(r, name) for r in rows]), len(found)).astype(np.int64) for name in ("n", "n_wanted")]
+    at = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+    columns = {"block": pa.array([r["block"] for r in rows], pa.int64()), "shard": pa.array([r["shard"] for r in rows], pa.int64())}
+    for name, total in zip(("all", "all_wanted"), sums, strict=True):
+        columns[name] = pa.array([total[place[at[k] : at[k + 1]]].tobytes() for k in range(len(rows))], pa.binary())
+    columns["n_words"] = pa.array([int((found & np.uint64(1)).sum()), *[0] * (len(rows) - 1)], pa.int64())
+    return pa.table(columns)
+
+
+def _losses(block: Block, every: np.ndarray, own: bool, scale: float, n_tokens: int, n_words: int, strength: float) -> np.ndarray:
+    """Per document nats of all its tokens by counts `every` (in the order of keys), less its own: those of all documents, or of the wanted."""
+    counts = np.empty(len(every), np.int64)
+    counts[block.order] = every
+    two, one = counts[: block.pairs], counts[block.pairs :]
+    less = np.ones(len(block.wanted), bool) if own else block.wanted
+    here = less[block.docs]
+    tokens = n_tokens - np.where(less, np.bincount(block.docs, minlength=len(less)), 0)
+    pair = two[block.pair] - here * block.within(block.pair, block.pair, block.pairs)
+    word = one[block.word] - here * block.within(block.word, block.word, block.end + 1)
+    context = one[block.before] - here * block.within(block.word, block.before, block.end + 1)
+    alone = (word * scale + 1) / (tokens[block.docs] * scale + n_words)
+    return np.bincount(block.docs, -np.log((pair * scale + strength * alone) / (context * scale + strength)), len(less))
 
 
 def score(
-    docs: DataFrame, wanted: DataFrame, written, size: int = 50_000, bits: int = 21, strength: float = 50.0, most_broadcast: int = 500_000, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, wanted: DataFrame, written, strength: float = 50.0, block_tokens: int = 1_000_000, shard_keys: int = 2_000_000, most_broadcast: int = 500_000, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """Per row: id, n_tokens (words, punctuation marks and the end), loss_target, loss_background and score, their difference, per token.
 
     `wanted` has the ids of the documents the target model learns from; the background learns from all. A document is scored
     by counts from which its own are taken away, wherever it was counted, so it does not vouch for itself. A null or empty text
     is one token, the end. Repeated rows stay and count each; rows with a null id are never wanted; other columns are ignored;
-    an empty table gives an empty result. Without wanted documents the target model is uniform. `written` stores the wanted ids.
+    an empty table gives an empty result. Without wanted documents the target model is uniform. A block has at least one
+    document, so a task needs room for `block_tokens` tokens or the longest text. A shard has about `shard_keys` keys at most,
+    those that several blocks ask for counted each time. `written` stores the wanted ids, the blocks and the summed counts.
     """
     mark = written(wanted.select(F.col(id_col).alias("id")).dropna().distinct().withColumn("wanted", F.lit(True)), "wanted")
-    mark = F.broadcast(mark) if mark.count() <= most_broadcast else mark  # a short list spares the texts a shuffle
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(mark, "id", "left").withColumn("wanted", F.coalesce("wanted", F.lit(False)))
-    words = vocabulary(docs, size, text_col)
-    found = counts(rows, words, bits)
-    tokens = {k: int(w.sum()) for k, (_, w) in found.items()}
-    shared = docs.sparkSession.sparkContext.broadcast((words, {k: tuple(x.astype(np.int32) if x.max(initial=0) < 2**31 else x for x in v) for k, v in found.items()}))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    if mark.count() <= most_broadcast:  # a short list spares the texts a shuffle
+        rows = rows.join(F.broadcast(mark), "id", "left").select("id", "text", F.coalesce("wanted", F.lit(False)).alias("wanted"))
+    else:  # rows without an id match nothing and would all go to one task
+        named = rows.dropna(subset=["id"]).join(mark, "id", "left").select("id", "text", F.coalesce("wanted", F.lit(False)).alias("wanted"))
+        rows = named.union(rows.filter("id is null").withColumn("wanted", F.lit(False)))
+    stored = written(blocks(rows, block_tokens), "blocks")
+    n_all = stored.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
+    shards = 1 + 2 * n_all // shard_keys  # a token is a pair and a word at most
+    answers = written(asked(stored, shards).groupBy("shard").applyInArrow(_added, "block long, shard long, all binary, all_wanted binary, n_words long"), "counts")
+    n_words = answers.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
+    n_wanted = _wanted_tokens(stored)
+    scale = max(1, n_wanted) / max(1, n_all)
     names = [id_col, "n_tokens", "loss_target", "loss_background", "score"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, tables = shared.value
-        target, background = Model(*tables[True], 1.0, tokens[True]), Model(*tables[False], max(1, tokens[True]) / max(1, tokens[False]), tokens[False])
-        for batch in cut(batches):
-            out = []
-            for text, own in zip(texts(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-                ids = vocab.of(text)
-                at = cells(ids, bits)
-                models = _without(target, ids, at) if own else target, _without(background, ids, at)
-                losses = [m.loss(ids, at, strength) / len(at) for m in models]
-                out.append((len(at), *losses, losses[0] - losses[1]))
-            columns = zip(*out, strict=True) if out else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), *[pa.float64()] * 3), strict=True))], names)
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        row = left.to_pylist()[0]
+        block = Block(row)
+        found = sorted(right.to_pylist(), key=lambda r: r["shard"])
+        target = _losses(block, np.concatenate([_array(r, "all_wanted") for r in found]), False, 1.0, n_wanted, n_words, strength)
+        background = _losses(block, np.concatenate([_array(r, "all") for r in found]), True, scale, n_all, n_words, strength)
+        n = np.bincount(block.docs, minlength=len(block.wanted))
+        ids = left.column("ids").combine_chunks().flatten()
+        return pa.Table.from_arrays([ids, pa.array(n, pa.int64()), *(pa.array(x) for x in (target / n, background / n, target / n - background / n))], names)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return rows.select("id", "text", "wanted").mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, loss_target double, loss_background double, score double")
+    both = stored.groupBy("block").cogroup(answers.groupBy("block"))
+    return both.applyInArrow(run, f"`{id_col}` {kind}, n_tokens long, loss_target double, loss_background double, score double")
 
 
-class _Less:
-    """An array of counts less a document's own, looked up by place."""
-
-    def __init__(self, table: np.ndarray, places: np.ndarray):
-        self.table = table
-        self.places, self.own = np.unique(places, return_counts=True)
-
-    def __getitem__(self, at: np.ndarray) -> np.ndarray:
-        k = np.minimum(np.searchsorted(self.places, at), len(self.places) - 1)
-        return self.table[at] - np.where(self.places[k] == at, self.own[k], 0)
-
-    def __len__(self) -> int:
-        return len(self.table)
+def _wanted_tokens(stored: DataFrame) -> int:
+    """Tokens of the wanted documents, end marks too."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums = [int((_array(r, "lengths") + 1)[_array(r, "wanted")].sum()) for r in batch.to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(sums, pa.int64())], ["n"])
 
-def _without(model: Model, ids: np.ndarray, at: np.ndarray) -> Model:
-    return Model(_Less(model.pairs, at), _Less(model.words, ids[1:]), model.scale, model.tokens - len(at))
+    return stored.select("lengths", "wanted").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

@@ -267,22 +267,26 @@ def test_language_edges(spark, edge, none):
         langid.learn(edge, most_languages=1)
 
 
-def plain_scores(docs, wanted, size, strength):
-    """The models without hashing of bigrams, for a corpus whose words all fit the vocabulary."""
-    words = collections.Counter(w for _, t in docs for w in lm_score.WORD.findall((t or "").lower()))
-    vocab = len(words) + lm_score.OTHER + 1
-    assert len(words) <= size
+def plain_scores(docs, wanted, strength):
+    """The models with plain counts. `docs` has distinct ids."""
+    vocab = len({w for _, t in docs for w in lm_score.WORD.findall((t or "").lower())}) + 1
+    everything = {k: (collections.Counter(), collections.Counter()) for k in (False, True)}
     seqs = {i: ["\n", *lm_score.WORD.findall((t or "").lower()), "\n"] for i, t in docs}
+    for background, (one, two) in everything.items():
+        for j, s in seqs.items():
+            if background or j in wanted:
+                one.update(s[1:])
+                two.update(zip(s, s[1:], strict=False))
+    full = {k: sum(one.values()) for k, (one, _) in everything.items()}
     out = {}
     for i, seq in seqs.items():
         losses = []
-        full = {k: sum(len(s) - 1 for j, s in seqs.items() if k or j in wanted) for k in (False, True)}
         for background in (False, True):
-            rest = [s for j, s in seqs.items() if j != i and (background or j in wanted)]
-            one = collections.Counter(w for s in rest for w in s[1:])
-            two = collections.Counter(p for s in rest for p in zip(s, s[1:], strict=False))
+            own = background or i in wanted
+            less, less_two = collections.Counter(seq[1:] if own else []), collections.Counter(zip(seq, seq[1:], strict=False) if own else [])
+            one, two = ({k: c[k] - d[k] for k in ks} for c, d, ks in zip(everything[background], (less, less_two), (seq, zip(seq, seq[1:], strict=False)), strict=True))
             scale = max(1, full[False]) / max(1, full[True]) if background else 1.0
-            total = sum(one.values()) * scale
+            total = (full[background] - less.total()) * scale
             loss = 0.0
             for v, w in zip(seq, seq[1:], strict=False):
                 p = (two[v, w] * scale + strength * (one[w] * scale + 1) / (total + vocab)) / (one[v] * scale + strength)
@@ -297,13 +301,33 @@ def test_model_scores_equal_a_plain_version(spark):
     wanted = {k for k in range(0, 30, 3)}
     frame = spark.createDataFrame(docs, "doc_id long, text string")
     marks = spark.createDataFrame([(k,) for k in wanted] + [(3,), (None,), (777,)], "doc_id long")
-    got = {r.doc_id: r for r in lm_score.score(frame, marks, written, strength=5.0, bits=21).collect()}
-    want = plain_scores(docs, wanted, 50_000, 5.0)
+    want = plain_scores(docs, wanted, 5.0)
+    for cutting in ({}, {"block_tokens": 20, "shard_keys": 7}, {"block_tokens": 1, "most_broadcast": -1}):
+        got = {r.doc_id: r for r in lm_score.score(frame, marks, written, strength=5.0, **cutting).collect()}
+        assert_scores(got, want)
+
+
+def assert_scores(got, want):
     assert set(got) == set(want)
     for i, (n, target, background) in want.items():
         assert (got[i].n_tokens, got[i].loss_target, got[i].loss_background, got[i].score) == (n, pytest.approx(target), pytest.approx(background), pytest.approx(target - background))
 
 
+def test_model_scores_of_a_table(spark):
+    docs = [(r.doc_id, r.text) for r in table(spark, SMALL, "documents").collect()]
+    assert len(dict(docs)) == len(docs)
+    wanted = {r.doc_id for r in table(spark, SMALL, "labels").filter("quality = 1").collect()}
+    assert_scores({r.doc_id: r for r in QUERIES["op9_lm_score"](spark, SMALL).collect()}, plain_scores(docs, wanted, 50.0))
+
+
+def test_what_the_models_hold_grows_with_the_input(spark):
+    docs = spark.range(4000).select(F.concat_ws(" ", *(F.concat(F.lit(f"w{k}x"), "id") for k in range(10))).alias("text"), "id", F.lit(False).alias("wanted"))
+    for n in (1000, 4000):
+        stored = written(lm_score.blocks(docs.filter(F.col("id") < n), 3000), "blocks")
+        added = lm_score.asked(stored, 5).groupBy("shard").applyInArrow(lm_score._added, "block long, shard long, all binary, all_wanted binary, n_words long")
+        assert added.agg(F.sum("n_words")).first()[0] == 10 * n + 1
+
+
 def test_model_scores_tell_wanted_text_apart(spark):
     draw = random.Random(5)
     good, other = "river forest mountain valley meadow stream".split(), "price offer click buy discount deal".split()
@@ -321,8 +345,6 @@ def test_model_score_edges(spark, edge, none):
     assert len(got) == len(EDGE) and all(math.isfinite(r.score) for r in got)
     assert {r.n_tokens for r in got if r.doc_id in (2, 3, 4)} == {1}
     assert lm_score.score(none, marks, written).count() == 0 and lm_score.score(edge, marks.limit(0), written, most_broadcast=-1).count() == len(EDGE)
-    # more words than the vocabulary holds
-    assert lm_score.score(edge, marks, written, size=2, bits=4).count() == len(EDGE)
 
 
 def plain_chat(turns):
