@@ -10,7 +10,8 @@ so no task and no driver holds them. Texts are cut into words once and stored in
 numbers into the block's own word list. A block asks once for each word and pair it has, with its own counts; Spark brings
 what was asked for to shards by hash, where the counts of all blocks are added up, and brings the answers back to the blocks.
 So a pair that every document has is one number per block, not per document, and a shard's size does not depend on how
-frequent its pairs are. Words and pairs are known by 64-bit hashes.
+frequent its pairs are. Words are known by 64-bit hashes, pairs and words in a shard by 48 bits: with 2 million keys in a
+shard one key in 10^8 shares its counts with another, however many shards there are.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,15 +34,22 @@ from cohortloom.llm.common import cut, mixed, texts
 WORD = re.compile(r"\w+|[^\w\s]")
 #: The mark before and after each document; no word is a line break.
 END = "\n"
-NUMBERS = {"tokens": np.int32, "words": np.uint64, "lengths": np.int64, "wanted": np.bool_, "keys": np.uint64, "n": np.int32, "n_wanted": np.int32, "all": np.int64, "all_wanted": np.int64}
-
-
 def _hash(word: str) -> int:
     return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
 
 
-def _array(row: dict, name: str) -> np.ndarray:
-    return np.frombuffer(row[name], NUMBERS[name])
+def packed(numbers: np.ndarray, small: type) -> bytes:
+    """Whole numbers from 0, most of them small: all in the type `small`, then those it does not hold in full."""
+    most = np.iinfo(small).max
+    low = np.minimum(numbers, most).astype(small)
+    return low.tobytes() + numbers[low == most].astype(np.int64).tobytes()
+
+
+def unpacked(data: bytes, n: int, small: type) -> np.ndarray:
+    low = np.frombuffer(data, small, n)
+    out = low.astype(np.int64)
+    out[low == np.iinfo(small).max] = np.frombuffer(data[low.nbytes :], np.int64)
+    return out
 
 
 def blocks(rows: DataFrame, block_tokens: int) -> DataFrame:
@@ -58,7 +67,7 @@ def blocks(rows: DataFrame, block_tokens: int) -> DataFrame:
             lengths = np.array([len(t) for t in found], np.int64)
             tokens = np.concatenate(found) if found else np.empty(0, np.int32)
             words = np.fromiter(map(_hash, [*places, END]), np.uint64, len(places) + 1)
-            columns = [[uuid.uuid4().int >> 65], [ids], [int(lengths.sum()) + len(ids)], [lengths.tobytes()], [np.array(wanted, np.bool_).tobytes()], [words.tobytes()], [tokens.tobytes()]]
+            columns = [[uuid.uuid4().int >> 65], [ids], [int(lengths.sum()) + len(ids)], [lengths.tobytes()], [np.array(wanted, np.bool_).tobytes()], [words.tobytes()], [zstandard.compress(packed(tokens, np.uint16))]]
             kinds = [pa.int64(), pa.list_(kind), pa.int64(), *[pa.binary()] * 4]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["block", "ids", "n_tokens", "lengths", "wanted", "words", "tokens"])
 
@@ -83,35 +92,44 @@ def blocks(rows: DataFrame, block_tokens: int) -> DataFrame:
 
 
 class Block:
-    """A block's neighbours: of each token the word before it, its document and its pair, and the keys of all pairs and words."""
+    """A block's neighbours: of each token the word before it, its document and its pair, and the keys of all pairs and words.
 
-    def __init__(self, row: dict):
-        lengths, words = _array(row, "lengths") + 1, _array(row, "words")
-        self.wanted = _array(row, "wanted")
+    A key is a shard, which is its hash's upper half scaled to their number, and the hash's lower 48 bits; `order` sorts by both.
+    """
+
+    def __init__(self, row: dict, shards: int):
+        lengths, words = np.frombuffer(row["lengths"], np.int64) + 1, np.frombuffer(row["words"], np.uint64)
+        self.wanted = np.frombuffer(row["wanted"], np.bool_)
         self.end = len(words) - 1
         self.docs = np.repeat(np.arange(len(lengths)), lengths)
         self.word = np.full(len(self.docs), self.end, np.int64)
         inside = np.ones(len(self.docs), bool)
         inside[np.cumsum(lengths) - 1] = False
-        self.word[inside] = _array(row, "tokens")
+        self.word[inside] = unpacked(zstandard.decompress(row["tokens"]), len(self.docs) - len(lengths), np.uint16)
         self.before = np.concatenate([[self.end], self.word[:-1]])
         codes, self.pair = np.unique(self.before * len(words) + self.word, return_inverse=True)
         self.pairs = len(codes)
         # pairs have even keys, words odd ones
         two = mixed(words[codes // len(words)] ^ mixed(words[codes % len(words)] + np.uint64(0x9E3779B97F4A7C15))) & ~np.uint64(1)
-        keys = np.concatenate([two, mixed(words) | np.uint64(1)])
-        self.order = np.argsort(keys, kind="stable")
-        self.keys = keys[self.order]
+        hashes = np.concatenate([two, mixed(words) | np.uint64(1)])
+        shard, key = (hashes >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32), hashes & np.uint64((1 << 48) - 1)
+        self.order = np.lexsort((key, shard))
+        self.shard, self.key = shard[self.order].astype(np.int64), key[self.order]
 
     def own(self) -> tuple[np.ndarray, np.ndarray]:
-        """By key: how often here, and how often in wanted documents."""
+        """By key, in order: how often here, and how often in wanted documents."""
         marked = self.wanted[self.docs]
         both = []
         for some in (slice(None), marked):
             pairs, words = np.bincount(self.pair[some], minlength=self.pairs), np.bincount(self.word[some], minlength=self.end + 1)
-            both.append(np.concatenate([pairs, words])[self.order].astype(np.int32))
+            both.append(np.concatenate([pairs, words])[self.order])
         return both[0], both[1]
 
+    def spans(self) -> list[tuple[int, slice]]:
+        """The shards that have keys of the block, and where."""
+        found, first = np.unique(self.shard, return_index=True)
+        return [(int(k), slice(a, b)) for k, a, b in zip(found, first, [*first[1:], len(self.shard)], strict=True)]
+
     def within(self, cells: np.ndarray, asked: np.ndarray, width: int) -> np.ndarray:
         """Of each token: how often its own document has `asked`, where its tokens have `cells`."""
         have, counts = np.unique(self.docs * width + cells, return_counts=True)
@@ -120,45 +138,56 @@ class Block:
         return np.where(have[at] == want, counts[at], 0)
 
 
-def _spans(keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
-    """The shards that sorted keys fall in, and where each begins, and the end of the last. A shard is a range of keys."""
-    found, first = np.unique((keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32), return_index=True)
-    return found.astype(np.int64), np.append(first, len(keys))
-
-
 def asked(stored: DataFrame, shards: int) -> DataFrame:
-    """Per block and shard: the keys the block has there, in order, with its own counts."""
+    """Per block and shard: the keys the block has there, as steps from one to the next, with its own counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in cut(batches, 1):
             row = batch.to_pylist()[0]
-            block = Block(row)
+            block = Block(row, shards)
             own = block.own()
-            found, at = _spans(block.keys, shards)
-            for some in np.array_split(np.arange(len(found)), 1 + len(found) // 1000):
-                spans = [slice(at[k], at[k + 1]) for k in some]
-                columns = [pa.array(found[some]), pa.array([row["block"]] * len(some), pa.int64())]
-                columns += [pa.array([x[s].tobytes() for s in spans], pa.binary()) for x in (block.keys, *own)]
-                yield pa.RecordBatch.from_arrays(columns, ["shard", "block", "keys", "n", "n_wanted"])
+            spans = block.spans()
+            for at in range(0, len(spans), 1000):
+                some = spans[at : at + 1000]
+                steps = [np.diff(block.key[s], prepend=np.uint64(0)) for _, s in some]
+                columns = [pa.array([k for k, _ in some], pa.int64()), pa.array([row["block"]] * len(some), pa.int64())]
+                columns += [pa.array([x.astype(np.uint32).tobytes() for x in steps], pa.binary()), pa.array([packed(x >> np.uint64(32), np.uint8) for x in steps], pa.binary())]
+                columns += [pa.array([packed(x[s], np.uint8) for _, s in some], pa.binary()) for x in own]
+                yield pa.RecordBatch.from_arrays(columns, ["shard", "block", "low", "high", "n", "n_wanted"])
 
     narrow = stored.select("block", "lengths", "wanted", "words", "tokens")
-    return narrow.mapInArrow(run, "shard long, block long, keys binary, n binary, n_wanted binary")
+    return narrow.mapInArrow(run, "shard long, block long, low binary, high binary, n binary, n_wanted binary")
 
 
 def _added(group: pa.Table) -> pa.Table:
-    """Of one shard: what each block asked for, summed over all blocks; the first row also has the number of distinct words."""
+    """Of one shard: what each block asked for, summed over all other blocks; the first row also has the number of distinct words."""
     rows = group.to_pylist()
-    parts = [_array(r, "keys") for r in rows]
-    found, place = np.unique(np.concatenate(parts), return_inverse=True)
-    sums = [np.bincount(place, np.concatenate([_array(r, name) for r in rows]), len(found)).astype(np.int64) for name in ("n", "n_wanted")]
-    at = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+    sizes = [len(r["low"]) // 4 for r in rows]
+    steps = ((unpacked(r["high"], n, np.uint8) << 32) + np.frombuffer(r["low"], np.uint32) for r, n in zip(rows, sizes, strict=True))
+    found, place = np.unique(np.concatenate([np.cumsum(x) for x in steps]), return_inverse=True)
+    at = np.concatenate([[0], np.cumsum(sizes)])
     columns = {"block": pa.array([r["block"] for r in rows], pa.int64()), "shard": pa.array([r["shard"] for r in rows], pa.int64())}
-    for name, total in zip(("all", "all_wanted"), sums, strict=True):
-        columns[name] = pa.array([total[place[at[k] : at[k + 1]]].tobytes() for k in range(len(rows))], pa.binary())
-    columns["n_words"] = pa.array([int((found & np.uint64(1)).sum()), *[0] * (len(rows) - 1)], pa.int64())
+    for name, answer in (("n", "others"), ("n_wanted", "others_wanted")):
+        own = np.concatenate([unpacked(r[name], n, np.uint8) for r, n in zip(rows, sizes, strict=True)])
+        others = np.bincount(place, own, len(found)).astype(np.int64)[place] - own
+        columns[answer] = pa.array([packed(others[at[k] : at[k + 1]], np.uint8) for k in range(len(rows))], pa.binary())
+    columns["n_words"] = pa.array([int((found & 1).sum()), *[0] * (len(rows) - 1)], pa.int64())
     return pa.table(columns)
 
 
+ANSWERS = "block long, shard long, others binary, others_wanted binary, n_words long"
+
+
+def _every(block: Block, answers: list[dict]) -> list[np.ndarray]:
+    """Counts over all documents and over the wanted ones, in the order of the block's keys."""
+    spans = block.spans()
+    assert [k for k, _ in spans] == [r["shard"] for r in answers]
+    out = []
+    for own, name in zip(block.own(), ("others", "others_wanted"), strict=True):
+        out.append(own + np.concatenate([unpacked(r[name], s.stop - s.start, np.uint8) for r, (_, s) in zip(answers, spans, strict=True)]))
+    return out
+
+
 def _losses(block: Block, every: np.ndarray, own: bool, scale: float, n_tokens: int, n_words: int, strength: float) -> np.ndarray:
     """Per document nats of all its tokens by counts `every` (in the order of keys), less its own: those of all documents, or of the wanted."""
     counts = np.empty(len(every), np.int64)
@@ -196,7 +225,7 @@ def score(
     stored = written(blocks(rows, block_tokens), "blocks")
     n_all = stored.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
     shards = 1 + 2 * n_all // shard_keys  # a token is a pair and a word at most
-    answers = written(asked(stored, shards).groupBy("shard").applyInArrow(_added, "block long, shard long, all binary, all_wanted binary, n_words long"), "counts")
+    answers = written(asked(stored, shards).groupBy("shard").applyInArrow(_added, ANSWERS), "counts")
     n_words = answers.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
     n_wanted = _wanted_tokens(stored)
     scale = max(1, n_wanted) / max(1, n_all)
@@ -204,10 +233,10 @@ def score(
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         row = left.to_pylist()[0]
-        block = Block(row)
-        found = sorted(right.to_pylist(), key=lambda r: r["shard"])
-        target = _losses(block, np.concatenate([_array(r, "all_wanted") for r in found]), False, 1.0, n_wanted, n_words, strength)
-        background = _losses(block, np.concatenate([_array(r, "all") for r in found]), True, scale, n_all, n_words, strength)
+        block = Block(row, shards)
+        every = _every(block, sorted(right.to_pylist(), key=lambda r: r["shard"]))
+        target = _losses(block, every[1], False, 1.0, n_wanted, n_words, strength)
+        background = _losses(block, every[0], True, scale, n_all, n_words, strength)
         n = np.bincount(block.docs, minlength=len(block.wanted))
         ids = left.column("ids").combine_chunks().flatten()
         return pa.Table.from_arrays([ids, pa.array(n, pa.int64()), *(pa.array(x) for x in (target / n, background / n, target / n - background / n))], names)
@@ -222,7 +251,7 @@ def _wanted_tokens(stored: DataFrame) -> int:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sums = [int((_array(r, "lengths") + 1)[_array(r, "wanted")].sum()) for r in batch.to_pylist()]
+            sums = [int((np.frombuffer(r["lengths"], np.int64) + 1)[np.frombuffer(r["wanted"], np.bool_)].sum()) for r in batch.to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(sums, pa.int64())], ["n"])
 
     return stored.select("lengths", "wanted").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

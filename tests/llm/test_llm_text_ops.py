@@ -320,11 +320,17 @@ def test_model_scores_of_a_table(spark):
     assert_scores({r.doc_id: r for r in QUERIES["op9_lm_score"](spark, SMALL).collect()}, plain_scores(docs, wanted, 50.0))
 
 
+def test_packed_numbers():
+    for some in ([], [0, 1, 254, 255, 256, 70_000], [65_534, 65_535, 2**40], [255] * 3):
+        for small in (np.uint8, np.uint16):
+            assert lm_score.unpacked(lm_score.packed(np.array(some, np.int64), small), len(some), small).tolist() == some
+
+
 def test_what_the_models_hold_grows_with_the_input(spark):
     docs = spark.range(4000).select(F.concat_ws(" ", *(F.concat(F.lit(f"w{k}x"), "id") for k in range(10))).alias("text"), "id", F.lit(False).alias("wanted"))
     for n in (1000, 4000):
         stored = written(lm_score.blocks(docs.filter(F.col("id") < n), 3000), "blocks")
-        added = lm_score.asked(stored, 5).groupBy("shard").applyInArrow(lm_score._added, "block long, shard long, all binary, all_wanted binary, n_words long")
+        added = lm_score.asked(stored, 5).groupBy("shard").applyInArrow(lm_score._added, lm_score.ANSWERS)
         assert added.agg(F.sum("n_words")).first()[0] == 10 * n + 1
 
 
