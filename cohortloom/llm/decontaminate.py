@@ -6,7 +6,8 @@ the items are hashed and hash-joined with those of the documents. Where windows
 an item's value must always stand for the same value of the document and the other way round, so that a text that merely has
 the item's shape with muddled slots is not taken for it. Windows are also compared word by word in lower case, so that
 verbatim copies are found whatever their case and however few plain words an item has. An item counts as found if its
-consistent or verbatim windows are at least `share` of its windows, or the consistent ones of those with enough plain words.
+consistent or verbatim windows are at least `share` of its windows, or the consistent ones of those with enough plain words,
+or if a run of `quote` words of it stands in the document, however long the item is.
 
 All of it is built-in functions. The items' windows are broadcast only if they are at most `most_broadcast`; beyond, the join
 is Spark's choice. Documents are never joined with each other, and rows are only grouped per document and item.
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from cohortloom.llm.common import fixed
 
@@ -25,24 +27,22 @@ UNITS = (
     "s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years dollar dollars euro euros cent cents usd eur percent "
     "degree degrees kmh mph"
 )
-NUMBER, UNIT, NAME, START = "\x01", "\x02", "\x03", "\x04"
+NUMBER, UNIT, NAME = "\x01", "\x02", "\x03"
 ONE_UNIT = f"(?i:{'|'.join(sorted(UNITS.split(), key=len, reverse=True))})"
 
 
 def _marked(text: Column) -> Column:
-    """Words between single spaces; START before the first word of a sentence, UNIT before a unit."""
-    starts = F.regexp_replace(F.concat(F.lit("."), text), r"[.!?:;\n][^\p{L}\p{N}]*", f" {START}")
-    flat = F.regexp_replace(starts, rf"[^\p{{L}}\p{{N}}{START}]+", " ")
+    """Words, a single space before each; UNIT before a unit."""
+    flat = F.regexp_replace(F.concat(F.lit(" "), text), r"[^\p{L}\p{N}]+", " ")
     return F.regexp_replace(flat, rf"(\p{{N}}) (?={ONE_UNIT}(?: |$))", f"$1 {UNIT}")
 
 
 def hashed_tokens(text: Column) -> Column:
     """One 64-bit hash per token of `tokens`, made by whole-text replacements."""
     t = F.regexp_replace(_marked(text), rf"{UNIT}[^ ]+", UNIT)
-    t = F.regexp_replace(t, rf"([ {START}])\p{{N}}+(?= |$)", f"$1{NUMBER}")
+    t = F.regexp_replace(t, r" \p{N}+(?= |$)", f" {NUMBER}")
     t = F.regexp_replace(t, r" \p{Lu}\p{Ll}[^ ]*", f" {NAME}")
-    words = F.split(F.lower(F.translate(t, START, "")), " ")
-    return F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w))
+    return F.transform(F.filter(F.split(F.lower(t), " "), lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
 def literal_tokens(text: Column) -> Column:
@@ -53,12 +53,13 @@ def literal_tokens(text: Column) -> Column:
 def tokens(text: Column) -> Column:
     """Array of structs (token, value): value is the word in lower case, token is it or a placeholder.
 
-    Digits alone are a number, one of UNITS after a digit is a unit, a capitalised word that starts no sentence is a name.
+    Digits alone are a number, one of UNITS after a digit is a unit. Any other capitalised word is a name, also one that starts a
+    sentence: names often stand there, and words that do not change are consistent like names.
     """
-    words = F.filter(F.split(_marked(text), " "), lambda w: ~w.isin("", START))
-    bare = lambda w: F.lower(F.ltrim(w, F.lit(START + UNIT)))
+    words = F.filter(F.split(_marked(text), " "), lambda w: w != "")
+    bare = lambda w: F.lower(F.ltrim(w, F.lit(UNIT)))
     token = lambda w: (
-        F.when(w.startswith(UNIT), UNIT).when(w.rlike(rf"^{START}?\p{{N}}+$"), NUMBER).when(w.rlike(r"^\p{Lu}\p{Ll}"), NAME).otherwise(bare(w))
+        F.when(w.startswith(UNIT), UNIT).when(w.rlike(r"^\p{N}+$"), NUMBER).when(w.rlike(r"^\p{Lu}\p{Ll}"), NAME).otherwise(bare(w))
     )
     return F.transform(words, lambda w: F.struct(token(w).alias("token"), bare(w).alias("value")))
 
@@ -70,6 +71,7 @@ def contaminated(
     size: int = 8,
     share: float = 0.5,
     least_words: int = 4,
+    quote: int = 25,
     most_broadcast: int = 500_000,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -79,7 +81,8 @@ def contaminated(
     """One row per document and benchmark item found in it: id, item, n_windows (all of the item), n_found (of those, consistent or verbatim).
 
     Items of equal text are one, under their smallest id. Items shorter than `size` are matched as a whole among windows of
-    their own length. Windows with fewer than `least_words` words that are not placeholders match only verbatim unless they are
+    their own length. A run of `quote` words is that many less `size` and one windows that follow each other in the item, all
+    verbatim in the document. Windows with fewer than `least_words` words that are not placeholders match only verbatim unless they are
     a whole item. Null and empty texts, and rows with a null id, match nothing; repeated rows count as one document; other
     columns are ignored; empty tables give an empty result. `written` stores the items' windows and
     where documents meet them.
@@ -138,10 +141,15 @@ def contaminated(
     fit = checked.filter((F.size("pairs") == 0) | F.coalesce(consistent, F.lit(False))).select("doc", "item", "at", F.lit(True).alias("shape"))
     every = fit.union(same.select("doc", "item", "at", F.lit(False)))
     found = every.groupBy("doc", "item").agg(F.count_distinct("at").alias("n_found"), F.count_distinct(F.when(F.col("shape"), F.col("at"))).alias("n_shapes"))
+    # windows that follow each other have the same distance from their rank
+    place = F.col("at") - F.row_number().over(Window.partitionBy("doc", "item").orderBy("at"))
+    runs = same.select("doc", "item", place.alias("run")).groupBy("doc", "item", "run").agg(F.count("*").alias("n"))
+    quoted = runs.filter(F.col("n") > max(0, quote - size)).select("doc", "item", F.lit(True).alias("quoted")).distinct()
     total = verbatim.groupBy("item").agg(F.count("*").alias("n_windows"))
     shapes = known.groupBy("item").agg(F.count("*").alias("of_shapes"))
     whole = F.coalesce(F.col("n_shapes") >= share * F.col("of_shapes"), F.lit(False))
-    out = found.join(total, "item").join(shapes, "item", "left").filter((F.col("n_found") >= share * F.col("n_windows")) | whole)
+    out = found.join(total, "item").join(shapes, "item", "left").join(quoted, ["doc", "item"], "left")
+    out = out.filter((F.col("n_found") >= share * F.col("n_windows")) | whole | F.coalesce("quoted", F.lit(False)))
     return out.select(F.col("doc").alias(id_col), F.col("item").alias(item_col), "n_windows", "n_found")
 
 

@@ -127,17 +127,14 @@ def test_licence_scan_of_a_table(spark):
 
 def plain_tokens(text):
     """The rules of `tokens`, one character after the other."""
-    out, start, before = [], True, ""
-    for part in re.findall(r"[^\W_]+|[.!?:;\n]|_|[^\w]", text):
-        if part in ".!?:;\n":
-            start = True
-        elif re.fullmatch(r"[^\W_]+", part):
-            number = bool(re.fullmatch(r"[0-9]+", part))
-            unit = not start and re.search(r"[0-9]$", before) and part.lower() in decontaminate.UNITS.split()
-            name = not start and re.match(r"[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]", part)
-            kind = decontaminate.UNIT if unit else decontaminate.NUMBER if number else decontaminate.NAME if name else part.lower()
-            out.append((kind, part.lower()))
-            start, before = False, part
+    out, before = [], ""
+    for part in re.findall(r"[^\W_]+", text):
+        number = bool(re.fullmatch(r"[0-9]+", part))
+        unit = re.search(r"[0-9]$", before) and part.lower() in decontaminate.UNITS.split()
+        name = re.match(r"[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]", part)
+        kind = decontaminate.UNIT if unit else decontaminate.NUMBER if number else decontaminate.NAME if name else part.lower()
+        out.append((kind, part.lower()))
+        before = part
     return out
 
 
@@ -179,6 +176,27 @@ def test_contradicting_slots_do_not_count(spark):
     assert [r.doc_id for r in decontaminate.contaminated(docs, items, written).collect()] == [1]
 
 
+def test_names_that_start_sentences(spark):
+    item = "Mary has 3 red apples and 5 green pears. Tom has 3 times as many apples as Mary. Mary gives Tom 2 pears. How many pears does Mary have now, and how many apples has Tom?"
+    renamed = item.replace("Mary", "Anna").replace("Tom", "Peter").replace("3 red", "7 red").replace("3 times", "7 times").replace("5 green", "9 green")
+    other = "Mary likes to walk in the hills. Tom has never seen them. How many hills has the land, and how many of them does Mary know by now? Nobody has asked her."
+    docs, items = frame(spark, [(1, item), (2, renamed), (3, other), (4, "\x04".join(renamed.split(" ")))]), spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert {r.doc_id for r in decontaminate.contaminated(docs, items, written).collect()} == {1, 2, 4}
+
+
+def test_long_quotes_of_longer_items(spark):
+    draw = random.Random(3)
+    words = [draw.choice("river stone winter lamp garden copper engine letter window salt".split()) + str(k % 7) for k in range(150)]
+    prose = "the old mill stands at the river and nobody has seen its owner for years "
+    cut_at = {1: (40, 100), 2: (40, 65), 3: (40, 64), 4: (0, 150)}
+    docs = [(k, prose + " ".join(words[a:b]) + " " + prose) for k, (a, b) in cut_at.items()]
+    docs.append((5, " ".join(" ".join(words[a : a + 15]) + " " + prose for a in (0, 50, 100))))
+    items = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    for most in (500_000, 0):
+        got = {r.doc_id: r.n_found for r in decontaminate.contaminated(frame(spark, docs), items, written, most_broadcast=most).collect()}
+        assert got == {1: 53, 2: 18, 4: 143}
+
+
 def test_items_without_plain_words_are_found_verbatim(spark):
     sums, prose = "Solve 12 x 7 + 5 x 9 + 3 x 8", "the old mill stands at the river and nobody has seen its owner for years "
     docs = frame(spark, [(1, prose + sums + " " + prose), (2, prose + "Solve 13 x 6 + 4 x 2 + 9 x 1"), (3, prose), (4, sums.upper())])
