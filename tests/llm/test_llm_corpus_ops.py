@@ -176,6 +176,42 @@ def test_contradicting_slots_do_not_count(spark):
     assert [r.doc_id for r in decontaminate.contaminated(docs, items, written).collect()] == [1]
 
 
+def test_worksheets_with_variants_of_one_question(spark):
+    item = "Anna gave Bob 3 apples and then Bob gave Anna 5 pears because Anna likes pears more than Bob likes them"
+    draw = random.Random(5)
+    names = "Carl Dora Emil Fred Gina Hugo Ines Karl Lena Mona Nils Olga".split()
+
+    def variant():
+        one, two = draw.sample(names, 2)
+        return item.replace("Anna", one).replace("Bob", two).replace("3", str(draw.randrange(10, 99))).replace("5", str(draw.randrange(10, 99)))
+
+    sheets = [(k, ". ".join(variant() for _ in range(many))) for k, many in enumerate([1, 2, 3, 3, 5, 20, 20, 20])]
+    apart = [(100 + k, " and some other words stand here until the next one comes at last ".join(variant() for _ in range(3))) for k in range(3)]
+    muddled = ". ".join("Carl gave Dora 3 apples and then Emil gave Fred 5 pears because Gina likes pears more than Hugo likes them" for _ in range(3))
+    twice = [(300, variant()), (300, variant()), (300, variant())]
+    docs = frame(spark, [*sheets, *apart, (200, muddled), *twice])
+    got = decontaminate.contaminated(docs, spark.createDataFrame([(1, item)], "item_id long, text string"), written).collect()
+    assert {r.doc_id for r in got} == {k for k, _ in [*sheets, *apart, *twice]}
+    kinds = [t for t, _ in plain_tokens(item)]
+    windows = [kinds[k : k + 8] for k in range(len(kinds) - 7)]
+    marks = (decontaminate.NUMBER, decontaminate.UNIT, decontaminate.NAME)
+    enough = sum(sum(t not in marks for t in x) >= 4 for x in windows)
+    assert {(r.n_windows, r.n_found) for r in got} == {(len(windows), enough)}
+
+
+@pytest.mark.parametrize("size", range(1, 10))
+def test_windows_have_the_hash_of_what_is_in_them(spark, size):
+    lists = [list("abcabcabcaabbccddabc"), list("abcabcab"), ["a"] * 5, [], ["a"]]
+    rows = spark.createDataFrame([(x,) for x in lists], "words array<string>")
+    meaning = {}
+    for r in rows.select("words", decontaminate._windows(F.transform("words", lambda w: F.xxhash64(w)), size).alias("h")).collect():
+        runs = [tuple(r.words[k : k + size]) for k in range(len(r.words) - size + 1)]
+        assert len(r.h) == len(runs)
+        for h, run in zip(r.h, runs, strict=True):
+            assert meaning.setdefault(h, run) == run
+    assert len(set(meaning.values())) == len(meaning)
+
+
 def test_names_that_start_sentences(spark):
     item = "Mary has 3 red apples and 5 green pears. Tom has 3 times as many apples as Mary. Mary gives Tom 2 pears. How many pears does Mary have now, and how many apples has Tom?"
     renamed = item.replace("Mary", "Anna").replace("Tom", "Peter").replace("3 red", "7 red").replace("3 times", "7 times").replace("5 green", "9 green")
