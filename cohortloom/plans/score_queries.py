@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..operators import evaluate as ev
 from ..operators import boost
 from ..operators.boost import SecondOrder
+from ..operators.calibrate import isotonic_scores, smooth_rate
 from ..operators.curve import threshold_curve
 from ..operators.model import Boosting, best_setting, choose_rounds, fit, importance, out_of_fold, score, search_grid
 from ..operators.prep import feature_pipeline
@@ -117,6 +118,24 @@ def calibration(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(ev.calibration(curve(spark, sf)), "mean_score", "observed", "error")
 
 
+@query
+def isotonic_score(spark: SparkSession, sf: str) -> DataFrame:
+    """Calibrated score of every distinct score."""
+    return rounded(isotonic_scores(curve(spark, sf)), "rate")
+
+
+@query
+def isotonic_score_by_hour(spark: SparkSession, sf: str) -> DataFrame:
+    """The same per hour, in segments of the score range."""
+    return rounded(isotonic_scores(curve(spark, sf, ["hour"]), ["hour"], max_window_rows=500), "rate")
+
+
+@query
+def smoothed_rate(spark: SparkSession, sf: str) -> DataFrame:
+    """Outcome rate over the score, smoothed, per hour."""
+    return rounded(smooth_rate(scored(spark, sf), "score", "label", 0.125, 0.3125, ["hour"]), "rate")
+
+
 @query
 def area_under_pr(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(ev.area_under_pr(curve(spark, sf, ["hour"]), ["hour"]), "aucpr")

@@ -252,6 +252,24 @@ def w(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
 
 
+SCORES_COUNTED = "SELECT {by} score AS cutoff, count(*) AS n, count(*) FILTER (label = 1) AS pos FROM scored GROUP BY ALL"
+
+
+def isotonic(counts: str) -> str:
+    """Walks from corner to corner of the line over (rows, positives): the next corner is where the steepest line from this one ends."""
+    return w(SCORED, f"""points AS MATERIALIZED (
+      SELECT *, sum(n) OVER (PARTITION BY g ORDER BY cutoff DESC)::BIGINT AS x, sum(pos) OVER (PARTITION BY g ORDER BY cutoff DESC)::BIGINT AS y FROM {counts})""", """walk AS (
+      WITH RECURSIVE corner AS (
+        SELECT DISTINCT g, 0::BIGINT AS x, 0::BIGINT AS y, 0::BIGINT AS start, 0::DOUBLE AS rate FROM points
+        UNION ALL
+        SELECT g, x, y, start, slope FROM (
+          SELECT p.g, p.x, p.y, c.x AS start, (p.y - c.y)::DOUBLE / (p.x - c.x) AS slope,
+                 row_number() OVER (PARTITION BY p.g ORDER BY (p.y - c.y)::DOUBLE / (p.x - c.x) DESC, p.x DESC) AS rn
+          FROM corner c JOIN points p ON p.g = c.g AND p.x > c.x) WHERE rn = 1)
+      SELECT * FROM corner WHERE x > 0)""", """pooled AS (
+      SELECT p.g, p.cutoff, p.n, p.pos, round(k.rate, 9) AS rate FROM points p JOIN walk k ON p.g = k.g AND p.x > k.start AND p.x <= k.x)""")
+
+
 POINT_ROUNDED = "round(sens, 9) AS sens, round(spec, 9) AS spec, round(ppv, 9) AS ppv"
 RATES = ", ".join(f"round({c}, 9) AS {c}" for c in ("rpp", "sens", "spec", "ppv", "npv"))
 CURVE_ROWS = f"SELECT cutoff, pos, neg, next_pos, tp, fp, fn, tn, {RATES} FROM curve"
@@ -525,6 +543,14 @@ SQL = {
         SELECT part, n, round(s / n, 9) AS mean_score, round(y / n, 9) AS observed, round(abs(s / n - y / n), 9) AS error FROM (
           SELECT (floor((tp + fp - pos - neg) * 10 / (n_pos + n_neg)) + 1)::INTEGER AS part, sum(pos + neg)::BIGINT AS n, sum(cutoff * (pos + neg)) AS s, sum(pos)::DOUBLE AS y
           FROM curve GROUP BY 1)""",
+    "isotonic_score": isotonic(f"(SELECT 0 AS g, * FROM ({SCORES_COUNTED.format(by='')}))") + "SELECT cutoff, n, pos, rate FROM pooled",
+    "isotonic_score_by_hour": isotonic(f"({SCORES_COUNTED.format(by='hour AS g,')})") + "SELECT g AS hour, cutoff, n, pos, rate FROM pooled",
+    "smoothed_rate": w(SCORED, """near AS (
+        SELECT hour, k * 0.125::DOUBLE AS point, score - k * 0.125::DOUBLE AS d, label FROM scored, range(-3, 12) r(k)), weights AS (
+        SELECT *, pow(1 - pow(abs(d) / 0.3125::DOUBLE, 3), 3) AS wt FROM near WHERE abs(d) < 0.3125), sums AS (
+        SELECT hour, point, count(*) AS n, sum(wt) AS s0, sum(wt * d) AS s1, sum(wt * d * d) AS s2, sum(wt * label) AS t0, sum(wt * label * d) AS t1
+        FROM weights GROUP BY hour, point HAVING min(d) <= 0 AND max(d) >= 0)""") + """
+        SELECT hour, point AS "at", n, round(least(greatest(CASE WHEN s0 * s2 - s1 * s1 > 1e-9 * s0 * s2 THEN (s2 * t0 - s1 * t1) / (s0 * s2 - s1 * s1) ELSE t0 / s0 END, 0), 1), 9) AS rate FROM sums""",
     "area_under_pr": w(SCORED, curve("hour")) + """
         SELECT hour, round(sum(pos / n_pos * (ppv + before) / 2), 9) AS aucpr FROM (
           SELECT *, coalesce(lag(ppv) OVER (PARTITION BY hour ORDER BY cutoff DESC), ppv) AS before FROM curve) GROUP BY hour""",
