@@ -54,22 +54,24 @@ def running_segments(
     sums: Sequence[str] = (),
     maxes: Sequence[str] = (),
     segment: str = "_segment",
+    valued: DataFrame | None = None,
 ) -> DataFrame:
-    """Same result as `running_window`, one task per (group, segment)."""
+    """Same result as `running_window`, one task per (group, segment).
+
+    What the segments before add up to stands in a row of its own at the head of each segment, so that the rows themselves are
+    shuffled and sorted once. `valued`, for maxima alone: the rows of `df` that have a value, where most have none.
+    """
     by = list(by)
-    totals = df.groupBy(*by, segment).agg(
-        *[F.sum(c).alias(f"_before_{c}") for c in sums], *[F.max(c).alias(f"_before_{c}") for c in maxes]
-    )
-    earlier = Window.partitionBy(*by).orderBy(segment).rowsBetween(Window.unboundedPreceding, -1)
-    carry = totals.withColumns(
-        {f"_before_{c}": F.sum(f"_before_{c}").over(earlier) for c in sums}
-        | {f"_before_{c}": F.max(f"_before_{c}").over(earlier) for c in maxes}
-    )
-    # Null-safe so that a group whose key is null keeps its rows.
-    right = carry.select(*[F.col(c).alias(f"_r_{c}") for c in by + [segment]], *[f"_before_{c}" for c in [*sums, *maxes]])
-    on = [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in by] + [F.col(segment) == F.col(f"_r_{segment}")]
-    local = running_window(df, [*by, segment], order, sums, maxes).join(right, on, "left")
-    shifted = {c: F.col(c) + F.coalesce(F.col(f"_before_{c}"), F.lit(0)) for c in sums} | {
-        c: F.greatest(F.col(c), F.col(f"_before_{c}")) for c in maxes
-    }
-    return local.withColumns(shifted).drop(*[f"_r_{c}" for c in by + [segment]], *[f"_before_{c}" for c in [*sums, *maxes]])
+    if valued is None:
+        totals = df.groupBy(*by, segment).agg(*[F.sum(c).alias(f"_before_{c}") for c in sums], *[F.max(c).alias(c) for c in maxes]).withColumn("_here", F.lit(True))
+    else:
+        some = valued.groupBy(*by, segment).agg(*[F.max(c).alias(c) for c in maxes]).withColumn("_here", F.lit(False))
+        totals = df.select(*by, segment).distinct().withColumn("_here", F.lit(True)).unionByName(some, allowMissingColumns=True)
+    earlier = Window.partitionBy(*by).orderBy(segment).rangeBetween(Window.unboundedPreceding, -1)
+    carry = totals.withColumns({f"_before_{c}": F.sum(f"_before_{c}").over(earlier) for c in sums} | {c: F.max(c).over(earlier) for c in maxes})
+    heads = carry.filter("_here").drop("_here").withColumn("_after_head", F.lit(0))
+    rows = df.withColumn("_after_head", F.lit(1)).unionByName(heads, allowMissingColumns=True)
+    w = Window.partitionBy(*by, segment).orderBy("_after_head", *order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # The sum before is added to a sum of the segment's own: the same additions whatever the segment holds.
+    cols = {c: F.sum(c).over(w) + F.coalesce(F.first(f"_before_{c}").over(w), F.lit(0)) for c in sums} | {c: F.max(c).over(w) for c in maxes}
+    return rows.withColumns(cols).filter("_after_head = 1").select(*df.columns)

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import written_once
 from .running import running_segments, running_window, segment_edges, with_segment
 from .skew import HOT_ROWS, salted_join
 
@@ -15,13 +16,17 @@ def _micros(name: str) -> Column:
     return F.unix_micros(F.col(name).cast("timestamp"))
 
 
-def _running(df: DataFrame, keys: Sequence[str], order: Sequence[str], column: str, hot_rows: int) -> DataFrame:
-    """Running maximum of `column`; where a key has more than `hot_rows` rows, in segments of the first ordering column."""
+def _running(df: DataFrame, keys: Sequence[str], order: Sequence[str], column: str, hot_rows: int, valued: DataFrame | None = None) -> DataFrame:
+    """Running maximum of `column`; where a key has more than `hot_rows` rows, in segments of the first ordering column.
+
+    `valued`: the rows of `df` whose `column` is not null, where they are few.
+    """
     most = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
     if most <= hot_rows:
         return running_window(df, keys, order, [], [column])
-    placed = with_segment(df, order[0], segment_edges(df, order[0], math.ceil(most / hot_rows)))
-    return running_segments(placed, keys, order, maxes=[column]).drop("_segment")
+    edges = segment_edges(df, order[0], math.ceil(most / hot_rows))
+    few = None if valued is None else with_segment(valued, order[0], edges)
+    return running_segments(with_segment(df, order[0], edges), keys, order, maxes=[column], valued=few).drop("_segment")
 
 
 def states_at(
@@ -43,13 +48,14 @@ def states_at(
     rows = rows.dropna(subset=[*keys, "_s", "_e"]).filter("_s < _e")
     own = F.struct("_e", (-F.col("_s")).alias("s"), (-F.col("_t")).alias("t"))
     first = _running(rows.withColumns({"_top": own, "_late": -F.col("_e")}), keys, ["_s", "_late", "_t"], "_top", hot_rows)
-    ends = first.filter(F.col("_top") == own)
     held = F.struct((-F.col("_e")).alias("e"), "_s", F.col("_start").alias("start"), F.col("_end").alias("end"), F.col("_t").alias("t"))
-    kind = ends.select(held.alias("h")).schema["h"].dataType
+    # Written down once: the row counts, the edges, the segment totals and the timeline all read it.
+    ends = written_once(first.filter(F.col("_top") == own).select(*keys, "_e", held.alias("_held")))
+    kind = ends.schema["_held"].dataType
     asked = probes.select(*keys, (-_micros(at)).alias("_at"), F.lit(0).alias("_kind"), F.lit(None).cast(kind).alias("_held"), F.struct(*probes.columns).alias("_probe"))
-    marks = ends.select(*keys, (-F.col("_e")).alias("_at"), F.lit(1).alias("_kind"), held.alias("_held"), F.lit(None).cast(asked.schema["_probe"].dataType).alias("_probe"))
+    marks = ends.select(*keys, (-F.col("_e")).alias("_at"), F.lit(1).alias("_kind"), "_held", F.lit(None).cast(asked.schema["_probe"].dataType).alias("_probe"))
     # backwards in time: what an instant has seen last is the next end after it
-    line = _running(asked.union(marks), keys, ["_at", "_kind"], "_held", hot_rows).filter("_kind = 0")
+    line = _running(asked.union(marks), keys, ["_at", "_kind"], "_held", hot_rows, valued=marks).filter("_kind = 0")
     inside = F.col("_held._s") < -F.col("_at")
     return line.select("_probe.*", F.when(inside, F.col("_held.start")).alias(start), F.when(inside, F.col("_held.end")).alias(end), F.when(inside, F.col("_held.t")).alias(tie))
 

@@ -40,6 +40,15 @@ def test_states_of_overlapping_intervals(spark, hot_rows):
     assert {x.probe: x.id for x in found.collect()} == {p: first(key, at) for p, key, at in asks}
 
 
+def test_states_at_in_segments_moves_no_probe_through_a_join(spark):
+    intervals = spark.range(300).select((F.col("id") % 3).alias("key"), F.timestamp_seconds(F.col("id") * 7919 % 300 * 60).alias("start"), F.timestamp_seconds(F.col("id") * 7919 % 300 * 60 + 900).alias("end"), "id")
+    probes = spark.range(600).select((F.col("id") % 3).alias("key"), F.timestamp_seconds(F.col("id") * 37).alias("at"), F.col("id").alias("probe"))
+    more = {"at": "at", "start": "start", "end": "end", "tie": "id"}
+    cut = states_at(probes, intervals, ["key"], **more, hot_rows=20)
+    assert "Join" not in plan(cut).split("== Physical")[0]
+    assert cut.exceptAll(states_at(probes, intervals, ["key"], **more)).count() == 0 and cut.count() == 600
+
+
 def test_no_probes_and_no_intervals(spark):
     intervals = spark.createDataFrame([], "key string, start timestamp, end timestamp, id long")
     probes = spark.createDataFrame([(1, "a", T0)], "probe long, key string, at timestamp")

@@ -90,6 +90,17 @@ def test_running_segments_equal_one_window(spark):
         assert rows(cut, "g", "t") == rows(plain, "g", "t")
 
 
+def test_running_segments_shuffle_the_rows_once(spark):
+    df = spark.range(500).select(F.when(F.col("id") % 4 > 0, F.col("id") % 4).alias("g"), (F.col("id") * 7919 % 500).alias("t"), F.col("id").alias("row"), F.when((F.col("id") % 50 < 2) & (F.col("id") > 20), F.struct("id")).alias("m"))
+    placed = with_segment(df, "t", [100.0, 250.0, 400.0])
+    want = rows(running_window(df, ["g"], ["t"], [], ["m"]), "row")
+    for valued in (None, placed.filter("m is not null")):
+        cut = running_segments(placed, ["g"], ["t"], maxes=["m"], valued=valued).select(*df.columns)
+        assert rows(cut, "row") == want
+        # the sort carries the rows, no join sorts them again
+        assert "Join" not in cut._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_mode_imputation(spark):
     df = spark.createDataFrame(
         [("b", None, 1.0, "x"), ("a", None, None, "x"), (None, None, 2.0, "y"), ("a", None, 3.0, None), ("b", None, 4.0, "x")],
