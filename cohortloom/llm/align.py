@@ -1,9 +1,8 @@
 """Alignment of two tokenizers' tokens over one text, and how often their ids are linked in a corpus.
 
-Both tokenizers' tokens are byte strings that make up the same text. Their cumulative ends go into two dictionaries, end to
-index; the ends that both have, sorted, cut both lists into groups, the smallest pieces of text that both tokenizers end. A link
-is a pair of tokens whose byte ranges overlap: in a group of one token on either side every pair, in others those that two
-pointers meet on the ends.
+Both tokenizers' tokens are byte strings that make up the same text. The ends of both, merged in order, cut it into stretches; in
+each lies one token of A and one of B, and every pair of tokens whose byte ranges overlap, a link, shares exactly one stretch. The
+ends that both have cut both lists into groups, the smallest pieces of text that both tokenizers end.
 
 Corpus counts are a Spark aggregation over the distinct id pairs of each text. Scoring joins them back: pairs in more than one
 in `most` of all rows, which are fewer than `most` by count, are sent to the tasks; the others are joined by a shuffle, in
@@ -96,34 +95,17 @@ def loaded(kind: type, path: str):
     return kind(path)
 
 
-def groups(ends_a: list[int], ends_b: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Of each smallest piece that both end, the number of tokens of A, and of B, up to its end."""
-    at_a, at_b = dict(zip(ends_a, range(1, len(ends_a) + 1))), dict(zip(ends_b, range(1, len(ends_b) + 1)))
-    shared = sorted(at_a.keys() & at_b.keys())
-    return np.fromiter(map(at_a.__getitem__, shared), np.int64, len(shared)), np.fromiter(map(at_b.__getitem__, shared), np.int64, len(shared))
+def links(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The places in A and in B of all overlapping pairs, in order, and after which of them a group ends.
 
-
-def overlaps(ends_a: list[int], ends_b: list[int], a: int, i: int, b: int, j: int) -> Iterator[tuple[int, int]]:
-    """The overlapping pairs of one group: tokens a to i and b to j."""
-    while a < i and b < j:
-        yield a, b
-        end_a, end_b = ends_a[a], ends_b[b]
-        a, b = a + (end_a <= end_b), b + (end_b <= end_a)
-
-
-def links(ends_a: list[int], ends_b: list[int], to_a: np.ndarray, to_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The places in A and in B of all overlapping pairs, group by group."""
-    from_a, from_b = np.concatenate([[0], to_a[:-1]]), np.concatenate([[0], to_b[:-1]])
-    n_a, n_b = to_a - from_a, to_b - from_b
-    one = (n_a == 1) | (n_b == 1)  # a single token overlaps all those of the other side
-    size = np.maximum(n_a, n_b)[one]
-    step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-    places_a = np.repeat(from_a[one], size) + step * np.repeat(n_a[one] > 1, size)
-    places_b = np.repeat(from_b[one], size) + step * np.repeat(n_b[one] > 1, size)
-    some = np.flatnonzero(~one)
-    others = [p for k in some.tolist() for p in overlaps(ends_a, ends_b, int(from_a[k]), int(to_a[k]), int(from_b[k]), int(to_b[k]))]
-    more = np.array(others, np.int64).reshape(-1, 2)
-    return np.concatenate([places_a, more[:, 0]]), np.concatenate([places_b, more[:, 1]])
+    Between two neighbouring ends of either side lies one token of A and one of B, and each overlap is one such stretch.
+    """
+    size = max(ends_a[-1], ends_b[-1]) + 1
+    marked_a, marked_b = np.zeros(size, bool), np.zeros(size, bool)
+    marked_a[ends_a] = marked_b[ends_b] = True
+    ends = np.flatnonzero(marked_a | marked_b)
+    in_a, in_b = marked_a[ends], marked_b[ends]
+    return in_a.cumsum() - in_a, in_b.cumsum() - in_b, in_a & in_b
 
 
 BASE = 1 << 24
@@ -144,9 +126,8 @@ class Aligner:
         if not self.left.spells(ids_a, data) or not self.right.spells(ids_b, data):
             return NOTHING
         a, b = np.array(ids_a, np.int64), np.array(ids_b, np.int64)
-        ends_a, ends_b = self.sizes_a[a].cumsum().tolist(), self.sizes_b[b].cumsum().tolist()
-        to_a, to_b = groups(ends_a, ends_b)
-        at_a, at_b = links(ends_a, ends_b, to_a, to_b)
+        at_a, at_b, last = links(self.sizes_a[a].cumsum(), self.sizes_b[b].cumsum())
+        to_a, to_b = at_a[last] + 1, at_b[last] + 1
         return len(a), len(b), len(to_a), self._text(a, b, to_a, to_b), a[at_a] * BASE + b[at_b]
 
     def _text(self, a: np.ndarray, b: np.ndarray, to_a: np.ndarray, to_b: np.ndarray) -> str:
@@ -191,8 +172,11 @@ def alignments(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id"
                 codes, times = np.unique(linked, return_counts=True)
                 for values, value in zip(out, (n_a, n_b, n, said, len(linked), codes, times.astype(np.int32)), strict=True):
                     values.append(value)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, k) for v, k in zip(out, kinds, strict=True))], names)
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64()]
+            plain = [pa.array(v, k) for v, k in zip(out[:-2], kinds, strict=True)]
+            ends = np.cumsum([0, *map(len, out[-1])]).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(ends, np.concatenate(v)) for v in out[-2:]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *plain, *lists], names)
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import sys
 
 import pytest
 import sentencepiece
@@ -128,6 +129,23 @@ def test_random_texts(libraries, text):
         assert sorted(links.tolist()) == sorted(a * align.BASE + b for a, b in want[3])
 
 
+def test_links_are_found_in_whole_columns():
+    pair = align.aligner(TOKENIZER, PIECES)
+
+    def calls(text):
+        ids = pair.left.encode([text])[0], pair.right.encode([text])[0]
+        seen = []
+        sys.setprofile(lambda frame, event, arg: seen.append(frame.f_code.co_filename == align.__file__) if event == "call" else None)
+        try:
+            links = pair.one(text, *ids)[4]
+        finally:
+            sys.setprofile(None)
+        return sum(seen), len(links)
+
+    some, many = calls("unbelievableness bioluminescence " * 20), calls("unbelievableness bioluminescence " * 400)
+    assert many[1] > 15 * some[1] and many[0] == some[0]
+
+
 def test_counts_sent_to_the_tasks_stay_under_the_bound(spark):
     rows = spark.range(300).select(F.col("id").alias("doc_id"), F.concat(F.lit("word "), F.col("id").cast("string")).alias("text"))
     counts = align.pair_counts(align.alignments(rows, TOKENIZER, PIECES)).collect()
